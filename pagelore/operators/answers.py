@@ -48,6 +48,10 @@ def _called(completer: Completer, messages: Column, model: Column, max_length: C
         frame = pd.DataFrame({"messages": messages, "model": model, "max_length": max_length})
         asked = frame[frame["messages"].notna()]
         texts = list(completer(asked)) if len(asked) else []
-        return pd.Series(texts, index=asked.index, dtype=object).reindex(frame.index, fill_value=None)
+        if len(texts) != len(asked):
+            raise ValueError(f"{len(asked)} requests gave {len(texts)} completions")
+        filled = iter(texts)
+        return pd.Series([next(filled) if known else None for known in messages.notna()], dtype=object)
 
-    return complete(messages, model, max_length)
+    # Called once per row, whatever the optimizer moves around it.
+    return complete.asNondeterministic()(messages, model, max_length)

@@ -30,9 +30,12 @@ def embedding(text: Column, embedder: Embedder, dim: int) -> Column:
         for vector in found:
             if vector.shape != (dim,):
                 raise ValueError(f"vector of shape {vector.shape} where {dim} values are expected")
-        return pd.Series(found, index=present.index, dtype=object).reindex(texts.index, fill_value=None)
+        filled = iter(found)
+        return pd.Series([next(filled) if known else None for known in texts.notna()], dtype=object)
 
-    return vectors(text)
+    # A model is not to be called again because the optimizer moved a filter, nor
+    # for rows that an earlier filter drops: non-deterministic calls stay put.
+    return vectors.asNondeterministic()(text)
 
 
 def embed(

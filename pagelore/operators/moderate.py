@@ -45,6 +45,10 @@ def flagged(text: Column, moderator: Moderator) -> Column:
     def verdict(texts: pd.Series) -> pd.Series:
         present = texts[texts.notna()]
         found = [bool(v) for v in moderator(present)] if len(present) else []
-        return pd.Series(found, index=present.index, dtype="boolean").reindex(texts.index)
+        if len(found) != len(present):
+            raise ValueError(f"{len(present)} texts gave {len(found)} verdicts")
+        filled = iter(found)
+        return pd.Series([next(filled) if known else None for known in texts.notna()], dtype="boolean")
 
-    return verdict(text)
+    # Called once per row, whatever the optimizer moves around it.
+    return verdict.asNondeterministic()(text)

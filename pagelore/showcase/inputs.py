@@ -43,9 +43,9 @@ def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("|the language]] and [[Plain link]].\n[[File:x.png|thumb|see [[cap]]]]\\<br />\r\n"),
         F.lit('<div class="c"><span style="x">'),
         F.col("text"),
-        F.lit("</span></div>   end__TOC__ "),
+        F.lit("</span></div>\u00a0\u2028 end__TOC__ "),
     )
-    title = F.concat(F.lit(" Doc_"), F.col("doc_id").cast("string"), F.lit("_ "))
+    title = F.concat(F.lit(" Doc_"), F.col("doc_id").cast("string"), F.lit("_\u00a0"))
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("page_id"), title.alias("title"), body.alias("content")
     )
@@ -88,11 +88,11 @@ def as_requests(items: DataFrame) -> DataFrame:
         F.when(number % 5 == 0, None)
         .when(number % 5 == 1, F.lit("Éloïse M."))
         .when(number % 5 == 2, F.lit("!?*"))
-        .when(number % 5 == 3, F.lit("  "))
+        .when(number % 5 == 3, F.lit(" \u00a0"))
         .otherwise(F.concat(F.lit("user-"), number.cast("string"), F.lit("_x y")))
     )
     prompt = (
-        F.when(number % 17 == 3, F.lit("  \n"))
+        F.when(number % 17 == 3, F.lit("\u00a0 \n"))
         .when(number % 17 == 7, None)
         .otherwise(F.col("text"))
     )
@@ -117,7 +117,7 @@ def quality_verdicts(spark: SparkSession, sf: str, key: str) -> DataFrame:
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     """A completion per benchmark item, with white space to trim."""
-    text = F.concat(F.lit(" \n In short:  "), F.col("text"), F.lit("\n "))
+    text = F.concat(F.lit(" \n\u00a0In short:  "), F.col("text"), F.lit("\n "))
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), text.alias("completion"))
 
 

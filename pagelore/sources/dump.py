@@ -28,6 +28,8 @@ def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int =
         .write.mode("overwrite")
         .options(**_DIALECT)
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", max_rows_per_file)
         .csv(f"{path.rstrip('/')}/date={date}")
     )

@@ -37,7 +37,9 @@ def parse_requests(lines: DataFrame) -> DataFrame:
         field("model").alias("model"),
         field("username").alias("username"),
         field("maxlength").try_cast("int").alias("max_length"),
-        F.least(context_length, F.lit(_MAX_BIGINT)).cast("bigint").alias("max_context_length"),
+        F.when(context_length.isNotNull(), F.least(context_length, F.lit(_MAX_BIGINT)))
+        .cast("bigint")
+        .alias("max_context_length"),
         (
             F.col("entries").isNull()
             | field("requestid").isNull()
