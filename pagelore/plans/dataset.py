@@ -10,6 +10,7 @@ from pagelore.operators.chunk import MAX_TOKENS, chunk_pages, require_unique_key
 from pagelore.operators.clean import clean_pages
 from pagelore.operators.embed import Embedder, embed
 from pagelore.sources.batch_files import attach_embeddings, batch_requests, write_requests
+from pagelore.session import spread
 from pagelore.sources.points import rebuild
 
 
@@ -24,7 +25,7 @@ def make_chunks(
     pages: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: SpaceTokenizer | None = None
 ) -> DataFrame:
     """Cleaned chunks of raw pages (``title, content``, perhaps ``page_id``)."""
-    return chunk_pages(clean_pages(with_page_id(pages)), max_tokens, tokenizer)
+    return chunk_pages(clean_pages(spread(with_page_id(pages))), max_tokens, tokenizer)
 
 
 def with_ids(embedded: DataFrame) -> DataFrame:

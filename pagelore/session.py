@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +33,13 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out over all cores, before costly row-wise work.
+
+    A file that does not split (one row group, a multi-line CSV) is one task, however
+    many rows it holds. Inputs of at least as many files as cores are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

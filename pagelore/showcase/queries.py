@@ -29,7 +29,7 @@ from pagelore.operators.retrieve import build_context, retrieve, top_k, top_k_ba
 from pagelore.plans.ask import ask, check, prepare
 from pagelore.plans.dataset import build_points, make_chunks, with_ids
 from pagelore.plans.followup import follow_up, follow_up_nested
-from pagelore.session import scratch_path
+from pagelore.session import scratch_path, spread
 from pagelore.showcase import inputs as given
 from pagelore.showcase.inputs import CHUNK_TOKENS, DIM, table
 from pagelore.sources.batch_files import (
@@ -56,11 +56,11 @@ _OUTCOME = ("status", "reason", "error")
 
 
 def clean_pages_html(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_pages(given.web_pages(spark, sf))
+    return clean_pages(spread(given.web_pages(spark, sf)))
 
 
 def clean_pages_wiki(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_pages(given.wiki_pages(spark, sf))
+    return clean_pages(spread(given.wiki_pages(spark, sf)))
 
 
 def drop_empty_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ def duplicate_chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    documents = embed(table(spark, sf, "documents"), _EMBEDDER, DIM, text="text")
+    documents = embed(spread(table(spark, sf, "documents")), _EMBEDDER, DIM, text="text")
     cells = documents.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return cells.where("weight <> 0").select("doc_id", "bucket", F.round("weight", 5).alias("weight"))
 
