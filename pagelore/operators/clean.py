@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.functions.rows import computed_once
 from pagelore.functions.text import clean_content, clean_title
 
 
@@ -19,9 +20,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     Row by row: no shuffle, and any split of the input works alone.
     """
     others = [c for c in pages.columns if c not in ("title", "content")]
-    cleaned = F.struct(
+    cleaned = computed_once(
         clean_title(F.col("title")).alias("title"), clean_content(F.col("content")).alias("content")
     )
-    # As a one-row generator, because over a projection the optimizer would move
-    # the filter below and clean every text a second time to evaluate it.
-    return drop_empty(drop_empty(pages).select(*others, F.inline_outer(F.array(cleaned))))
+    return drop_empty(drop_empty(pages).select(*others, cleaned))

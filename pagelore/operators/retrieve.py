@@ -75,10 +75,14 @@ def retrieve(
     return _with_payload(hits, points, max_hits, max_broadcast_hits)
 
 
-def build_context(hits: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+def build_context(
+    hits: DataFrame, questions: DataFrame | None = None, max_hits: int | None = None
+) -> DataFrame:
     """``question_id, context``: the hits' texts in rank order.
 
     With ``questions`` every question has a row, and one without hits has ``''``.
+    With ``max_hits`` a question with more hits than that has null: its context is
+    not put together at all, rather than in part.
     """
     # Fixed value: the layout of one hit.
     block = F.concat(
@@ -88,16 +92,21 @@ def build_context(hits: DataFrame, questions: DataFrame | None = None) -> DataFr
         F.coalesce("content", F.lit("")),
         F.lit("\n\n\n###\n\n\n"),
     )
-    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    contexts = hits.groupBy("question_id").agg(
-        trim(F.array_join(F.transform(blocks, lambda b: b["block"]), "")).alias("context")
-    )
+    ranked_block = F.struct("rank", block.alias("block"))
+    complete = F.lit(True)
+    if max_hits is not None:
+        ranked_block = F.when(F.col("rank") <= max_hits, ranked_block)
+        complete = F.max("rank") <= max_hits
+    blocks = F.array_sort(F.collect_list(ranked_block))
+    context = trim(F.array_join(F.transform(blocks, lambda b: b["block"]), ""))
+    contexts = hits.groupBy("question_id").agg(F.when(complete, context).alias("context"))
     if questions is None:
         return contexts
+    contexts = contexts.withColumn("found", F.lit(True))
     return (
         questions.select("question_id")
         .join(contexts, "question_id", "left")
-        .select("question_id", F.coalesce("context", F.lit("")).alias("context"))
+        .select("question_id", F.when(F.col("found"), F.col("context")).otherwise("").alias("context"))
     )
 
 
@@ -160,6 +169,8 @@ def _score_blocked(points: DataFrame, questions: DataFrame, block_bytes: int) ->
     dim = first["dim"]
     n_blocks = max(1, math.ceil(vectors.count() * dim * 8 / block_bytes))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    # Copied per block from all cores, not from the few tasks that read them.
+    questions = questions.repartition(points.sparkSession.sparkContext.defaultParallelism)
     both = vectors.select(
         block.alias("block"),
         F.lit(0).alias("side"),

@@ -10,12 +10,11 @@ from pagelore.operators.chunk import MAX_TOKENS, chunk_pages, require_unique_key
 from pagelore.operators.clean import clean_pages
 from pagelore.operators.embed import Embedder, embed
 from pagelore.sources.batch_files import attach_embeddings, batch_requests, write_requests
-from pagelore.session import spread
 from pagelore.sources.points import rebuild
 
 
 def with_page_id(pages: DataFrame) -> DataFrame:
-    """Number pages that come without ``page_id`` (a dump has none; titles may repeat)."""
+    """Number pages that come without ``page_id`` (titles may repeat)."""
     if "page_id" in pages.columns:
         return pages
     return pages.withColumn("page_id", F.monotonically_increasing_id())
@@ -25,7 +24,7 @@ def make_chunks(
     pages: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: SpaceTokenizer | None = None
 ) -> DataFrame:
     """Cleaned chunks of raw pages (``title, content``, perhaps ``page_id``)."""
-    return chunk_pages(clean_pages(spread(with_page_id(pages))), max_tokens, tokenizer)
+    return chunk_pages(clean_pages(with_page_id(pages)), max_tokens, tokenizer)
 
 
 def with_ids(embedded: DataFrame) -> DataFrame:
@@ -46,8 +45,9 @@ def build_points(
 ) -> int | DataFrame:
     """Clean, chunk, embed and rebuild in one pass; returns the new version.
 
-    No stage shuffles, unless ``parallelism`` bounds the model calls. A dry run
-    returns the planned points and writes nothing.
+    No stage shuffles, unless ``parallelism`` bounds the model calls; pass pages that
+    come in a few files through ``spread`` first. A dry run returns the planned points
+    and writes nothing.
     """
     embedded = embed(make_chunks(pages, max_tokens, tokenizer), embedder, dim, parallelism=parallelism)
     return embedded if dry_run else rebuild(embedded, path, dim)

@@ -38,8 +38,9 @@ def use_checkpoints(spark: SparkSession) -> None:
 def spread(rows: DataFrame) -> DataFrame:
     """Deal the rows of a few files out over all cores, before costly row-wise work.
 
-    A file that does not split (one row group, a multi-line CSV) is one task, however
-    many rows it holds. Inputs of at least as many files as cores are left as they are.
+    For inputs whose files do not split (one row group, a multi-line CSV): such a file
+    is one task, however many rows it holds. Inputs of at least as many files as cores
+    are left as they are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

@@ -68,7 +68,7 @@ def drop_empty_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return make_chunks(given.document_pages(spark, sf), CHUNK_TOKENS)
+    return make_chunks(spread(given.document_pages(spark, sf)), CHUNK_TOKENS)
 
 
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +183,7 @@ def build_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hashed_points(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "points")
-    build_points(given.document_pages(spark, sf), path, _EMBEDDER, DIM, CHUNK_TOKENS)
+    build_points(spread(given.document_pages(spark, sf)), path, _EMBEDDER, DIM, CHUNK_TOKENS)
     return read_points(spark, path)
 
 
@@ -407,7 +407,7 @@ def followup_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 def _points_table(spark: SparkSession, sf: str):
     path = scratch_path(spark, "points")
-    build_points(given.document_pages(spark, sf), path, _EMBEDDER, DIM, CHUNK_TOKENS)
+    build_points(spread(given.document_pages(spark, sf)), path, _EMBEDDER, DIM, CHUNK_TOKENS)
     return lambda session: read_points(session, path)
 
 
@@ -446,7 +446,7 @@ def dump_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "dump")
     pages = given.wiki_pages(spark, sf).withColumnRenamed("title", "page_title")
     write_dump(pages, path, "2024-01-01")
-    return read_dump(spark, path)
+    return read_dump(spark, path).drop("page_id")
 
 
 QUERIES: dict[str, Query] = {

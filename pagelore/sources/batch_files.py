@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.functions.rows import computed_once
+
 # What a request line says besides its key and text.
 _METHOD = "POST"
 _URL = "/v1/embeddings"
@@ -36,7 +38,7 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 def parse_results(lines: DataFrame) -> DataFrame:
     """``custom_id, embedding`` from JSON lines in ``value`` (batch or stream)."""
-    return lines.select(F.from_json("value", _RESULT).alias("r")).select(*_fields("r."))
+    return lines.select(computed_once(F.from_json("value", _RESULT).alias("r"))).select(*_fields("r."))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

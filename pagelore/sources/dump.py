@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.session import spread
+
 # The dump dialect. Null is written as a backslash and N.
 _DIALECT = {
     "header": True,
@@ -36,10 +38,11 @@ def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int =
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``title, content`` of a dump file, a dated directory or all dates.
+    """``page_id, title, content`` of a dump file, a dated directory or all dates.
 
     Bad lines and missing fields are tolerated and become nulls. A backslash
-    before a line break is the dump's escape for it and goes.
+    before a line break is the dump's escape for it and goes. Pages are numbered by
+    file and place; a file is read by one task, so few files are dealt out after.
     """
     rows = (
         spark.read.schema(_SCHEMA)
@@ -53,4 +56,8 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     )
     content = F.replace("content", F.lit("\\\n"), F.lit("\n"))
     title = F.replace("page_title", F.lit("\\\n"), F.lit("\n"))
-    return rows.select(title.alias("title"), content.alias("content"))
+    return spread(
+        rows.select(
+            F.monotonically_increasing_id().alias("page_id"), title.alias("title"), content.alias("content")
+        )
+    )

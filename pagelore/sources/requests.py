@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.functions.rows import computed_once
 from pagelore.functions.text import trim
 from pagelore.operators.retrieve import DEFAULT_K
 
@@ -22,7 +23,7 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     no object, lacks its id or holds a bad number gets ``parse_error`` and stays.
     """
     entries = F.map_entries(F.from_json("value", "map<string,string>"))
-    read = lines.select(entries.alias("entries"))
+    read = lines.select(computed_once(entries.alias("entries")))
 
     def field(name: str) -> Column:
         named = F.filter("entries", lambda e: F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))) == name)
