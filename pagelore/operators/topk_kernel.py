@@ -26,51 +26,66 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
 
 
 def unit_rows(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Norms, and which rows can be compared at all (finite and non-zero)."""
+    """Rows scaled to length one, and which of them could be (finite and non-zero)."""
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    return norms, np.isfinite(norms) & (norms > 0)
+    usable = np.isfinite(norms) & (norms > 0)
+    if not usable.all():
+        vectors, norms = np.where(usable[:, None], vectors, 0.0), np.where(usable, norms, 1.0)
+    return vectors / norms[:, None], usable
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    # Adding zero turns -0.0 into 0.0, which Spark would order apart.
+    return np.round(scores, SCORE_DIGITS) + 0.0
 
 
 class BestPoints:
     """The best ``k[i]`` points seen so far for each question ``i``."""
 
+    # Rounding moves a score by less than this.
+    _SLACK = 10.0**-SCORE_DIGITS
+
     def __init__(self, vectors: np.ndarray, k: np.ndarray) -> None:
-        norms, usable = unit_rows(vectors)
-        self._vectors = vectors
-        self._norms = np.where(usable, norms, 1.0)
+        self._vectors, usable = unit_rows(vectors)
         self._k = np.where(usable, k, 0)
+        # A score below its question's floor cannot be among the best any more.
         self._floor = np.full(len(k), -np.inf)
         self._kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._n_kept = 0
         self._room = 2 * int(self._k.sum()) + 100_000
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms, usable = unit_rows(vectors)
+        """Consider points given as plain vectors."""
+        units, usable = unit_rows(vectors)
         if not usable.all():
-            ids, vectors, norms = ids[usable], vectors[usable], norms[usable]
+            ids, units = ids[usable], units[usable]
+        self.add_units(ids, units)
+
+    def add_units(self, ids: np.ndarray, units: np.ndarray) -> None:
+        """Consider points already scaled to length one."""
         if not len(ids):
             return
         asking = np.flatnonzero(self._k)
         step = max(1, _CELLS // len(ids))
         for start in range(0, len(asking), step):
             part = asking[start : start + step]
-            scores = self._vectors[part] @ vectors.T
-            scores /= self._norms[part, None] * norms
-            # Adding zero turns -0.0 into 0.0, which Spark would order apart.
-            scores = np.round(scores, SCORE_DIGITS) + 0.0
-            rows, cols = self._contenders(scores, part)
-            self._keep(part[rows], scores[rows, cols], ids[cols])
-
-    def _contenders(self, scores: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells that reach the k-th best score of their row, ties included."""
+            scores = self._vectors[part] @ units.T
+            self._raise_floor(scores, part)
+            # One comparison per cell; only what passes is rounded and compared again.
+            rows, cols = np.nonzero(scores >= (self._floor[part] - self._SLACK)[:, None])
+            found = rounded(scores[rows, cols])
+            passed = found >= self._floor[part][rows]
+            self._keep(part[rows[passed]], found[passed], ids[cols[passed]])
+
+    def _raise_floor(self, scores: np.ndarray, part: np.ndarray) -> None:
+        """Give questions without a floor their k-th best score of this block."""
         n = scores.shape[1]
-        floor = self._floor[part].copy()
         wanted = self._k[part]
-        for k in np.unique(wanted[wanted < n]):
-            rows = np.flatnonzero(wanted == k)
+        unbounded = np.isneginf(self._floor[part]) & (wanted < n)
+        for k in np.unique(wanted[unbounded]):
+            rows = np.flatnonzero(unbounded & (wanted == k))
             kth = np.partition(scores[rows], n - k, axis=1)[:, n - k]
-            floor[rows] = np.maximum(floor[rows], kth)
-        return np.nonzero(scores >= floor[:, None])
+            self._floor[part[rows]] = rounded(kth)
 
     def _keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         self._kept.append((rows, scores, ids))
@@ -135,13 +150,14 @@ def score_blocks(
                 block, ids, points = blocks[start], [], []
             vectors = matrix(piece["embedding"], dim)
             if sides[start] == 0:
-                ids.append(piece["id"].to_numpy(zero_copy_only=False))
-                points.append(vectors)
+                units, usable = unit_rows(vectors)
+                ids.append(piece["id"].to_numpy(zero_copy_only=False)[usable])
+                points.append(units[usable])
             elif points:
                 if len(points) > 1:
                     ids, points = [np.concatenate(ids)], [np.concatenate(points)]
                 best = BestPoints(vectors, piece["k"].to_numpy())
-                best.add(ids[0], points[0])
+                best.add_units(ids[0], points[0])
                 yield _hits(best, piece["question_id"], schema)
 
 
