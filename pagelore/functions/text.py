@@ -18,17 +18,17 @@ WHITESPACE = (
 )
 # Markup patterns and their replacements, in the order in which
 # they have to run. (?s) lets the dot cross any line end, (?d) makes "\n" the
-# only line end the dot stops at.
+# only line end the dot stops at. The first entry is in every text that matches.
 MARKUP_STEPS = (
-    ("gallery", r"(?s)(\|image.?=.?)?<gallery.*?>.*?</gallery>\\?\n?", ""),
-    ("file_link", r"(?s)\[\[File:.*?\]\]\\?", ""),
-    ("magic_word", r"(?s)__.*?__", ""),
-    ("comment", r"(?s)<!--.*?-->\\?\n?", ""),
-    ("span_br", r"(?s)<span.*?>|</span>\\?\n?|<br.*?>\\?\n?", ""),
-    ("div", r"(?s)<div.*?>|</div>\\?\n?", ""),
-    ("bold", r"(?d)'{3,}(.*?)'{3,}", "$1"),
-    ("piped_link", r"\[\[([^\[\]\|]+?)\|([^\[\]]+?)\]\]", "$2"),
-    ("plain_link", r"(?d)\[\[(.*?)\]\]", "$1"),
+    ("<gallery", r"(?s)(\|image.?=.?)?<gallery.*?>.*?</gallery>\\?\n?", ""),
+    ("[[File:", r"(?s)\[\[File:.*?\]\]\\?", ""),
+    ("__", r"(?s)__.*?__", ""),
+    ("<!--", r"(?s)<!--.*?-->\\?\n?", ""),
+    ("<", r"(?s)<span.*?>|</span>\\?\n?|<br.*?>\\?\n?", ""),
+    ("<", r"(?s)<div.*?>|</div>\\?\n?", ""),
+    ("'''", r"(?d)'{3,}(.*?)'{3,}", "$1"),
+    ("[[", r"\[\[([^\[\]\|]+?)\|([^\[\]]+?)\]\]", "$2"),
+    ("[[", r"(?d)\[\[(.*?)\]\]", "$1"),
 )
 
 _WHITESPACE_RUN = r"(?U)\s+"
@@ -62,11 +62,24 @@ def clean_title(title: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Newlines to spaces, then every markup pattern in turn."""
     text = F.replace(text, F.lit("\n"), F.lit(" "))
-    for _, pattern, replacement in MARKUP_STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    for sign, pattern, replacement in MARKUP_STEPS:
+        text = _replace_where(text, sign, pattern, replacement)
     return text
 
 
+def _replace_where(text: Column, sign: str, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` for the texts that contain ``sign``: most hold little markup.
+
+    The lambda names the text, so that the steps before it are evaluated once.
+    """
+
+    def replaced(t: Column) -> Column:
+        changed = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
+        return F.when(F.contains(t, F.lit(sign)), changed).otherwise(t)
+
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
+
+
 def clean_content(text: Column) -> Column:
     """The full content chain: markup out, white space collapsed, trimmed."""
     return collapse_whitespace(strip_markup(text))

@@ -20,24 +20,22 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelore.functions.text import trim
+from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
 from pagelore.operators.topk_kernel import score_blocks, score_partition
-from pagelore.session import use_checkpoints
 
 # Fixed value: how many points a question gets when it does not say.
 DEFAULT_K = 5
 
 MAX_BROADCAST_QUESTIONS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-MAX_BROADCAST_HITS = 200_000
 BLOCK_BYTES = 256 << 20
 _MERGE_SALTS = 16
-_FILTER_BITS = 1 << 28
 
 
 def top_k(points: DataFrame, vector: Sequence[float], k: int = DEFAULT_K) -> DataFrame:
@@ -68,7 +66,7 @@ def retrieve(
     questions: DataFrame,
     max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
     block_bytes: int = BLOCK_BYTES,
-    max_broadcast_hits: int = MAX_BROADCAST_HITS,
+    max_broadcast_hits: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """:func:`top_k_batch` plus ``title, content`` of each hit."""
     hits, max_hits = _top_k_batch(points, questions, max_broadcast_questions, block_bytes)
@@ -212,41 +210,9 @@ def _with_payload(
     hits: DataFrame,
     points: DataFrame,
     max_hits: int | None,
-    max_broadcast_hits: int = MAX_BROADCAST_HITS,
+    max_broadcast_hits: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join the payload to the hits without shuffling the texts of the whole table."""
     payload = points.select("id", "title", "content")
-    if max_hits is None or max_hits > max_broadcast_hits:
-        # The ranking is the costly part: written once, then counted and read.
-        use_checkpoints(hits.sparkSession)
-        hits = hits.checkpoint()
-        max_hits = hits.count()
-    if max_hits <= max_broadcast_hits:
-        joined = payload.join(F.broadcast(hits), "id")
-    else:
-        joined = _only_hit(payload, hits).join(hits, "id")
+    joined = lookup(payload, hits, "id", max_hits, max_broadcast_hits)
     return joined.select("question_id", "rank", "score", "id", "title", "content")
-
-
-def _only_hit(payload: DataFrame, hits: DataFrame) -> DataFrame:
-    """Drop most points without a hit before the join shuffles them.
-
-    Hit ids are hashed into a bitmap of fixed size (at most 32 MB, so it can be
-    broadcast whatever the number of hits); points whose bit is not set go. False
-    positives are left to the join.
-    """
-
-    def slot() -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-
-    bitmap = (
-        hits.select(slot().alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    )
-    located = payload.withColumn("slot", slot()).withColumns(
-        {"bucket": F.bitmap_bucket_number("slot"), "bit": F.bitmap_bit_position("slot")}
-    )
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.bit_get(byte, (F.col("bit") % 8).cast("int")) == 1
-    return located.join(F.broadcast(bitmap), "bucket").where(is_set).select(payload.columns)

@@ -201,8 +201,9 @@ def cosine_score(spark: SparkSession, sf: str) -> DataFrame:
 def topk_one(spark: SparkSession, sf: str) -> DataFrame:
     """The ten points nearest to the mean of all stored vectors."""
     vectors = table(spark, sf, "embeddings")
-    means = vectors.agg(*[F.avg(F.get("embedding", F.lit(i))).alias(f"m{i}") for i in range(DIM)]).first()
-    return top_k(given.stored_points(spark, sf), list(means), 10)
+    cells = vectors.select(F.posexplode("embedding").alias("place", "value"))
+    means = cells.groupBy("place").agg(F.avg("value").alias("mean")).orderBy("place").collect()
+    return top_k(given.stored_points(spark, sf), [row["mean"] for row in means], 10)
 
 
 def topk_batch(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,10 +44,13 @@ def rebuild(
         F.col("tokens").cast("int").alias("tokens"),
         fits.alias("embedding"),
     ).write.mode("errorifexists").parquet(location)
-    commit = spark.createDataFrame([(version, location, dim)], "version bigint, location string, dim int")
-    commit.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
-        f"{path}/commits"
+    commit = spark.range(0, 1, 1, 1).select(
+        F.lit(version).cast("bigint").alias("version"),
+        F.lit(location).alias("location"),
+        F.lit(dim).alias("dim"),
+        F.current_timestamp().alias("committed_at"),
     )
+    commit.write.mode("append").parquet(f"{path}/commits")
     return version
 
 

@@ -23,29 +23,29 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     no object, lacks its id or holds a bad number gets ``parse_error`` and stays.
     """
     entries = F.map_entries(F.from_json("value", "map<string,string>"))
-    read = lines.select(computed_once(entries.alias("entries")))
 
     def field(name: str) -> Column:
         named = F.filter("entries", lambda e: F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))) == name)
-        return F.try_element_at(named, F.lit(-1))["value"]
+        return F.try_element_at(named, F.lit(-1))["value"].alias(name)
 
+    names = ("requestid", "prompt", "model", "username", "maxlength", "maxcontextlength")
+    read = lines.select(computed_once(entries.alias("entries"))).select(computed_once(*map(field, names)))
     # Wide enough for any unsigned 64-bit number; more points than a bigint can
     # count are as many as the largest bigint.
-    context_length = field("maxcontextlength").try_cast("decimal(20,0)")
+    context_length = F.col("maxcontextlength").try_cast("decimal(20,0)")
     raw = read.select(
-        field("requestid").alias("request_id"),
-        field("prompt").alias("prompt"),
-        field("model").alias("model"),
-        field("username").alias("username"),
-        field("maxlength").try_cast("int").alias("max_length"),
+        F.col("requestid").alias("request_id"),
+        "prompt",
+        "model",
+        "username",
+        F.col("maxlength").try_cast("int").alias("max_length"),
         F.when(context_length.isNotNull(), F.least(context_length, F.lit(_MAX_BIGINT)))
         .cast("bigint")
         .alias("max_context_length"),
         (
-            F.col("entries").isNull()
-            | field("requestid").isNull()
-            | _unreadable(field("maxlength"), "int")
-            | _unreadable(field("maxcontextlength"), "decimal(20,0)")
+            F.col("requestid").isNull()
+            | _unreadable(F.col("maxlength"), "int")
+            | _unreadable(F.col("maxcontextlength"), "decimal(20,0)")
             | F.coalesce(context_length < 0, F.lit(False))
         ).alias("parse_error"),
     )

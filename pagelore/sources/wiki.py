@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
+
 # Main and project namespace, the content role and the address scheme.
 NAMESPACES = (0, 4)
 ROLE = "main"
@@ -12,14 +14,19 @@ SCHEME = "tt:"
 
 
 def current_text(
-    page: DataFrame, slots: DataFrame, slot_roles: DataFrame, content: DataFrame, text: DataFrame
+    page: DataFrame,
+    slots: DataFrame,
+    slot_roles: DataFrame,
+    content: DataFrame,
+    text: DataFrame,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``page_title, content`` of the current revision of every article page.
 
-    Five equi-joins on keys. The page and address filters reach the scans, and the
-    narrow tables are joined first, so that the text table (by far the largest)
-    takes part in one join only. No side is forced into a broadcast: the planner
-    broadcasts ``slot_roles`` and others by their measured size.
+    Equi-joins on keys. The page, role and address filters reach the scans. The narrow
+    tables are joined first; what they leave is looked up in the text table, which
+    holds every old revision too and is never shuffled whole. Among the narrow tables
+    the planner broadcasts by measured size.
     """
     articles = page.where(
         F.col("page_namespace").isin(*NAMESPACES) & (F.col("page_is_redirect") == 0)
@@ -31,12 +38,13 @@ def current_text(
     main_slots = slots.join(role, F.col("slot_role_id") == F.col("role_id")).select(
         "slot_revision_id", "slot_content_id"
     )
-    return (
+    wanted = (
         articles.join(main_slots, F.col("page_latest") == F.col("slot_revision_id"))
         .join(addresses, F.col("slot_content_id") == F.col("content_id"))
-        .join(text, F.col("text_id") == F.col("old_id"))
-        .select("page_title", F.col("old_text").alias("content"))
+        .select(F.col("text_id").alias("old_id"), "page_title")
     )
+    found = lookup(text.select("old_id", "old_text"), wanted, "old_id", None, max_broadcast_rows)
+    return found.select("page_title", F.col("old_text").alias("content"))
 
 
 def text_key(address: Column) -> Column:

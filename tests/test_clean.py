@@ -56,4 +56,4 @@ def test_pages_without_title_or_text_go(spark):
 def test_each_text_is_cleaned_once(spark):
     pages = spark.createDataFrame([(1, "A", "text")], "page_id int, title string, content string")
     plan = clean_pages(pages)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("</gallery>") == 1
+    assert plan.count("</gallery>") == 1, plan

@@ -11,14 +11,17 @@ def test_current_text(spark):
     content = [(r * 10 + 1, f"tt:{r}") for r in (10, 20, 30, 40)] + [(r * 10 + 2, "tt:1") for r in (10, 20)]
     content += [(501, "es:50"), (601, "tt:x"), (701, "tt:10")]
     text = [(r, f"text {r}") for r in (1, 10, 20, 30, 40, 50, 60)]
-    got = current_text(
+    tables = (
         spark.createDataFrame(page, "page_title string, page_latest bigint, page_namespace int, page_is_redirect int"),
         spark.createDataFrame(slots, "slot_revision_id bigint, slot_role_id int, slot_content_id bigint"),
         spark.createDataFrame([(1, "main"), (2, "aux")], "role_id int, role_name string"),
         spark.createDataFrame(content, "content_id bigint, content_address string"),
         spark.createDataFrame(text, "old_id bigint, old_text string"),
     )
-    assert {tuple(r) for r in got.collect()} == {("Main", "text 10"), ("Project", "text 20"), ("Same", "text 10")}
+    # Broadcast of the wanted rows, and the bitmap with a join.
+    for limit in (100, 0):
+        got = current_text(*tables, max_broadcast_rows=limit)
+        assert sorted(map(tuple, got.collect())) == [("Main", "text 10"), ("Project", "text 20"), ("Same", "text 10")]
 
 
 ROWS = [
