@@ -8,8 +8,8 @@ product and no pair ever becomes a row. Two plans, chosen by a counted size:
 
 * few questions: their matrix is broadcast, the points are scanned where they
   lie, and each scan task emits its best k per question;
-* many questions: points are hashed into blocks of bounded size, one per
-  partition, and each block's partition gets one copy of the questions.
+* many questions: points are hashed into blocks of bounded size and questions into
+  groups; each pair of block and group is a tile with a partition of its own.
 
 Both then rank the survivors in two steps, so that a question that drew hits
 from very many partitions is never sorted by one task alone.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagelore.functions.text import trim
 from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
 from pagelore.operators.topk_kernel import score_blocks, score_partition
+from pagelore.session import use_checkpoints
 
 # Fixed value: how many points a question gets when it does not say.
 DEFAULT_K = 5
@@ -123,7 +124,9 @@ def _top_k_batch(
         if table.nbytes <= MAX_BROADCAST_BYTES:
             best = _score_scan(points, table, id_type)
             return _rank(best), sum(table["k"].to_pylist())
-    return _rank(_score_blocked(points, asked, block_bytes)), None
+    # Each question is copied to every block: its vector has to be the same in all.
+    use_checkpoints(points.sparkSession)
+    return _rank(_score_tiled(points, asked.checkpoint(), block_bytes)), None
 
 
 def _hit_schema(points: DataFrame, question_id: T.DataType) -> T.StructType:
@@ -156,42 +159,64 @@ def _score_scan(points: DataFrame, questions, question_id: T.DataType) -> DataFr
     return _vectors(points).mapInArrow(score, schema)
 
 
-def _score_blocked(points: DataFrame, questions: DataFrame, block_bytes: int) -> DataFrame:
-    """Best k per question of each block of points, questions copied per block."""
+def _score_tiled(points: DataFrame, questions: DataFrame, block_bytes: int) -> DataFrame:
+    """Best k per question of each tile: a block of points against a group of questions."""
     schema = _hit_schema(points, questions.schema["question_id"].dataType)
     arrow_schema = to_arrow_schema(schema)
-    vectors = _vectors(points)
-    first = vectors.select(F.size("embedding").alias("dim")).first()
+    first = questions.select(F.size("embedding").alias("dim")).first()
     if first is None:
         return points.sparkSession.createDataFrame([], schema)
     dim = first["dim"]
-    n_blocks = max(1, math.ceil(vectors.count() * dim * 8 / block_bytes))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    # Copied per block from all cores, not from the few tasks that read them.
-    questions = questions.repartition(points.sparkSession.sparkContext.defaultParallelism)
-    both = vectors.select(
-        block.alias("block"),
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    # Without the vectors: a count of ids is read off the files' footers.
+    n_points = points.select("id").count()
+    n_blocks, n_groups = _grid(n_points, questions.count(), n_points * dim * 8 / block_bytes, 2 * cores)
+    point_copies = _vectors(points).select(
+        F.explode(F.transform(_every(n_groups), lambda g: _share("id", n_blocks) * n_groups + g)).alias("tile"),
         F.lit(0).alias("side"),
         "id",
         F.lit(None).cast(schema["question_id"].dataType).alias("question_id"),
         F.lit(None).cast("bigint").alias("k"),
         "embedding",
-    ).unionByName(
-        questions.select(
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-            F.lit(1).alias("side"),
-            F.lit(None).cast(schema["id"].dataType).alias("id"),
-            "question_id",
-            "k",
-            "embedding",
-        )
+    )
+    # Copied per block from all cores, not from the few tasks that read them.
+    question_copies = questions.repartition(cores).select(
+        F.explode(
+            F.transform(_every(n_blocks), lambda b: b * n_groups + _share("question_id", n_groups))
+        ).alias("tile"),
+        F.lit(1).alias("side"),
+        F.lit(None).cast(schema["id"].dataType).alias("id"),
+        "question_id",
+        "k",
+        "embedding",
     )
 
     def score(batches):
         return score_blocks(batches, dim, arrow_schema)
 
-    placed = both.repartitionById(n_blocks, "block").sortWithinPartitions("block", "side")
-    return placed.mapInArrow(score, schema)
+    copies = point_copies.unionByName(question_copies)
+    placed = copies.repartitionById(n_blocks * n_groups, "tile")
+    return placed.sortWithinPartitions("tile", "side").mapInArrow(score, schema)
+
+
+def _grid(n_points: int, n_questions: int, min_blocks: float, n_tiles: int) -> tuple[int, int]:
+    """Blocks of points and groups of questions.
+
+    Enough blocks for a block to fit into a task; enough tiles to keep the cluster
+    busy, cut so that points and questions are copied about equally often in bytes.
+    """
+    square = math.isqrt(max(1, n_tiles * n_points // max(1, n_questions)))
+    n_blocks = max(1, math.ceil(min_blocks), min(n_tiles, square))
+    return n_blocks, max(1, math.ceil(n_tiles / n_blocks))
+
+
+def _share(key: str, n: int) -> Column:
+    """The one share of ``n`` that a row belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
 
 def _order(window):

@@ -13,8 +13,10 @@ import pyarrow as pa
 
 from pagelore.functions.vectors import SCORE_DIGITS
 
-# Score cells computed at once (8 bytes each): bounds a task's working memory.
-_CELLS = 4_000_000
+# Points and questions scored at once, 8 bytes per pair: bounds a task's memory.
+_POINTS = 10_000
+_QUESTIONS = 400
+_OUTPUT_ROWS = 50_000
 
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -52,7 +54,7 @@ class BestPoints:
         self._floor = np.full(len(k), -np.inf)
         self._kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._n_kept = 0
-        self._room = 2 * int(self._k.sum()) + 100_000
+        self._room = 2 * int(np.minimum(self._k, 1 << 40).sum()) + 100_000
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Consider points given as plain vectors."""
@@ -66,16 +68,19 @@ class BestPoints:
         if not len(ids):
             return
         asking = np.flatnonzero(self._k)
-        step = max(1, _CELLS // len(ids))
-        for start in range(0, len(asking), step):
-            part = asking[start : start + step]
-            scores = self._vectors[part] @ units.T
-            self._raise_floor(scores, part)
-            # One comparison per cell; only what passes is rounded and compared again.
-            rows, cols = np.nonzero(scores >= (self._floor[part] - self._SLACK)[:, None])
-            found = rounded(scores[rows, cols])
-            passed = found >= self._floor[part][rows]
-            self._keep(part[rows[passed]], found[passed], ids[cols[passed]])
+        for first in range(0, len(ids), _POINTS):
+            tile = slice(first, first + _POINTS)
+            for start in range(0, len(asking), _QUESTIONS):
+                self._add_tile(ids[tile], units[tile], asking[start : start + _QUESTIONS])
+
+    def _add_tile(self, ids: np.ndarray, units: np.ndarray, part: np.ndarray) -> None:
+        scores = self._vectors[part] @ units.T
+        self._raise_floor(scores, part)
+        # One comparison per cell; only what passes is rounded and compared again.
+        rows, cols = np.nonzero(scores >= (self._floor[part] - self._SLACK)[:, None])
+        found = rounded(scores[rows, cols])
+        passed = found >= self._floor[part][rows]
+        self._keep(part[rows[passed]], found[passed], ids[cols[passed]])
 
     def _raise_floor(self, scores: np.ndarray, part: np.ndarray) -> None:
         """Give questions without a floor their k-th best score of this block."""
@@ -126,28 +131,28 @@ def score_partition(
     best = BestPoints(matrix(vectors, dim), questions["k"].to_numpy())
     for batch in batches:
         best.add(batch["id"].to_numpy(zero_copy_only=False), matrix(batch["embedding"], dim))
-    yield _hits(best, questions["question_id"].combine_chunks(), schema)
+    yield from _hits(best, questions["question_id"].combine_chunks(), schema)
 
 
 def score_blocks(
     batches: Iterable[pa.RecordBatch], dim: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    """Score sorted ``block, side`` rows: a block's points, then its questions.
+    """Score sorted ``tile, side`` rows: a tile's points, then its questions.
 
-    The points of one block (bounded by the choice of block count) are held as a
+    The points of one tile (bounded by the choice of their block count) are held as a
     matrix; the questions stream past it batch by batch.
     """
-    block, ids, points = None, [], []
+    tile, ids, points = None, [], []
     for batch in batches:
-        blocks = batch["block"].to_numpy()
+        tiles = batch["tile"].to_numpy()
         sides = batch["side"].to_numpy()
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(sides) != 0)) + 1
-        for start, stop in zip([0, *edges], [*edges, len(blocks)]):
+        edges = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(sides) != 0)) + 1
+        for start, stop in zip([0, *edges], [*edges, len(tiles)]):
             if start == stop:
                 continue
             piece = batch.slice(start, stop - start)
-            if blocks[start] != block:
-                block, ids, points = blocks[start], [], []
+            if tiles[start] != tile:
+                tile, ids, points = tiles[start], [], []
             vectors = matrix(piece["embedding"], dim)
             if sides[start] == 0:
                 units, usable = unit_rows(vectors)
@@ -158,17 +163,19 @@ def score_blocks(
                     ids, points = [np.concatenate(ids)], [np.concatenate(points)]
                 best = BestPoints(vectors, piece["k"].to_numpy())
                 best.add_units(ids[0], points[0])
-                yield _hits(best, piece["question_id"], schema)
+                yield from _hits(best, piece["question_id"], schema)
 
 
-def _hits(best: BestPoints, question_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+def _hits(best: BestPoints, question_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows, scores, ids = best.result()
-    return pa.RecordBatch.from_arrays(
-        [
-            question_ids.take(pa.array(rows, pa.int64())).cast(schema.field("question_id").type),
-            pa.array(ids, schema.field("id").type),
-            pa.array(scores, pa.float64()),
-            pa.array(best.wanted(rows), pa.int64()),
-        ],
-        schema=schema,
-    )
+    for start in range(0, len(rows), _OUTPUT_ROWS):
+        part = slice(start, start + _OUTPUT_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [
+                question_ids.take(pa.array(rows[part], pa.int64())).cast(schema.field("question_id").type),
+                pa.array(ids[part], schema.field("id").type),
+                pa.array(scores[part], pa.float64()),
+                pa.array(best.wanted(rows[part]), pa.int64()),
+            ],
+            schema=schema,
+        )

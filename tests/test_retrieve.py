@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import cosine
-from pagelore.operators.retrieve import build_context, retrieve, top_k, top_k_batch
+from pagelore.operators.retrieve import _grid, build_context, retrieve, top_k, top_k_batch
 
 POINT = "id string, title string, content string, embedding array<float>"
 QUESTION = "question_id int, embedding array<float>, k bigint"
@@ -100,6 +100,18 @@ def test_nothing_to_find(spark, plan):
     assert retrieve(points, questions.limit(0), **PLANS[plan]).count() == 0
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_one_question_for_everything(spark, plan):
+    """A question that wants more than there is, next to modest ones."""
+    rng = np.random.default_rng(6)
+    points = make_points(spark, rng.normal(size=(3000, 3)))
+    questions = make_questions(spark, rng.normal(size=(3, 3)).tolist(), [2**62, 2**62, 2])
+    got = top_k_batch(points, questions, **PLANS[plan])
+    counts = {r.question_id: (r["n"], r.top) for r in got.groupBy("question_id").agg(
+        F.countDistinct("id").alias("n"), F.max("rank").alias("top")).collect()}
+    assert counts == {0: (3000, 3000), 1: (3000, 3000), 2: (2, 2)}
+
+
 def test_integer_ids_order_as_numbers(spark):
     rows_ = [(i, "t", "c", [1.0, 0.0]) for i in (10, 9, 100, 2)]
     points = spark.createDataFrame(rows_, POINT.replace("id string", "id bigint"))
@@ -137,3 +149,14 @@ def test_context_layout(spark):
         2: "Page: \nContent: \n\n\n###",
         3: "",
     }
+
+
+def test_grid():
+    # Many points: memory sets the blocks, and questions stay whole.
+    assert _grid(10**9, 10**6, 46_000, 32_000) == (46_000, 1)
+    # As many questions as points: a square.
+    assert _grid(10**6, 10**6, 48, 10_000) == (100, 100)
+    # Few points, many questions: the questions are cut.
+    n_blocks, n_groups = _grid(1000, 10**7, 0.1, 1000)
+    assert (n_blocks, n_groups) == (1, 1000)
+    assert _grid(0, 5, 0.0, 8) == (1, 8)
