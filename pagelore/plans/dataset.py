@@ -54,7 +54,10 @@ def build_points(
 
 
 def export_batch(chunks: DataFrame, path: str, model: str, key: str = "title") -> None:
-    """First half of a batch embedding: check the keys, write the request lines."""
+    """First half of a batch embedding: check the keys, write the request lines.
+
+    Both halves read ``chunks`` more than once: pass a stored table.
+    """
     require_unique_keys(chunks, key)
     write_requests(batch_requests(chunks, model, key), path)
 

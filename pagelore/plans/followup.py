@@ -87,7 +87,8 @@ def follow_up_nested(
     read = conversations.select("conv_id", nested_known_roles(F.col("conversation")).alias("conversation"))
     located = read.withColumn("last_user", nested_last_user(F.col("conversation")))
     said = located.withColumn("question", F.get("conversation", "last_user"))
-    checked = _check(said, F.col("question.message"), input_verdicts)
+    unread = F.when(F.col("conversation").isNull(), F.lit("malformed_request"))
+    checked = _check(with_outcome(said, unread), F.col("question.message"), input_verdicts)
     if input_verdicts is not None and not isinstance(input_verdicts, DataFrame):
         use_checkpoints(conversations.sparkSession)
         checked = checked.checkpoint()

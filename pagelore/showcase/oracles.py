@@ -283,6 +283,9 @@ ORACLES: dict[str, str] = {
         SELECT 'Doc_' || vec_id AS title, text AS content, {_count('text')} AS tokens, {_TOTAL} AS total
         FROM embeddings JOIN documents ON vec_id = doc_id""",
     "snapshot_points": f"SELECT title, content, {_count('content')} AS tokens FROM ({_STORED_POINTS})",
+    "batch_import": f"""
+        SELECT 'Doc_' || vec_id AS title, text AS content, {_count('text')} AS tokens, {_TOTAL} AS total
+        FROM embeddings JOIN documents ON vec_id = doc_id""",
     "build_dataset": f"""
         SELECT title, content, {_count('content')} AS tokens, {DIM}::INTEGER AS n_values
         FROM ({_chunk(_clean_pages(_DUMPED_PAGES))})""",
@@ -337,8 +340,12 @@ ORACLES: dict[str, str] = {
         FROM ({_outcome(_VALIDATED)}) JOIN ({_COMPLETIONS}) USING (request_id)""",
     "ask": _RESPONSES,
     "answers_written": _RESPONSES,
+    "answer_lines": _RESPONSES,
     "known_roles": _KNOWN,
     "nested_turns": _renumbered("SELECT * FROM conversations"),
+    "conversation_lines": f"""
+        SELECT conv_id::VARCHAR AS conv_id, turn, role, text
+        FROM ({_renumbered("SELECT * FROM conversations")})""",
     "last_user_turn": f"""
         SELECT conv_id, asked AS turn, question AS text,
                CASE WHEN asked IS NULL THEN 'no_user_turn' ELSE 'ok' END AS status FROM ({_summary(_KNOWN)})""",

@@ -27,7 +27,7 @@ from pagelore.operators.moderate import gate
 from pagelore.operators.prompts import messages
 from pagelore.operators.retrieve import build_context, retrieve, top_k, top_k_batch
 from pagelore.plans.ask import ask, check, prepare
-from pagelore.plans.dataset import build_points, make_chunks, with_ids
+from pagelore.plans.dataset import build_points, import_batch, make_chunks, with_ids
 from pagelore.plans.followup import follow_up, follow_up_nested
 from pagelore.session import scratch_path, spread
 from pagelore.showcase import inputs as given
@@ -43,7 +43,14 @@ from pagelore.sources.batch_files import (
 )
 from pagelore.sources.dump import read_dump, write_dump
 from pagelore.sources.points import read_points, rebuild
-from pagelore.sources.requests import parse_requests, read_requests, to_responses, write_answers
+from pagelore.sources.requests import (
+    parse_conversations,
+    parse_requests,
+    read_requests,
+    to_responses,
+    write_answer_lines,
+    write_answers,
+)
 from pagelore.sources.wiki import current_text
 from pagelore.streaming.jobs import stream_ask, stream_follow_up
 
@@ -181,6 +188,14 @@ def build_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return points.select("title", "content", "tokens", F.size("embedding").alias("n_values"))
 
 
+def batch_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Results joined to their chunks, strictly, and made the points table."""
+    path = scratch_path(spark, "points")
+    chunks = _stored_for_rebuild(spark, sf).drop("embedding")
+    import_batch(chunks, parse_results(_result_lines(spark, sf)), path, DIM)
+    return read_points(spark, path).select("title", "content", "tokens", _total("embedding").alias("total"))
+
+
 def _hashed_points(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "points")
     build_points(spread(given.document_pages(spark, sf)), path, _EMBEDDER, DIM, CHUNK_TOKENS)
@@ -344,6 +359,14 @@ def answers_written(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).drop("duration")
 
 
+def answer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses as JSON lines, read back."""
+    path = scratch_path(spark, "answers")
+    responses = _ask(spark, sf, read_requests(given.requests(spark, sf)))
+    write_answer_lines(responses, path)
+    return spark.read.schema(responses.schema).json(path).drop("duration")
+
+
 # Conversations
 
 
@@ -356,6 +379,13 @@ def nested_turns(spark: SparkSession, sf: str) -> DataFrame:
     return explode_turns(nest_turns(table(spark, sf, "conversations")))
 
 
+def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads through their JSON form."""
+    nested = nest_turns(table(spark, sf, "conversations"))
+    line = F.to_json(F.struct(F.col("conv_id").alias("conversationId"), "conversation"))
+    return explode_turns(parse_conversations(nested.select(line.alias("value"))))
+
+
 def last_questions(spark: SparkSession, sf: str) -> DataFrame:
     return last_user_turn(known_roles(given.mixed_turns(spark, sf)))
 
@@ -467,6 +497,7 @@ QUERIES: dict[str, Query] = {
     "batch_progress": batch_progress_report,
     "rebuild_points": rebuild_points,
     "snapshot_points": snapshot_points,
+    "batch_import": batch_import,
     "build_dataset": build_dataset,
     "cosine_score": cosine_score,
     "topk_one": topk_one,
@@ -487,8 +518,10 @@ QUERIES: dict[str, Query] = {
     "attach_answers": attach_answers,
     "ask": ask_all,
     "answers_written": answers_written,
+    "answer_lines": answer_lines,
     "known_roles": known_role_turns,
     "nested_turns": nested_turns,
+    "conversation_lines": conversation_lines,
     "last_user_turn": last_questions,
     "followup_rewrite": followup_rewrite,
     "append_reply": append_replies,

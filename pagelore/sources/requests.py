@@ -1,4 +1,4 @@
-"""Ask requests in, responses out."""
+"""Ask and chat requests in, responses out."""
 
 from __future__ import annotations
 
@@ -52,6 +52,19 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     return read_requests(raw)
 
 
+def parse_conversations(lines: DataFrame) -> DataFrame:
+    """``conv_id, conversation`` from JSON objects in ``value`` (a batch or a stream).
+
+    Fields are ``conversationId`` and ``conversation``, a list of ``role, message``. A
+    line that cannot be read has a null conversation.
+    """
+    payload = "struct<conversationId:string,conversation:array<struct<role:string,message:string>>>"
+    read = lines.select(computed_once(F.from_json("value", payload).alias("payload")))
+    return read.select(
+        F.col("payload.conversationId").alias("conv_id"), F.col("payload.conversation").alias("conversation")
+    )
+
+
 def _unreadable(value: Column, kind: str) -> Column:
     return value.isNotNull() & (value.try_cast(kind).isNull() | value.contains("."))
 

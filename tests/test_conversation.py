@@ -11,6 +11,7 @@ from pagelore.operators.conversation import (
 )
 from pagelore.operators.embed import HashedWords
 from pagelore.plans.followup import follow_up, follow_up_nested, to_chat_responses
+from pagelore.sources.requests import parse_conversations
 
 TURN = "conv_id int, turn bigint, role string, text string"
 EMBEDDER = HashedWords(16)
@@ -107,6 +108,23 @@ def test_one_system_message_and_a_completer_function(spark, turns, options):
     assert response.version == "v" and response.question_tokens is None and response.response_tokens is None
 
 
+def test_payload_lines(spark, options):
+    lines = [
+        '{"conversationId":"a","conversation":[{"role":"user","message":"second only flagged"}],"model":"m"}',
+        '{"conversationId":"b","conversation":[]}',
+        '{"conversationId":"c"}',
+        "no json",
+    ]
+    read = parse_conversations(spark.createDataFrame([(x,) for x in lines], "value string"))
+    completions = spark.createDataFrame([("a", "R")], "conv_id string, completion string")
+    mine = options | {"completions": completions, "input_verdicts": None, "output_verdicts": None}
+    got = {r.conv_id: r for r in follow_up_nested(read, **mine).collect()}
+    assert {i: r.reason for i, r in got.items()} == {
+        "a": None, "b": "no_user_turn", "c": "malformed_request", None: "malformed_request"
+    }
+    assert [m.role for m in got["a"].conversation] == ["system", "user", "assistant"]
+
+
 def test_nest_and_explode(turns):
     back = explode_turns(nest_turns(turns))
     assert {tuple(r) for r in back.collect()} == set(CONVERSATIONS)
