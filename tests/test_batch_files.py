@@ -2,7 +2,6 @@ import json
 
 import pytest
 
-from pagelore.functions.tokens import SpaceTokenizer  # noqa: F401
 from pagelore.operators.embed import HashedWords
 from pagelore.plans.dataset import export_batch, import_batch, make_chunks
 from pagelore.sources.batch_files import (

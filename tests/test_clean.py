@@ -17,10 +17,10 @@ CASES = [
     ("'''bold''' and ''italic''", "bold and ''italic''"),
     ("'''''both'''''", "both"),
     ("[[Target|label]] and [[Plain]]", "label and Plain"),
-    ("[[a b]]", "a b"),
+    ("[[a\u2028b]]", "a b"),
     ("'''a\rb'''", "a b"),
-    ("a  b\u0085c\r\n\td e", "a b c d e"),
-    ("　 a  ", "a"),
+    ("a\u00a0\u00a0b\u0085c\r\n\td\u2028e", "a b c d e"),
+    ("\u3000 a \u00a0", "a"),
     ("plain text", "plain text"),
 ]
 
@@ -32,14 +32,14 @@ def test_content_steps(spark):
         assert got[i] == want, raw
 
 
-@pytest.mark.parametrize(("raw", "want"), [("_A_b_", "A b"), (" A ", "A"), ("__", "")])
+@pytest.mark.parametrize(("raw", "want"), [("_A_b_", "A b"), ("\u00a0A\u2003", "A"), ("__", "")])
 def test_title(spark, raw, want):
     frame = spark.createDataFrame([(raw,)], "t string")
     assert frame.select(clean_title(F.col("t"))).first()[0] == want
 
 
 def test_trim_and_blank(spark):
-    frame = spark.createDataFrame([("   \n",), (None,), ("",), (" x\t",)], "t string")
+    frame = spark.createDataFrame([(" \u00a0\u2028\n",), (None,), ("",), (" x\t",)], "t string")
     rows = frame.select(is_blank(F.col("t")), trim(F.col("t"))).collect()
     assert [r[0] for r in rows] == [True, True, True, False]
     assert rows[3][1] == "x"

@@ -31,7 +31,7 @@ ROWS = [
     ("backslash", "C:\\dir\\ end\\"),
     ("spaces", "  kept  "),
     ("null", None),
-    ("unicode", "ä　\U0001f600"),
+    ("unicode", "ä\u3000\U0001f600"),
 ]
 
 
