@@ -11,8 +11,9 @@ product and no pair ever becomes a row. Two plans, chosen by a counted size:
 * many questions: points are hashed into blocks of bounded size and questions into
   groups; each pair of block and group is a tile with a partition of its own.
 
-Both then rank the survivors in two steps, so that a question that drew hits
-from very many partitions is never sorted by one task alone.
+Both then rank the survivors in two steps, first per question and salt. What one
+task sorts for one question is thus bounded by its own ``k`` (salts times ``k`` rows),
+not by the number of partitions that sent hits.
 """
 
 from __future__ import annotations
