@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.llm.common import table
+from pagelore.llm.language import held_out, identify, learn
 from pagelore.llm.packing import pack
 from pagelore.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return identify(documents, learn(documents.where(~held_out())))
+
+
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,6 +29,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op3_packing": op3_packing,
     "op10_token_counts": op10_token_counts,
 }
