@@ -38,6 +38,19 @@ def keys(text: str, specials: tuple[str, ...]) -> list[str]:
     ]
 
 
+def special_tokens(path: str) -> tuple[str, ...]:
+    """The added tokens of a byte-level BPE tokenizer; an error if its file is no such thing."""
+    with open(path, encoding="utf-8") as file:
+        about = json.load(file)
+    pattern = about.get("pre_tokenizer") or {}
+    added = about.get("added_tokens") or []
+    if about.get("normalizer") or pattern.get("type") != "ByteLevel" or pattern.get("add_prefix_space"):
+        raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
+        raise ValueError(f"{path}: added tokens that take their surroundings")
+    return tuple(sorted((a["content"] for a in added), key=len, reverse=True))
+
+
 def literal(key: str) -> str:
     """The text that a key stands for."""
     return key[:-1] if key.endswith(" ") else " " + key
@@ -52,16 +65,8 @@ class Pieces:
     def __init__(self, path: str, max_kept: int = 300_000):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            about = json.load(file)
-        pattern = about.get("pre_tokenizer") or {}
-        added = about.get("added_tokens") or []
-        if about.get("normalizer") or pattern.get("type") != "ByteLevel" or pattern.get("add_prefix_space"):
-            raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
-        if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
-            raise ValueError(f"{path}: added tokens that take their surroundings")
+        self.specials = special_tokens(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = tuple(sorted((a["content"] for a in added), key=len, reverse=True))
         self._kept: dict[str, bytes] = {}
         self._max_kept = max_kept
 

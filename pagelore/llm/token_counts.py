@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import stored, text_slices
-from pagelore.llm.pretokens import Pieces, keys
+from pagelore.llm.pretokens import Pieces, keys, special_tokens
 
 # Most pre-tokens that every task gets a table of: at most some 20 MB.
 MAX_FREQUENT = 100_000
@@ -41,9 +41,9 @@ def token_counts(
     vocabulary = stored(_vocabulary(documents, tokenizer_path), "pretokens")
     known = dict(_frequent(vocabulary, max_frequent).collect())
     broadcast = documents.sparkSession.sparkContext.broadcast(known)
+    specials = special_tokens(tokenizer_path)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer_path)
         frequent = broadcast.value
         for batch in batches:
             for low, high in text_slices(batch.column("text")):
@@ -52,7 +52,7 @@ def token_counts(
                 rows = part.column("row").to_pylist()
                 for row, whole in zip(rows, part.column("text").to_pylist(), strict=True):
                     total = 0
-                    for key, times in Counter(keys(whole, pieces.specials)).items():
+                    for key, times in Counter(keys(whole, specials)).items():
                         count = frequent.get(key)
                         if count is None:
                             rare_row.append(row)
@@ -96,11 +96,14 @@ def token_counts(
     )
 
 
-def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 400_000) -> DataFrame:
-    """Rows ``pretoken, n, pieces``: every distinct pre-token, how often it occurs, its tokens."""
+def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 150_000) -> DataFrame:
+    """Rows ``pretoken, n, pieces``: every distinct pre-token, how often it occurs, its tokens.
+
+    A task adds up in tables of ``max_kept`` pre-tokens or so, then passes them on.
+    """
+    specials = special_tokens(tokenizer_path)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = Pieces(tokenizer_path).specials
         counts: Counter[str] = Counter()
         for batch in batches:
             texts = batch.column(0)
