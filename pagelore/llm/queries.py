@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.llm.common import table
 from pagelore.llm.language import held_out, identify, learn
+from pagelore.llm.near_copies import near_copies
+from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from pagelore.llm.packing import pack
 from pagelore.llm.token_counts import token_counts
 
@@ -24,6 +26,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return near_copies(table(spark, sf, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,7 +37,6 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op3_packing": op3_packing,
+    "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLES: dict[str, str] = {}
