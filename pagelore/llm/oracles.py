@@ -31,6 +31,51 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM listed JOIN smallest USING (doc_id)
 """
 
+QUALITY = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM split, unnest(range(1, len(w) - 1)) AS u(i)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest([0, 1, 2]) AS u(k) GROUP BY doc_id
+), full_lines AS (
+  SELECT doc_id, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS f FROM split
+), line AS (
+  SELECT doc_id, unnest(f) AS x FROM full_lines
+), measured AS (
+  SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+         length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+         len(regexp_extract_all(x, '[#*$%&|<>{}!~^=_\\]')) AS signs,
+         len(list_filter(regexp_extract_all(x, '[^\x20\x09-\x0D]+'),
+                         lambda s: s IN ('|', '>', '/', '·', '•', '›', '»'))) AS separators
+  FROM line
+), passing AS (
+  SELECT doc_id, sum(chars) AS kept_chars FROM measured
+  WHERE NOT (words < 6 AND NOT regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$'))
+    AND 100 * signs <= 10 * chars AND 100 * separators <= 20 * words
+    AND NOT (words <= 30 AND regexp_matches(x, '(?i)all rights reserved|terms of (use|service)|privacy policy|cookie'
+      || '|javascript|lorem ipsum|newsletter|click here|read more|sign (in|up)|log ?in'
+      || '|^[\x20\x09-\x0D]*(©|\(c\)|copyright)'))
+  GROUP BY doc_id
+), counts AS (
+  SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(f) - len(list_distinct(f)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(kept_chars, 0) AS BIGINT) AS kept_chars
+  FROM split s JOIN full_lines USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN passing USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 50 * word_chars AS kept
+FROM counts
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_quality": QUALITY,
     "op9_near_copies": NEAR_COPIES,
 }

@@ -12,6 +12,7 @@ from pagelore.llm.language import held_out, identify, learn
 from pagelore.llm.near_copies import near_copies
 from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from pagelore.llm.packing import pack
+from pagelore.llm.quality import quality
 from pagelore.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,10 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(documents, learn(documents.where(~held_out())))
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
