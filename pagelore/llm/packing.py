@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.common import text_slices
 from pagelore.llm.differencing import windows
-from pagelore.llm.pretokens import Pieces
+from pagelore.llm.pretokens import Pieces, RankedPieces
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -28,6 +28,8 @@ def pack(
     max_piece: int = 512,
     group: int = 4096,
     end_id: int = 0,
+    ranks_path: str | None = None,
+    ranks_pattern: str = "",
 ) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence of ``capacity`` tokens.
 
@@ -39,6 +41,9 @@ def pack(
     sequence number holds the task's number, so tasks need not know of each other.
     Only the last group of a task is smaller, which costs part of one sequence.
 
+    ``ranks_path`` and ``ranks_pattern`` may give the same vocabulary as ranks, which is
+    faster and changes no id.
+
     A null text is an empty one (one piece with ``end_id``); a null ``doc_id`` stays
     null; a repeated row is packed again; other columns are left out, whatever their
     names. No rows give no pieces.
@@ -50,7 +55,10 @@ def pack(
     ]
 
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer_path)
+        if ranks_path is None:
+            pieces = Pieces(tokenizer_path)
+        else:
+            pieces = RankedPieces(tokenizer_path, ranks_path, ranks_pattern)
         end = int(end_id).to_bytes(4, "little")
         held: list[np.ndarray] = []
         n_held = used = 0

@@ -8,9 +8,12 @@ it is with a space appended. Keys of the first kind hold no space, so none is am
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 
+import numpy as np
+
 _GAP = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 
@@ -57,18 +60,13 @@ def literal(key: str) -> str:
 
 
 class Pieces:
-    """A tokenizer with the ids of the keys met so far; lives in one task.
-
-    The store is emptied at ``max_kept`` keys, which bounds memory and changes no result.
-    """
+    """A tokenizer, loaded where it encodes."""
 
-    def __init__(self, path: str, max_kept: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.specials = special_tokens(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self._kept: dict[str, bytes] = {}
-        self._max_kept = max_kept
 
     def counts(self, wanted: list[str]) -> list[int]:
         """Number of ids of each key."""
@@ -77,13 +75,42 @@ class Pieces:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        cut = [keys(t, self.specials) for t in texts]
-        missing = list(set().union(*cut).difference(self._kept))
-        if len(self._kept) + len(missing) > self._max_kept:
-            self._kept = {}
-            missing = list(set().union(*cut))
-        encoded = self.tokenizer.encode_batch_fast([literal(k) for k in missing], add_special_tokens=False)
-        for key, piece in zip(missing, encoded, strict=True):
-            self._kept[key] = b"".join(i.to_bytes(4, "little") for i in piece.ids)
-        known = self._kept.__getitem__
-        return [b"".join(map(known, k)) for k in cut]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
+# Characters that all Unicode versions of the last decade class alike.
+_SETTLED = re.compile("[^\\x00-\\u052f\\u2000-\\u206f]")
+_LONGEST = 1000
+
+
+class RankedPieces(Pieces):
+    """The same ids from the vocabulary as ranks, at twice the speed, where they are surely the same.
+
+    That is for texts of settled characters without special tokens and without very long
+    words or gaps, which the faster library handles badly. All others take the usual way.
+    """
+
+    def __init__(self, path: str, ranks_path: str, pattern: str):
+        import tiktoken
+
+        super().__init__(path)
+        with open(ranks_path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if self._is_plain(t)]
+        out = dict.fromkeys(range(len(texts)), b"")
+        for i in plain:
+            out[i] = self.ranked.encode_to_numpy(texts[i], disallowed_special=()).astype("<u4").tobytes()
+        others = sorted(out.keys() - set(plain))
+        out.update(zip(others, super().ids([texts[i] for i in others]), strict=True))
+        return list(out.values())
+
+    def _is_plain(self, text: str) -> bool:
+        if not text.isascii() and _SETTLED.search(text):
+            return False
+        if any(s in text for s in self.specials) or " " * _LONGEST in text:
+            return False
+        return max(map(len, text.split(" "))) <= _LONGEST

@@ -13,12 +13,13 @@ from tokenizers import Tokenizer
 
 from pagelore.llm.differencing import difference, windows
 from pagelore.llm.packing import pack
-from pagelore.llm.pretokens import Pieces, keys, literal
+from pagelore.llm.pretokens import Pieces, RankedPieces, keys, literal
 from pagelore.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
 PIECES = Pieces(PATH)
+RANKED = RankedPieces(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 TEXTS = [
     (1, "Two words, and more words.\n\nA  wide   gap \n"),
@@ -43,7 +44,19 @@ def test_keys_are_encoded_independently(parts):
     text = "".join(parts)
     ids = [i for k in keys(text, PIECES.specials) for i in TOKENIZER.encode(literal(k), add_special_tokens=False).ids]
     assert ids == whole(text)
-    assert np.frombuffer(PIECES.ids([text])[0], "<u4").tolist() == ids
+    for way in (PIECES, RANKED):
+        assert np.frombuffer(way.ids([text, "x"])[0], "<u4").tolist() == ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_ranks_give_the_same_ids(text):
+    assert RANKED.ids([text, ""]) == PIECES.ids([text, ""])
+
+
+def test_ranks_leave_long_words_to_the_tokenizer():
+    long = ["a" * 50_000, " " * 50_000, "b " * 20_000]
+    assert RANKED.ids(long) == PIECES.ids(long)
 
 
 @settings(max_examples=100, deadline=None)
@@ -78,7 +91,9 @@ def test_empty_tables(spark):
 def test_pack_is_whole_and_tight(spark):
     many = TEXTS + [(100 + i, f"text number {i} " * (i % 97)) for i in range(2000)]
     frame = spark.createDataFrame([(i, t, 1) for i, t in many], "doc_id long, text string, offset int").coalesce(2)
-    got = pack(frame, PATH).collect()
+    got = pack(
+        frame, PATH, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), ranks_pattern=public_tokenizers.PATTERN
+    ).collect()
     texts = {}
     for i, t in many:
         texts.setdefault(i, []).append(t)
