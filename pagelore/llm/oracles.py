@@ -75,7 +75,26 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counts
 """
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((h // {0}) % 32)::INT, 1)"
+
+# SHA-1 in 8 groups of 5 hex digits; each is four digits of base 32.
+WARC = f"""
+WITH given AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), grouped AS (
+  SELECT page_id, hex, i, ('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT AS h FROM given, unnest(range(8)) AS u(i)
+), digest AS (
+  SELECT hex, string_agg({" || ".join(_DIGIT.format(32**k) for k in (3, 2, 1, 0))}, '' ORDER BY i) AS payload_digest
+  FROM (SELECT DISTINCT hex, i, h FROM grouped) GROUP BY hex
+), latest AS (SELECT hex, max(page_id) AS response FROM given GROUP BY hex)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM given JOIN digest USING (hex) JOIN latest USING (hex)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality": QUALITY,
+    "op4_warc": WARC,
     "op9_near_copies": NEAR_COPIES,
 }

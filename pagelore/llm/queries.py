@@ -14,6 +14,8 @@ from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the que
 from pagelore.llm.packing import pack
 from pagelore.llm.quality import quality
 from pagelore.llm.token_counts import token_counts
+from pagelore.llm.warc import read_archives, with_revisits, write_archives
+from pagelore.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +43,14 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(with_revisits(table(spark, sf, "pages"), "page_id", "url", "html"), path)
+    return read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(table(spark, sf, "documents"))
 
@@ -53,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
 }
