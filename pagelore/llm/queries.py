@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.llm.common import table
+from pagelore.llm.html_text import extract_pages
 from pagelore.llm.language import held_out, identify, learn
 from pagelore.llm.near_copies import near_copies
 from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
@@ -51,6 +52,10 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_pages(table(spark, sf, "pages"))
+
+
 def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(table(spark, sf, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
 }
