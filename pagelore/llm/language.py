@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute known)
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.byte_trees import build, count_strings, padded
-from pagelore.llm.common import text_slices
+from pagelore.llm.common import smallest_by_hash, text_slices
 
 UNDETERMINED = "und"
 
@@ -79,21 +79,7 @@ def learn(
     rows = labelled.select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("hash")
     ).where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_doc_bytes))
-    numbers = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not numbers:
-        return LanguageModel([], spark.sparkContext.broadcast(None))
-    # Only rows that can be among the smallest are ranked: a few more than are wanted.
-    share = [(k, min(1.0, (sample_docs + 8 * sample_docs**0.5) / n)) for k, n in numbers.items()]
-    shares = spark.createDataFrame(share, "lang string, share double")
-    fraction = F.col("hash") / F.lit(2.0**64) + 0.5
-    ranked = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    sample = (
-        rows.join(F.broadcast(shares), "lang")
-        .where(fraction <= F.col("share"))
-        .withColumn("rank", ranked)
-        .where(F.col("rank") <= sample_docs)
-        .select("lang", "text")
-    )
+    sample = smallest_by_hash(rows, "lang", sample_docs).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +98,13 @@ def learn(
         .toArrow()
     )
     languages = sorted(pa.compute.unique(counts["lang"]).to_pylist())
+    if not languages:
+        return LanguageModel([], spark.sparkContext.broadcast(None))
     per_language = []
     for one in languages:
         own = counts.filter(pa.compute.equal(counts["lang"], one))
         per_language.append((own["string"].to_numpy().astype(np.uint64), own["n"].to_numpy()))
-    trees = build(per_language, order) if languages else None
+    trees = build(per_language, order)
     # As bytes: the classes travel with them, so executors need no copy of this package.
     return LanguageModel(languages, spark.sparkContext.broadcast(cloudpickle.dumps(trees)))
 

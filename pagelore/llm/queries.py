@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelore.llm.common import table
 from pagelore.llm.html_text import extract_pages
@@ -13,8 +14,10 @@ from pagelore.llm.language import held_out, identify, learn
 from pagelore.llm.near_copies import near_copies
 from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from pagelore.llm.packing import pack
+from pagelore.llm.permutation_index import build_index, search
 from pagelore.llm.quality import quality
 from pagelore.llm.token_counts import token_counts
+from pagelore.llm.url_filter import Rule, judge_urls
 from pagelore.llm.warc import read_archives, with_revisits, write_archives
 from pagelore.session import scratch_path
 
@@ -56,6 +59,25 @@ def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return extract_pages(table(spark, sf, "pages"))
 
 
+# The rules the urls are judged by.
+URL_RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+
+
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    index = build_index(table(spark, sf, "embeddings"))
+    return search(index, F.col("vec_id") % 50 == 0)
+
+
 def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(table(spark, sf, "documents"))
 
@@ -70,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
+    "op6_url_filter": op6_url_filter,
+    "op8_neighbours": op8_neighbours,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
 }
