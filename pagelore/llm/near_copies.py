@@ -93,6 +93,30 @@ def near_copies(
     )
 
 
+def keep_one(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    forest: Forest = Forest(),
+) -> DataFrame:
+    """``documents`` with one of each component of near-copies, the one of smallest ``doc_id``; all columns stay.
+
+    See ``near_copies``. Rows without an id, and texts without words, stay. Repeated rows
+    of one id and text are reduced to one. Only ids are joined; no rows give no rows.
+    """
+    found = near_copies(documents, doc_id, text, width, percent, forest)
+    found = stored(found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(doc_id), "kept"), "kept")
+    gone = stored(found.where(~F.col("kept")).select(doc_id).distinct(), "gone")
+    repeated = stored(found.groupBy(doc_id).count().where(F.col("count") > 1).select(doc_id), "repeated")
+    left = documents.join(gone, doc_id, "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id, text])
+    return left.join(repeated, doc_id, "left_anti").unionByName(once)
+
+
 def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
     n_labels = forest.trees * forest.depth
     functions = hash_functions(max(n_labels, forest.sketch_bits))

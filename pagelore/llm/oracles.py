@@ -93,8 +93,71 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM given JOIN digest USING (hex) JOIN latest USING (hex)
 """
 
+def _level(number: int, parents: tuple[str, ...], name: str, weight: str) -> str:
+    """Budgets of one level: the greatest number of scarce children that are exhausted, the rest by weight."""
+    group = ", ".join(parents)
+    by = f"PARTITION BY {group}" if parents else ""
+    using = f"JOIN b{number - 1} USING ({group})" if parents else f"CROSS JOIN b{number - 1}"
+    key = ", ".join((*parents, name))
+    return f"""
+c{number} AS (
+  SELECT {key}, CASE WHEN w > 0 THEN room ELSE 0 END AS room, w, budget
+  FROM (SELECT {key}, sum(room)::HUGEINT AS room, ({weight})::HUGEINT AS w FROM leaves GROUP BY {key}) {using}
+), e{number} AS (
+  SELECT *, room * (sum(w) OVER ({by}) - coalesce(sum(w) OVER before, 0))
+            <= w * (budget - coalesce(sum(room) OVER before, 0)) AS exhausted
+  FROM c{number}
+  WINDOW before AS ({by} ORDER BY CASE WHEN w > 0 THEN room::DOUBLE / w::DOUBLE ELSE 0 END, {name}
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s{number} AS (
+  SELECT *, budget - sum(CASE WHEN exhausted THEN room ELSE 0 END) OVER ({by}) AS rest,
+         sum(CASE WHEN exhausted THEN 0 ELSE w END) OVER ({by}) AS all_w,
+         sum(CASE WHEN exhausted THEN 0 ELSE w END) OVER ({by} ORDER BY {name}) AS to_w
+  FROM e{number}
+), b{number} AS (
+  SELECT {key}, CASE WHEN exhausted THEN room
+                ELSE (rest * to_w)::HUGEINT // nullif(all_w, 0)::HUGEINT
+                     - (rest * (to_w - w))::HUGEINT // nullif(all_w, 0)::HUGEINT END AS budget
+  FROM s{number}
+)"""
+
+
+MIXING = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce((strlen(text) + 3) // 4, 0) AS n_tokens,
+         coalesce('d' || (TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3), '') AS domain,
+         coalesce(lang, '') AS language, coalesce(source, '') AS source_name
+  FROM documents
+), leaves AS (
+  SELECT domain, language, source_name, sum(n_tokens)::HUGEINT AS tokens, 3 * sum(n_tokens)::HUGEINT AS room
+  FROM docs GROUP BY ALL
+), b0 AS (SELECT sum(tokens)::HUGEINT * 70 // 100 AS budget FROM leaves),
+{_level(1, (), "domain", "CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END")},
+{_level(2, ("domain",), "language", "CASE language WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")},
+{_level(3, ("domain", "language"), "source_name", "1")},
+epochs AS (
+  SELECT domain, language, source_name, budget // tokens AS whole, budget % tokens AS rest
+  FROM b3 JOIN leaves USING (domain, language, source_name) WHERE budget > 0
+), ordered AS (
+  SELECT d.*, whole, rest, md5('7:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM docs d JOIN epochs USING (domain, language, source_name)
+), summed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source_name ORDER BY place, n_tokens
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till
+  FROM ordered
+), cut AS (
+  SELECT domain, language, source_name, max(place) AS last FROM summed
+  WHERE rest > 0 AND (till <= rest OR (till - n_tokens < rest AND till - rest < rest - (till - n_tokens)))
+  GROUP BY ALL
+)
+SELECT doc_id, CAST(u.e AS INTEGER) AS epoch, n_tokens::BIGINT AS n_tokens, domain, language, source_name
+FROM ordered LEFT JOIN cut USING (domain, language, source_name),
+     unnest(range((whole + CASE WHEN place <= last THEN 1 ELSE 0 END)::BIGINT)) AS u(e)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality": QUALITY,
     "op4_warc": WARC,
+    "op7_mixing": MIXING,
     "op9_near_copies": NEAR_COPIES,
 }

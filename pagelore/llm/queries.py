@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import table
 from pagelore.llm.html_text import extract_pages
 from pagelore.llm.language import held_out, identify, learn
+from pagelore.llm.mixing import mix
 from pagelore.llm.near_copies import near_copies
 from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from pagelore.llm.packing import pack
@@ -73,6 +74,28 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+# The tree of sources: every source is in one of three domains, by the number in its name.
+def levels() -> dict[str, Column]:
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
+    domain = F.concat(F.lit("d"), (number % 3).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+
+
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix(table(spark, sf, "documents"), levels(), WEIGHTS, percent=70, max_epochs=3)
+    return mixed.select(
+        "doc_id",
+        F.col("_epoch").alias("epoch"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_domain").alias("domain"),
+        F.col("_lang").alias("language"),
+        F.col("_source").alias("source_name"),
+    )
+
+
 def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     index = build_index(table(spark, sf, "embeddings"))
     return search(index, F.col("vec_id") % 50 == 0)
@@ -93,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
+    "op7_mixing": op7_mixing,
     "op8_neighbours": op8_neighbours,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
