@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import stored, text_slices
-from pagelore.llm.pretokens import Pieces, keys, special_tokens
+from pagelore.llm.pretokens import Pieces, halves, keys, special_tokens
 
 # Most pre-tokens that every task gets a table of: at most some 20 MB.
 MAX_FREQUENT = 100_000
@@ -53,13 +53,14 @@ def token_counts(
                 for row, whole in zip(rows, part.column("text").to_pylist(), strict=True):
                     total = 0
                     for key, times in Counter(keys(whole, specials)).items():
-                        count = frequent.get(key)
-                        if count is None:
-                            rare_row.append(row)
-                            rare_key.append(key)
-                            rare_n.append(times)
-                        else:
-                            total += times * count
+                        for half in halves(key):
+                            count = frequent.get(half)
+                            if count is None:
+                                rare_row.append(row)
+                                rare_key.append(half)
+                                rare_n.append(times)
+                            else:
+                                total += times * count
                     n.append(total)
                 heads = part.num_rows
                 yield pa.record_batch(
@@ -96,10 +97,10 @@ def token_counts(
     )
 
 
-def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 150_000) -> DataFrame:
+def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 300_000) -> DataFrame:
     """Rows ``pretoken, n, pieces``: every distinct pre-token, how often it occurs, its tokens.
 
-    A task adds up in tables of ``max_kept`` pre-tokens or so, then passes them on.
+    A task adds up in tables of ``max_kept`` cuts of texts or so, then passes them on.
     """
     specials = special_tokens(tokenizer_path)
 
@@ -135,7 +136,11 @@ def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 150_0
 
 
 def _counted(counts: Counter[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    names, numbers = list(counts.keys()), list(counts.values())
+    by_half: Counter[str] = Counter()
+    for key, times in counts.items():
+        for half in halves(key):
+            by_half[half] += times
+    names, numbers = list(by_half.keys()), list(by_half.values())
     for i in range(0, len(names), rows):
         yield pa.record_batch(
             {"pretoken": pa.array(names[i : i + rows], pa.string()), "n": pa.array(numbers[i : i + rows], pa.int64())}

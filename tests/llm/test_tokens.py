@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pagelore.llm.differencing import difference, windows
 from pagelore.llm.packing import pack
-from pagelore.llm.pretokens import Pieces, RankedPieces, keys, literal
+from pagelore.llm.pretokens import Pieces, RankedPieces, halves, keys, literal
 from pagelore.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,11 +39,17 @@ def whole(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"ab' .,\n\t\x1f\u00a0\u2003\u00e91\u5b57\r", "  ", "<|endoftext|>", "'s"]), max_size=30))
+@given(st.lists(st.sampled_from([*"ab' .,\n\t\x1f\u00a0\u2003\u00e91\u5b57\r|\u00d7\u0301", "  ", "<|endoftext|>", "'s"]), max_size=30))
 def test_keys_are_encoded_independently(parts):
     text = "".join(parts)
     ids = [i for k in keys(text, PIECES.specials) for i in TOKENIZER.encode(literal(k), add_special_tokens=False).ids]
     assert ids == whole(text)
+    assert ids == [
+        i
+        for k in keys(text, PIECES.specials)
+        for h in halves(k)
+        for i in TOKENIZER.encode(literal(h), add_special_tokens=False).ids
+    ]
     for way in (PIECES, RANKED):
         assert np.frombuffer(way.ids([text, "x"])[0], "<u4").tolist() == ids
 
