@@ -77,9 +77,11 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     steps = F.transform(
         "_q_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_q_places", i + 1) - p, F.lit(3)))
     )
+    # Behind a generator: else a filter on the outcome would be moved below, and with it
+    # all of the above, to be computed for each window anew.
     counted = places.select(
         *documents.columns,
-        F.struct(
+        _once(
             n.cast("long").alias("n_words"),
             F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -95,6 +97,10 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumn("_quality", q.withField("base_failed", failed).withField("kept", kept))
 
 
+def _once(*fields: Column) -> Column:
+    return F.explode(F.array(F.struct(*fields)))
+
+
 def _word_chars(line: Column) -> Column:
     return F.length(F.regexp_replace(line, SPACE, ""))
 
