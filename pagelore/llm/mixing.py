@@ -74,30 +74,34 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
+def _weight(name: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
+    weight = F.lit(1)
+    for value, w in weights.get(name[1:], {}).items():
+        weight = F.when(F.col(name) == value, F.lit(w)).otherwise(weight)
+    return weight
+
+
 def _budgets(
     narrow: DataFrame, names: Sequence[str], weights: Mapping[str, Mapping[str, int]], percent: int, max_epochs: int
 ) -> DataFrame:
     """``names``, ``tokens`` and ``budget`` of each leaf."""
     whole = "cast({} as decimal(38,0))".format
-    nodes = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")).withColumn(
-        "room", F.expr(whole("tokens")) * max_epochs
-    )
+    wanted = F.lit(True)
+    for name in names:
+        wanted &= _weight(name, weights) > 0
+    # What has no weight gives nothing.
+    room = F.when(wanted, F.expr(whole("tokens")) * max_epochs).otherwise(0).cast("decimal(38,0)")
+    nodes = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")).withColumn("room", room)
     nodes = stored(nodes, "leaves")
     total = F.expr(f"cast({whole('sum(tokens)')} * {percent} div 100 as decimal(38,0))")
     above = nodes.groupBy().agg(total.alias("budget"))
     for depth, name in enumerate(names):
         parents = names[:depth]
         own = names[: depth + 1]
-        by_value = weights.get(name[1:], {})
-        weight = F.lit(1)
-        for value, w in by_value.items():
-            weight = F.when(F.col(name) == value, F.lit(w)).otherwise(weight)
         children = (
             nodes.groupBy(*own)
-            .agg(F.sum("room").alias("room"))
-            .withColumn("weight", weight.cast("decimal(38,0)"))
-            # What has no weight gives nothing.
-            .withColumn("room", F.expr("if(weight > 0, cast(room as decimal(38,0)), cast(0 as decimal(38,0)))"))
+            .agg(F.sum("room").cast("decimal(38,0)").alias("room"))
+            .withColumn("weight", _weight(name, weights).cast("decimal(38,0)"))
         )
         children = children.join(above, parents) if parents else children.crossJoin(above)
         siblings = Window.partitionBy(*parents)

@@ -1,0 +1,104 @@
+"""Byte trees against a plain implementation, and languages told apart."""
+
+import math
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pagelore.llm.byte_trees import Table, build, count_strings, padded
+from pagelore.llm.language import held_out, identify, learn, reject_unknown
+
+ORDER = 3
+
+
+def plain_bits(training, text):
+    """Code length of ``text`` after ``training``, byte by byte, with dictionaries."""
+    contexts = {}
+    for one in training:
+        whole = b"\n" * ORDER + one
+        for i in range(ORDER, len(whole)):
+            for d in range(ORDER + 1):
+                contexts.setdefault(whole[i - d : i], Counter())[whole[i]] += 1
+    bits = 0.0
+    whole = b"\n" * ORDER + text
+    for i in range(ORDER, len(whole)):
+        for d in range(ORDER, -1, -1):
+            seen = contexts.get(whole[i - d : i])
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if seen[whole[i]]:
+                bits += math.log2(total / seen[whole[i]])
+                break
+            bits += math.log2(total / len(seen))
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_exact():
+    training = [[b"abracadabra", b"banana"], [b"\xc3\xa9t\xc3\xa9 en \xc3\xa9t\xc3\xa9", b"a"]]
+    texts = [b"abra", b"\xc3\xa9t\xc3\xa9", b"zzz", b"\n\n", b"a" * 5000, bytes(range(256))]
+    trees = build([count_strings(iter(t), ORDER) for t in training], ORDER)
+    got = trees.code_lengths(*padded(texts, ORDER))
+    want = [[plain_bits(t, text) for t in training] for text in texts]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_table_finds_all_and_nothing_else():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**40, 5000, dtype=np.uint64))
+    table = Table(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(np.arange(5000, dtype=np.uint64), keys)
+    assert (table.find(others) == -1).all()
+
+
+ROWS = [(i, t, lang) for lang, base, text in (("en", 0, "the cat and the dog sat on that mat "), ("de", 100, "der hund und die katze sind nicht dort "))
+        for i in range(base, base + 40) for t in (text * (1 + i % 5),)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, score string, best double")
+
+
+def test_languages_and_odd_texts(spark):
+    odd = [
+        (1000, None, "en"),
+        (1001, "", "en"),
+        (1002, "123 --- ...", "en"),
+        (1003, "the dog and the cat", None),
+        (1004, "die katze und der hund", None),
+        (1004, "die katze und der hund", None),
+        (None, "the mat", None),
+        (1005, "the cat sat " * 100_000, None),
+    ]
+    documents = frame(spark, ROWS + odd)
+    model = learn(documents.where(~held_out()))
+    assert model.languages == ["de", "en"]
+    found = identify(documents, model).collect()
+    assert len(found) == len(ROWS) + len(odd)
+    by_id = {r.doc_id: r for r in found}
+    assert all(by_id[i].lang_pred == lang for i, _, lang in ROWS)
+    assert [by_id[i].lang_pred for i in (1000, 1001, 1002, 1003, 1004, 1005, None)] == ["und"] * 3 + ["en", "de", "en", "en"]
+    assert by_id[1000].score == 0.0 and 0.99 < by_id[1005].score <= 1
+    kept = reject_unknown(documents, model)
+    assert kept.columns == documents.columns
+    langs = {r.doc_id: r.lang for r in kept.collect()}
+    assert langs[1003] == "en" and not langs.keys() & {1000, 1001, 1002}
+    assert kept.count() == len(ROWS) + len(odd) - 3
+
+
+def test_held_out_is_by_crc32_of_the_text_of_the_id(spark):
+    import zlib
+
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), held_out().alias("out")).collect()
+    assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_nothing_to_learn_from(spark):
+    none = frame(spark, [(1, "text", None), (2, None, "en")])
+    model = learn(none)
+    assert model.languages == []
+    assert [r.lang_pred for r in identify(none, model).collect()] == ["und", "und"]
+    assert identify(none.limit(0), model).collect() == []
