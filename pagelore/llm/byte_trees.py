@@ -25,7 +25,7 @@ class Table:
     """Row numbers of distinct 64-bit keys, found by open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.rows = np.full(1 << bits, -1, np.int32)
@@ -39,6 +39,16 @@ class Table:
             self.keys[slot[placed]] = keys[left[placed]]
             left, slot = left[~placed], (slot[~placed] + 1) & self.mask
 
+    def __getstate__(self) -> np.ndarray:
+        """The keys in order: a table travels without its empty slots."""
+        at = np.flatnonzero(self.rows >= 0)
+        keys = np.empty(len(at), np.uint64)
+        keys[self.rows[at]] = self.keys[at]
+        return keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MIX) >> self.shift).astype(np.int64)
 

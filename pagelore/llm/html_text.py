@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import text_slices
+from pagelore.llm.common import arrow_column, text_slices
 from pagelore.llm.html_blocks import main_text
 
 
@@ -22,8 +22,7 @@ def extracted(html: Column) -> Column:
                 texts += [main_text(page or "") for page in pages.slice(low, high - low).to_pylist()]
             yield pa.array(texts, pa.string())
 
-    extract.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(extract, "string")(html)
+    return arrow_column(extract, "string", html)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

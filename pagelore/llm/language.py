@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.byte_trees import build, count_strings, padded
-from pagelore.llm.common import smallest_by_hash, text_slices
+from pagelore.llm.common import arrow_column, map_arrow, smallest_by_hash, text_slices
 
 UNDETERMINED = "und"
 
@@ -41,8 +41,8 @@ class LanguageModel:
                 F.lit(0.0).alias("score"),
                 F.lit(None).cast("double").alias("bits_per_byte"),
             )
-        scored = F.arrow_udf(_scorer(self.trees), "struct<best int, score double, bits double>")(
-            F.when(has_letter, text)
+        scored = arrow_column(
+            _scorer(self.trees), "struct<best int, score double, bits double>", F.when(has_letter, text)
         )
         names = F.array(*map(F.lit, self.languages))
         return F.transform(
@@ -92,7 +92,7 @@ def learn(
                 )
 
     counts = (
-        sample.mapInArrow(count, "lang string, string long, n long")
+        map_arrow(sample, count, "lang string, string long, n long")
         .groupBy("lang", "string")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -138,7 +138,6 @@ def _scorer(trees: Broadcast):
                 ["best", "score", "bits"],
             )
 
-    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return score
 
 

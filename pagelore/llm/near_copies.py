@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import stored, text_slices
+from pagelore.llm.common import map_arrow, stored, text_slices
 from pagelore.llm.components import components
 from pagelore.llm.shingles import WordHashes, digest, hash_functions, min_labels, shingle_set, words_of
 from pagelore.operators.lookup import lookup
@@ -151,7 +151,7 @@ def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
                     }
                 )
 
-    return documents.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, labels binary, sketch binary")
+    return map_arrow(documents, sign, "doc_id long, n_shingles long, digest binary, labels binary, sketch binary")
 
 
 def _candidates(classes: DataFrame, percent: int, forest: Forest) -> DataFrame:
@@ -183,7 +183,7 @@ def _candidates(classes: DataFrame, percent: int, forest: Forest) -> DataFrame:
             if a:
                 yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return map_arrow(rows, compare, "a long, b long")
 
 
 def _split(labels: np.ndarray, low: int, high: int, depth: int, forest: Forest) -> Iterator[tuple[int, int]]:
@@ -250,11 +250,8 @@ def _confirmed(
                 columns = [part.column(c) for c in ("component", "blocks", "doc_id")]
                 yield pa.record_batch([*columns, pa.array(sets, pa.binary())], ["component", "blocks", "doc_id", "set"])
 
-    sets = (
-        lookup(documents, members, "doc_id")
-        .select("component", "blocks", "doc_id", "text")
-        .mapInArrow(shingle, "component long, blocks int, doc_id long, set binary")
-    )
+    texts = lookup(documents, members, "doc_id").select("component", "blocks", "doc_id", "text")
+    sets = map_arrow(texts, shingle, "component long, blocks int, doc_id long, set binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     meetings = (
         sets.withColumn("own", own)
@@ -292,7 +289,7 @@ def _confirmed(
             if a:
                 yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return meetings.mapInArrow(confirm, "a long, b long")
+    return map_arrow(meetings, confirm, "a long, b long")
 
 
 def _links(sets: list[np.ndarray], own: np.ndarray | None, percent: int) -> np.ndarray:

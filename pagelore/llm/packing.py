@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import text_slices
+from pagelore.llm.common import map_arrow, text_slices
 from pagelore.llm.differencing import windows
 from pagelore.llm.pretokens import Pieces, RankedPieces
 
@@ -84,7 +84,7 @@ def pack(
             rows = np.concatenate(held)
             yield _placed(rows, task, used, windows(rows["length"], capacity))
 
-    return documents.select(given).mapInArrow(pack_batches, SCHEMA)
+    return map_arrow(documents.select(given), pack_batches, SCHEMA)
 
 
 _PIECE = np.dtype(

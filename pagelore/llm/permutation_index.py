@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import stored
+from pagelore.llm.common import map_arrow, stored
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def build_index(
                 names=["row", "vec_id", "vector", "order"],
             )
 
-    rows = given.mapInArrow(order, "row long, vec_id long, vector array<double>, order binary")
+    rows = map_arrow(given, order, "row long, vec_id long, vector array<double>, order binary")
     return Index(stored(rows, "permutations"), len(chosen), prefix, dim)
 
 
@@ -112,7 +112,8 @@ def search(
                 "order": _orders(own["order"].combine_chunks(), index.prefix),
             }
         )
-        near = index.rows.mapInArrow(
+        near = map_arrow(
+            index.rows,
             _searcher(asked, index.pivots, index.prefix, index.dim, k, share, at_least),
             "query long, vec_id long, score double",
         )

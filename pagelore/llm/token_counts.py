@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import stored, text_slices
+from pagelore.llm.common import map_arrow, stored, text_slices
 from pagelore.llm.pretokens import Pieces, halves, keys, special_tokens
 
 # Most pre-tokens that every task gets a table of: at most some 20 MB.
@@ -74,12 +74,15 @@ def token_counts(
                     }
                 )
 
-    read = documents.select(
+    numbered = documents.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
         "text",
-    ).mapInArrow(look_up, "row long, is_head boolean, doc_id long, n_bytes long, pretoken string, n long")
+    )
+    read = map_arrow(
+        numbered, look_up, "row long, is_head boolean, doc_id long, n_bytes long, pretoken string, n long"
+    )
     # Rows without a pre-token to look up get a key of their own: none is hot. No key of
     # a vocabulary has two spaces at its end after a space.
     key = F.coalesce("pretoken", F.concat(F.lit(" "), F.col("row").cast("string"), F.lit("  ")))
@@ -126,13 +129,9 @@ def _vocabulary(documents: DataFrame, tokenizer_path: str, max_kept: int = 300_0
                 [*batch.columns, pa.array(found, pa.int64())], names=["pretoken", "n", "pieces"]
             )
 
-    return (
-        documents.select("text")
-        .mapInArrow(tally, "pretoken string, n long")
-        .groupBy("pretoken")
-        .agg(F.sum("n").alias("n"))
-        .mapInArrow(tokenize, "pretoken string, n long, pieces long")
-    )
+    tallied = map_arrow(documents.select("text"), tally, "pretoken string, n long")
+    summed = tallied.groupBy("pretoken").agg(F.sum("n").alias("n"))
+    return map_arrow(summed, tokenize, "pretoken string, n long, pieces long")
 
 
 def _counted(counts: Counter[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
