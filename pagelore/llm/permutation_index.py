@@ -101,8 +101,8 @@ def search(
     """
     spark = index.rows.sparkSession
     queries = index.rows.where(is_query)
-    passes = max(1, -(-queries.count() // queries_per_pass))
-    found = None
+    passes = -(-queries.count() // queries_per_pass)
+    found = spark.createDataFrame([], "query long, vec_id long, score double, rank int")
     for number in range(passes):
         own = queries.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == number).toArrow()
         asked = spark.sparkContext.broadcast(
@@ -119,7 +119,7 @@ def search(
         )
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         ranked = near.withColumn("rank", best).where(F.col("rank") <= k)
-        found = ranked if found is None else found.union(ranked)
+        found = found.union(ranked)
     ids = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
     return found.join(ids, "query").select("query_id", "rank", "vec_id", "score")
 
