@@ -18,7 +18,6 @@ ERRORS = {
     "zero_max_tokens": "The maximum output token count cannot be 0",
     "flagged_input": "The question was flagged by the moderation API",
     "flagged_output": "The question was flagged by the moderation API",
-    "context_too_long": "The question asks for more pages than fit into a context.",
     "no_user_turn": "The conversation has no user message.",
     "no_completion": "There is no completion for this request.",
 }

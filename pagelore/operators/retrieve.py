@@ -4,39 +4,38 @@ Points are ``id, embedding`` plus the payload ``title, content``; questions are
 ``question_id, embedding, k``. Ids may be of any orderable type and are unique.
 
 Scoring visits every (question, point) pair, so the work is a blocked matrix
-product and no pair ever becomes a row. Two plans, chosen by a counted size:
-
-* few questions: their matrix is broadcast, the points are scanned where they
-  lie, and each scan task emits its best k per question;
-* many questions: points are hashed into blocks of bounded size and questions into
-  groups; each pair of block and group is a tile with a partition of its own.
-
-Both then rank the survivors in two steps, first per question and salt. What one
-task sorts for one question is thus bounded by its own ``k`` (salts times ``k`` rows),
-not by the number of partitions that sent hits.
+product and no pair ever becomes a row. The smaller side, the questions, moves: they
+are cut into passes of bounded bytes and bounded hits (counted, not guessed), each is
+broadcast, and the points are scanned where they lie. One pass is the usual case; no
+point vector is ever shuffled.
+
+The survivors are ranked in two steps, first per question and salt: a task of the second
+step sorts at most salts times ``k`` rows for one question. The first step gets up to
+``k`` rows per question from each scan task, so the scan is cut into few tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelore.functions.text import trim
 from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
-from pagelore.operators.topk_kernel import score_blocks, score_partition
+from pagelore.operators.topk_kernel import score_partition
 from pagelore.session import use_checkpoints
 
 # Fixed value: how many points a question gets when it does not say.
 DEFAULT_K = 5
 
-MAX_BROADCAST_QUESTIONS = 4096
-MAX_BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 256 << 20
+# A pass of questions holds about so many bytes of vectors, and asks for about so many hits.
+PASS_BYTES = 64 << 20
+PASS_HITS = 2_000_000
+# A scan has no more tasks than this or four times the cores, whichever is more.
+_SCAN_TASKS = 1000
 _MERGE_SALTS = 16
 
 
@@ -46,43 +45,29 @@ def top_k(points: DataFrame, vector: Sequence[float], k: int = DEFAULT_K) -> Dat
     question = spark.createDataFrame(
         [(0, [float(x) for x in vector], int(k))], "question_id int, embedding array<float>, k bigint"
     )
-    best = _score_scan(points, question.toArrow(), T.IntegerType())
-    best = best.orderBy(F.desc("score"), "id").limit(int(k))
-    numbered = best.withColumn("rank", F.row_number().over(_order(Window.partitionBy("question_id"))))
-    hits = _with_payload(numbered, points, max_hits=int(k))
-    return hits.drop("question_id").orderBy("rank")
+    return retrieve(points, question).drop("question_id").orderBy("rank")
 
 
-def top_k_batch(
-    points: DataFrame,
-    questions: DataFrame,
-    max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
+def top_k_batch(points: DataFrame, questions: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``question_id, rank, score, id`` of the ``k`` nearest points of each question."""
-    return _top_k_batch(points, questions, max_broadcast_questions, block_bytes)[0]
+    return _top_k_batch(points, questions, pass_bytes)[0]
 
 
 def retrieve(
     points: DataFrame,
     questions: DataFrame,
-    max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
-    block_bytes: int = BLOCK_BYTES,
+    pass_bytes: int = PASS_BYTES,
     max_broadcast_hits: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """:func:`top_k_batch` plus ``title, content`` of each hit."""
-    hits, max_hits = _top_k_batch(points, questions, max_broadcast_questions, block_bytes)
+    hits, max_hits = _top_k_batch(points, questions, pass_bytes)
     return _with_payload(hits, points, max_hits, max_broadcast_hits)
 
 
-def build_context(
-    hits: DataFrame, questions: DataFrame | None = None, max_hits: int | None = None
-) -> DataFrame:
+def build_context(hits: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """``question_id, context``: the hits' texts in rank order.
 
     With ``questions`` every question has a row, and one without hits has ``''``.
-    With ``max_hits`` a question with more hits than that has null: its context is
-    not put together at all, rather than in part.
     """
     # Fixed value: the layout of one hit.
     block = F.concat(
@@ -92,14 +77,9 @@ def build_context(
         F.coalesce("content", F.lit("")),
         F.lit("\n\n\n###\n\n\n"),
     )
-    ranked_block = F.struct("rank", block.alias("block"))
-    complete = F.lit(True)
-    if max_hits is not None:
-        ranked_block = F.when(F.col("rank") <= max_hits, ranked_block)
-        complete = F.max("rank") <= max_hits
-    blocks = F.array_sort(F.collect_list(ranked_block))
+    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
     context = trim(F.array_join(F.transform(blocks, lambda b: b["block"]), ""))
-    contexts = hits.groupBy("question_id").agg(F.when(complete, context).alias("context"))
+    contexts = hits.groupBy("question_id").agg(context.alias("context"))
     if questions is None:
         return contexts
     contexts = contexts.withColumn("found", F.lit(True))
@@ -110,24 +90,39 @@ def build_context(
     )
 
 
-def _top_k_batch(
-    points: DataFrame, questions: DataFrame, max_questions: int, block_bytes: int
-) -> tuple[DataFrame, int | None]:
-    """The ranked hits and, where known without a job, a bound on their number."""
-    id_type = questions.schema["question_id"].dataType
+def _top_k_batch(points: DataFrame, questions: DataFrame, pass_bytes: int) -> tuple[DataFrame, int]:
+    """The ranked hits, and a bound on their number."""
+    spark = points.sparkSession
+    schema = _hit_schema(points, questions.schema["question_id"].dataType)
     asked = questions.select(
         "question_id", "embedding", F.coalesce("k", F.lit(DEFAULT_K)).cast("bigint").alias("k")
     ).where("embedding is not null and k > 0")
-    # Counting ids alone prunes the embedding, so no model runs for this.
-    small = questions.select("question_id").limit(max_questions + 1).count() <= max_questions
-    if small:
-        table = asked.toArrow()
-        if table.nbytes <= MAX_BROADCAST_BYTES:
-            best = _score_scan(points, table, id_type)
-            return _rank(best), sum(table["k"].to_pylist())
-    # Each question is copied to every block: its vector has to be the same in all.
-    use_checkpoints(points.sparkSession)
-    return _rank(_score_tiled(points, asked.checkpoint(), block_bytes)), None
+    # Written once: it is measured and then read by every pass, and no model is asked twice.
+    use_checkpoints(spark)
+    asked = asked.checkpoint()
+    wanted = F.least("k", F.lit(1 << 40))
+    measured = asked.agg(
+        F.sum(4 * F.size("embedding")).alias("bytes"), F.sum(wanted.cast("decimal(38,0)")).alias("hits")
+    ).first()
+    if measured["bytes"] is None:
+        return _rank(spark.createDataFrame([], schema)), 0
+    hits = int(measured["hits"])
+    passes = _passes(measured["bytes"], hits, asked.count(), pass_bytes)
+    share = F.pmod(F.xxhash64("question_id"), F.lit(passes))
+    best = [_score_scan(points, asked.where(share == n).toArrow(), schema) for n in range(passes)]
+    found = best[0]
+    for more in best[1:]:
+        found = found.union(more)
+    return _rank(found), hits
+
+
+def _passes(vector_bytes: int, hits: int, n_questions: int, pass_bytes: int = PASS_BYTES) -> int:
+    """How many passes the questions are cut into: one where a task can hold them all.
+
+    A question that asks for very much makes no more passes than there are questions; its
+    hits leave the task whenever they fill its room.
+    """
+    return max(1, -(-vector_bytes // pass_bytes), min(n_questions, -(-hits // PASS_HITS)))
 
 
 def _hit_schema(points: DataFrame, question_id: T.DataType) -> T.StructType:
@@ -145,10 +140,9 @@ def _vectors(points: DataFrame) -> DataFrame:
     return points.select("id", "embedding").where("embedding is not null")
 
 
-def _score_scan(points: DataFrame, questions, question_id: T.DataType) -> DataFrame:
-    """Best k per question of each partition of the points, questions broadcast."""
+def _score_scan(points: DataFrame, questions, schema: T.StructType) -> DataFrame:
+    """Best k per question of each task's share of the points, questions broadcast."""
     spark = points.sparkSession
-    schema = _hit_schema(points, question_id)
     if questions.num_rows == 0:
         return spark.createDataFrame([], schema)
     arrow_schema = to_arrow_schema(schema)
@@ -157,67 +151,8 @@ def _score_scan(points: DataFrame, questions, question_id: T.DataType) -> DataFr
     def score(batches):
         return score_partition(batches, shared.value, arrow_schema)
 
-    return _vectors(points).mapInArrow(score, schema)
-
-
-def _score_tiled(points: DataFrame, questions: DataFrame, block_bytes: int) -> DataFrame:
-    """Best k per question of each tile: a block of points against a group of questions."""
-    schema = _hit_schema(points, questions.schema["question_id"].dataType)
-    arrow_schema = to_arrow_schema(schema)
-    first = questions.select(F.size("embedding").alias("dim")).first()
-    if first is None:
-        return points.sparkSession.createDataFrame([], schema)
-    dim = first["dim"]
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    # Without the vectors: a count of ids is read off the files' footers.
-    n_points = points.select("id").count()
-    n_blocks, n_groups = _grid(n_points, questions.count(), n_points * dim * 8 / block_bytes, 2 * cores)
-    point_copies = _vectors(points).select(
-        F.explode(F.transform(_every(n_groups), lambda g: _share("id", n_blocks) * n_groups + g)).alias("tile"),
-        F.lit(0).alias("side"),
-        "id",
-        F.lit(None).cast(schema["question_id"].dataType).alias("question_id"),
-        F.lit(None).cast("bigint").alias("k"),
-        "embedding",
-    )
-    # Copied per block from all cores, not from the few tasks that read them.
-    question_copies = questions.repartition(cores).select(
-        F.explode(
-            F.transform(_every(n_blocks), lambda b: b * n_groups + _share("question_id", n_groups))
-        ).alias("tile"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast(schema["id"].dataType).alias("id"),
-        "question_id",
-        "k",
-        "embedding",
-    )
-
-    def score(batches):
-        return score_blocks(batches, dim, arrow_schema)
-
-    copies = point_copies.unionByName(question_copies)
-    placed = copies.repartitionById(n_blocks * n_groups, "tile")
-    return placed.sortWithinPartitions("tile", "side").mapInArrow(score, schema)
-
-
-def _grid(n_points: int, n_questions: int, min_blocks: float, n_tiles: int) -> tuple[int, int]:
-    """Blocks of points and groups of questions.
-
-    Enough blocks for a block to fit into a task; enough tiles to keep the cluster
-    busy, cut so that points and questions are copied about equally often in bytes.
-    """
-    square = math.isqrt(max(1, n_tiles * n_points // max(1, n_questions)))
-    n_blocks = max(1, math.ceil(min_blocks), min(n_tiles, square))
-    return n_blocks, max(1, math.ceil(n_tiles / n_blocks))
-
-
-def _share(key: str, n: int) -> Column:
-    """The one share of ``n`` that a row belongs to."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
-def _every(n: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(n - 1))
+    tasks = max(_SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return _vectors(points).coalesce(tasks).mapInArrow(score, schema)
 
 
 def _order(window):
@@ -235,7 +170,7 @@ def _rank(best: DataFrame) -> DataFrame:
 def _with_payload(
     hits: DataFrame,
     points: DataFrame,
-    max_hits: int | None,
+    max_hits: int,
     max_broadcast_hits: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join the payload to the hits without shuffling the texts of the whole table."""

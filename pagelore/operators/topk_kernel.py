@@ -17,6 +17,8 @@ from pagelore.functions.vectors import SCORE_DIGITS
 _POINTS = 10_000
 _QUESTIONS = 400
 _OUTPUT_ROWS = 50_000
+# Hits a task holds at most, but for those of one batch, before it passes them on.
+_ROOM = 4_000_000
 
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -54,7 +56,7 @@ class BestPoints:
         self._floor = np.full(len(k), -np.inf)
         self._kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._n_kept = 0
-        self._room = 2 * int(np.minimum(self._k, 1 << 40).sum()) + 100_000
+        self._room = min(_ROOM, 2 * int(np.minimum(self._k, 1 << 40).sum()) + 100_000)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Consider points given as plain vectors."""
@@ -110,6 +112,17 @@ class BestPoints:
         self._kept = [(rows[inside], scores[inside], ids[inside])]
         self._n_kept = int(inside.sum())
 
+    def is_full(self) -> bool:
+        """Whether what is kept fills the room although it is pruned."""
+        if self._n_kept <= self._room:
+            return False
+        self._prune()
+        return 2 * self._n_kept > self._room
+
+    def forget(self) -> None:
+        """Drop what is kept, which was passed on; floors stay, so what follows is better."""
+        self._kept, self._n_kept = [], 0
+
     def wanted(self, rows: np.ndarray) -> np.ndarray:
         """``k`` of each of the given question rows."""
         return self._k[rows]
@@ -131,41 +144,12 @@ def score_partition(
     best = BestPoints(matrix(vectors, dim), questions["k"].to_numpy())
     for batch in batches:
         best.add(batch["id"].to_numpy(zero_copy_only=False), matrix(batch["embedding"], dim))
+        if best.is_full():
+            yield from _hits(best, questions["question_id"].combine_chunks(), schema)
+            best.forget()
     yield from _hits(best, questions["question_id"].combine_chunks(), schema)
 
 
-def score_blocks(
-    batches: Iterable[pa.RecordBatch], dim: int, schema: pa.Schema
-) -> Iterator[pa.RecordBatch]:
-    """Score sorted ``tile, side`` rows: a tile's points, then its questions.
-
-    The points of one tile (bounded by the choice of their block count) are held as a
-    matrix; the questions stream past it batch by batch.
-    """
-    tile, ids, points = None, [], []
-    for batch in batches:
-        tiles = batch["tile"].to_numpy()
-        sides = batch["side"].to_numpy()
-        edges = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(sides) != 0)) + 1
-        for start, stop in zip([0, *edges], [*edges, len(tiles)]):
-            if start == stop:
-                continue
-            piece = batch.slice(start, stop - start)
-            if tiles[start] != tile:
-                tile, ids, points = tiles[start], [], []
-            vectors = matrix(piece["embedding"], dim)
-            if sides[start] == 0:
-                units, usable = unit_rows(vectors)
-                ids.append(piece["id"].to_numpy(zero_copy_only=False)[usable])
-                points.append(units[usable])
-            elif points:
-                if len(points) > 1:
-                    ids, points = [np.concatenate(ids)], [np.concatenate(points)]
-                best = BestPoints(vectors, piece["k"].to_numpy())
-                best.add_units(ids[0], points[0])
-                yield from _hits(best, piece["question_id"], schema)
-
-
 def _hits(best: BestPoints, question_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows, scores, ids = best.result()
     for start in range(0, len(rows), _OUTPUT_ROWS):

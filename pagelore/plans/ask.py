@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from pagelore.functions.tokens import SpaceTokenizer
 from pagelore.operators.answers import Completer, attach_completions, count_response_tokens
-from pagelore.operators.checks import validate, with_outcome
+from pagelore.operators.checks import validate
 from pagelore.operators.embed import Embedder, embedding
 from pagelore.operators.moderate import Moderator, gate
 from pagelore.operators.prompts import message_list
 from pagelore.operators.retrieve import build_context, retrieve
 from pagelore.session import use_checkpoints
 
-# A context is one string; this many pages of the largest size come near its limit.
-MAX_PAGES = 10_000
-
 
 def check(requests: DataFrame, verdicts: DataFrame | Moderator | None) -> DataFrame:
     """Requests with their outcome before retrieval."""
@@ -35,26 +32,20 @@ def prepare(
     dim: int,
     verdicts: DataFrame | Moderator | None = None,
     tokenizer: SpaceTokenizer | None = None,
-    max_pages: int = MAX_PAGES,
 ) -> DataFrame:
     """Requests with outcome, ``context`` and ``question_tokens``: all a model needs.
 
     One retrieval serves the prompt and the response. Rejected requests stay, with
-    null context. A request that finds more than ``max_pages`` pages is rejected as
-    a whole; ``retrieve`` ranks any number of them as rows.
+    null context.
     """
     checked = check(requests, verdicts)
     questions = checked.where("status = 'ok'").select(
         F.col("request_id").alias("question_id"),
         embedding(F.col("prompt"), embedder, dim).alias("embedding"),
-        F.least("max_context_length", F.lit(max_pages + 1)).alias("k"),
-    )
-    contexts = build_context(retrieve(points, questions), max_hits=max_pages).select(
-        F.col("question_id").alias("request_id"), "context", F.lit(True).alias("found")
+        F.col("max_context_length").alias("k"),
     )
-    joined = checked.join(contexts, "request_id", "left")
-    too_long = F.col("found") & F.col("context").isNull()
-    ready = with_outcome(joined, F.when(too_long, F.lit("context_too_long"))).drop("found")
+    contexts = build_context(retrieve(points, questions)).withColumnRenamed("question_id", "request_id")
+    ready = checked.join(contexts, "request_id", "left")
     ok = F.col("status") == "ok"
     return ready.withColumns(
         {

@@ -226,9 +226,9 @@ def topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topk_batch_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through the plan for many questions."""
+    """The same in several passes of questions, with payload."""
     points, questions = given.stored_points(spark, sf), given.stored_questions(spark, sf)
-    return retrieve(points, questions, max_broadcast_questions=0, block_bytes=1 << 16, max_broadcast_hits=0)
+    return retrieve(points, questions, pass_bytes=4000, max_broadcast_hits=0)
 
 
 def context_text(spark: SparkSession, sf: str) -> DataFrame:

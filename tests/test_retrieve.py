@@ -3,13 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import cosine
-from pagelore.operators.retrieve import _grid, build_context, retrieve, top_k, top_k_batch
+from pagelore.operators import topk_kernel
+from pagelore.operators.retrieve import _passes, build_context, retrieve, top_k, top_k_batch
 
 POINT = "id string, title string, content string, embedding array<float>"
 QUESTION = "question_id int, embedding array<float>, k bigint"
 PLANS = {
-    "broadcast": {},
-    "blocked": {"max_broadcast_questions": 0, "block_bytes": 2000},
+    "one pass": {},
+    "passes": {"pass_bytes": 100},
 }
 
 
@@ -126,6 +127,7 @@ def test_one_question(spark):
     assert [(r["rank"], r.id, r.title) for r in got] == [(1, "p0000", "tp0000"), (2, "p0001", "tp0001"), (3, "p0002", "tp0002")]
     assert top_k(points, [1.0, 0.0]).count() == 4
     assert top_k(points, [1.0, 0.0], 0).count() == 0
+    assert top_k(points, [1.0, 0.0], 2**40).count() == 4
 
 
 def test_cosine_column(spark):
@@ -151,12 +153,48 @@ def test_context_layout(spark):
     }
 
 
-def test_grid():
-    # Many points: memory sets the blocks, and questions stay whole.
-    assert _grid(10**9, 10**6, 46_000, 32_000) == (46_000, 1)
-    # As many questions as points: a square.
-    assert _grid(10**6, 10**6, 48, 10_000) == (100, 100)
-    # Few points, many questions: the questions are cut.
-    n_blocks, n_groups = _grid(1000, 10**7, 0.1, 1000)
-    assert (n_blocks, n_groups) == (1, 1000)
-    assert _grid(0, 5, 0.0, 8) == (1, 8)
+def test_passes():
+    # 5,000 questions of width 1,536 are held at once, whatever the number of points.
+    assert _passes(5_000 * 1536 * 4, 5 * 5_000, 5_000) == 1
+    assert _passes(10**6 * 1536 * 4, 5 * 10**6, 10**6) == 92
+    assert _passes(3 * 64, 3 * 2**40, 3) == 3
+
+
+def test_hits_beyond_the_room_are_passed_on(monkeypatch, spark):
+    monkeypatch.setattr(topk_kernel, "_ROOM", 50)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 4))
+    schema = topk_kernel.pa.schema([("question_id", "int32"), ("id", "int64"), ("score", "float64"), ("k", "int64")])
+    pa = topk_kernel.pa
+    asked = pa.table({"question_id": pa.array([7, 8], "int32"), "embedding": rng.normal(size=(2, 4)).tolist(), "k": [200, 3]})
+    batches = [
+        pa.record_batch({"id": np.arange(i, i + 100), "embedding": pa.array(vectors[i : i + 100].tolist())})
+        for i in range(0, 3000, 100)
+    ]
+    found = list(topk_kernel.score_partition(batches, asked, schema))
+    assert len(found) > 2
+    table = pa.Table.from_batches(found).to_pandas()
+    for question, k, vector in zip((7, 8), (200, 3), asked["embedding"].to_pylist()):
+        scores = vectors @ vector / np.linalg.norm(vectors, axis=1)
+        want = set(np.argsort(-scores)[:k])
+        assert want <= set(table[table.question_id == question].id)
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_a_model_is_asked_once_per_question(spark, tmp_path, plan):
+    log = str(tmp_path / "calls")
+
+    @F.pandas_udf("array<float>")
+    def model(ids):
+        import pandas as pd
+
+        with open(log, "a") as out:
+            out.writelines(f"{i}\n" for i in ids)
+        return pd.Series([[1.0, float(i)] for i in ids])
+
+    questions = spark.range(40).select(
+        F.col("id").cast("int").alias("question_id"), model.asNondeterministic()("id").alias("embedding"), F.lit(2).alias("k")
+    )
+    points = make_points(spark, [[1, 0], [0, 1], [1, 1]])
+    assert retrieve(points, questions, **PLANS[plan]).count() == 80
+    assert sorted(map(int, open(log).read().split())) == list(range(40))
