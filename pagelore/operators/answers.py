@@ -19,14 +19,18 @@ def attach_completions(
 ) -> DataFrame:
     """Add ``completion`` to the rows that may go on; one without is rejected.
 
-    ``completions`` is a table ``key, completion`` or a function over batches. The
+    ``completions`` is a table ``key, completion`` or a function over batches. A key that
+    is in the table twice is rejected, since neither answer can be told to be right. The
     function gets a frame ``messages`` (a JSON array of role, text), ``model`` and
     ``max_length`` and returns one text per row.
     """
     ok = F.col("status") == "ok"
     if isinstance(completions, DataFrame):
-        joined = rows.join(completions.select(key, "completion"), key, "left")
-        answered = joined.withColumn("completion", F.when(ok, F.col("completion")))
+        one = completions.groupBy(key).agg(F.max("completion").alias("completion"), F.count("*").alias("n_found"))
+        joined = with_outcome(
+            rows.join(one, key, "left"), F.when(F.col("n_found") > 1, F.lit("duplicate_completion"))
+        )
+        answered = joined.withColumn("completion", F.when(ok, F.col("completion"))).drop("n_found")
     else:
         model = F.col("model") if "model" in rows.columns else F.lit(None).cast("string")
         limit = F.col("max_length") if "max_length" in rows.columns else F.lit(None).cast("int")

@@ -19,6 +19,7 @@ ERRORS = {
     "flagged_input": "The question was flagged by the moderation API",
     "flagged_output": "The question was flagged by the moderation API",
     "no_user_turn": "The conversation has no user message.",
+    "duplicate_completion": "There is more than one completion for this request.",
     "no_completion": "There is no completion for this request.",
 }
 

@@ -24,16 +24,23 @@ def known_roles(turns: DataFrame) -> DataFrame:
 
 
 def explode_turns(conversations: DataFrame) -> DataFrame:
-    """Turn rows of ``conv_id, conversation array<struct<role, message>>``."""
-    rows = conversations.select("conv_id", F.posexplode("conversation").alias("turn", "m"))
+    """Turn rows of ``conv_id, conversation array<struct<role, message>>``.
+
+    A null or empty conversation is one row whose turn, role and text are null.
+    """
+    rows = conversations.select("conv_id", F.posexplode_outer("conversation").alias("turn", "m"))
     return rows.select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", F.col("m.message").alias("text")
     )
 
 
 def nest_turns(turns: DataFrame) -> DataFrame:
-    """``conv_id, conversation`` with the messages in turn order: the payload form."""
-    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("message"))))
+    """``conv_id, conversation`` with the messages in turn order: the payload form.
+
+    Rows without a turn stand for an empty conversation and hold no message.
+    """
+    turn = F.when(F.col("turn").isNotNull(), F.struct("turn", "role", F.col("text").alias("message")))
+    listed = F.array_sort(F.collect_list(turn))
     bare = F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["message"].alias("message")))
     return turns.groupBy("conv_id").agg(bare.alias("conversation"))
 
@@ -41,12 +48,14 @@ def nest_turns(turns: DataFrame) -> DataFrame:
 def summarise(turns: DataFrame) -> DataFrame:
     """``conv_id, first_turn, last_turn, question struct<turn, text>`` per conversation.
 
-    ``question`` is the last user turn, null if there is none.
+    ``question`` is the last user turn, null if there is none. Turns of other roles than
+    the known ones do not count; a conversation of such turns alone has nulls.
     """
     said = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    known = F.when(F.col("role").isin(*ROLES), F.col("turn"))
     return turns.groupBy("conv_id").agg(
-        F.min("turn").alias("first_turn"),
-        F.max("turn").alias("last_turn"),
+        F.min(known).alias("first_turn"),
+        F.max(known).alias("last_turn"),
         F.max_by(said, F.when(F.col("role") == "user", F.col("turn"))).alias("question"),
     )
 

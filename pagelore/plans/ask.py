@@ -35,11 +35,14 @@ def prepare(
 ) -> DataFrame:
     """Requests with outcome, ``context`` and ``question_tokens``: all a model needs.
 
-    One retrieval serves the prompt and the response. Rejected requests stay, with
+    One retrieval serves the prompt and the response. Where an optional column
+    ``given_context`` is not null, it is the context, and nothing is retrieved. Rejected requests stay, with
     null context.
     """
     checked = check(requests, verdicts)
-    questions = checked.where("status = 'ok'").select(
+    if "given_context" not in checked.columns:
+        checked = checked.withColumn("given_context", F.lit(None).cast("string"))
+    questions = checked.where("status = 'ok' and given_context is null").select(
         F.col("request_id").alias("question_id"),
         embedding(F.col("prompt"), embedder, dim).alias("embedding"),
         F.col("max_context_length").alias("k"),
@@ -49,10 +52,10 @@ def prepare(
     ok = F.col("status") == "ok"
     return ready.withColumns(
         {
-            "context": F.when(ok, F.coalesce("context", F.lit(""))),
+            "context": F.when(ok, F.coalesce("given_context", "context", F.lit(""))),
             "question_tokens": F.when(ok, (tokenizer or SpaceTokenizer()).count(F.col("prompt"))),
         }
-    )
+    ).drop("given_context")
 
 
 def respond(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.operators.answers import Completer, attach_completions
-from pagelore.operators.checks import check_prompt, with_outcome
+from pagelore.operators.checks import check_limit, check_prompt, with_outcome
 from pagelore.operators.conversation import (
     known_roles,
     message,
@@ -41,13 +41,17 @@ def follow_up(
     completions: DataFrame,
     input_verdicts: DataFrame | Moderator | None = None,
     output_verdicts: DataFrame | Moderator | None = None,
+    given_contexts: DataFrame | None = None,
 ) -> FollowUp:
     """Follow-up over turn rows, for tables of any number and length of conversations.
 
-    Completions and verdict tables are keyed by ``conv_id``.
+    Completions, verdict tables and ``given_contexts`` (``conv_id, context``) are keyed by
+    ``conv_id``. Where a context is given, nothing is retrieved. Every conversation has
+    one outcome, one of unknown roles only included.
     """
+    summaries = _with_given(summarise(turns), given_contexts)
     turns = known_roles(turns)
-    checked = _check(summarise(turns), F.col("question.text"), input_verdicts)
+    checked = _check(summaries, F.col("question.text"), input_verdicts)
     answered = attach_completions(checked, completions, "conv_id")
     outcomes = gate(answered, output_verdicts, "conv_id", "completion", "output")
     # A row per conversation, read by retrieval and by every part of the result.
@@ -55,7 +59,7 @@ def follow_up(
     outcomes = outcomes.checkpoint()
     asked = outcomes.where("status = 'ok'")
     contexts = _contexts(asked, F.col("question.text"), points, embedder, dim)
-    rewritten = rewrite_asked(turns, asked, contexts, system_text)
+    rewritten = rewrite_asked(turns, asked.drop("given_context"), contexts, system_text)
     reply = asked.select(
         "conv_id",
         (F.col("last_turn") + 2).alias("turn"),
@@ -81,10 +85,16 @@ def follow_up_nested(
 ) -> DataFrame:
     """Follow-up over payloads ``conv_id, conversation``: one row in, one row out.
 
-    A conversation is one row, so its rewriting is row-local; only the questions'
+    Optional columns: ``given_context`` (where it is not null, nothing is retrieved),
+    ``model`` and ``max_length``, which a completer function gets; 0 is rejected. A conversation is one row, so its rewriting is row-local; only the questions'
     contexts, completions and verdicts are joined.
     """
-    read = conversations.select("conv_id", nested_known_roles(F.col("conversation")).alias("conversation"))
+    optional = [c for c in ("given_context", "model", "max_length") if c in conversations.columns]
+    read = conversations.select(
+        "conv_id", nested_known_roles(F.col("conversation")).alias("conversation"), *optional
+    )
+    if "given_context" not in optional:
+        read = read.withColumn("given_context", F.lit(None).cast("string"))
     located = read.withColumn("last_user", nested_last_user(F.col("conversation")))
     said = located.withColumn("question", F.get("conversation", "last_user"))
     unread = F.when(F.col("conversation").isNull(), F.lit("malformed_request"))
@@ -97,7 +107,9 @@ def follow_up_nested(
         F.col("conversation"), F.col("last_user"), F.coalesce("context", F.lit("")), system_text
     )
     prepared = checked.join(contexts, "conv_id", "left").withColumn("messages", rewritten)
-    answered = attach_completions(prepared, completions, "conv_id", F.col("messages"))
+    # The layout a completer function gets is the one of single questions.
+    sent = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["message"].alias("text")))
+    answered = attach_completions(prepared, completions, "conv_id", sent)
     gated = gate(answered, output_verdicts, "conv_id", "completion", "output")
     full = F.concat("messages", F.array(message("assistant", F.col("completion"))))
     return gated.select(
@@ -125,15 +137,27 @@ def to_chat_responses(answered: DataFrame, version: str) -> DataFrame:
 
 def _check(rows: DataFrame, question: Column, verdicts: DataFrame | Moderator | None) -> DataFrame:
     reason = F.when(F.col("question").isNull(), F.lit("no_user_turn")).otherwise(check_prompt(question))
+    if "max_length" in rows.columns:
+        reason = F.coalesce(reason, check_limit(F.col("max_length")))
     checked = with_outcome(rows.withColumn("asked_text", question), reason)
     return gate(checked, verdicts, "conv_id", "asked_text", "input")
 
 
 def _contexts(asked: DataFrame, question: Column, points: DataFrame, embedder: Embedder, dim: int):
-    """``conv_id, context``: always the default number of points, last question only."""
-    questions = asked.select(
+    """``conv_id, context``: the given one, or the default number of points for the last question."""
+    given = asked.where("given_context is not null").select("conv_id", F.col("given_context").alias("context"))
+    questions = asked.where("given_context is null").select(
         F.col("conv_id").alias("question_id"),
         embedding(question, embedder, dim).alias("embedding"),
         F.lit(DEFAULT_K).alias("k"),
     )
-    return build_context(retrieve(points, questions)).withColumnRenamed("question_id", "conv_id")
+    found = build_context(retrieve(points, questions)).withColumnRenamed("question_id", "conv_id")
+    return found.unionByName(given)
+
+
+def _with_given(rows: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    if contexts is None:
+        return rows.withColumn("given_context", F.lit(None).cast("string"))
+    # One context for a conversation, however often its key is there.
+    one = contexts.groupBy("conv_id").agg(F.max("context").alias("given_context"))
+    return rows.join(one, "conv_id", "left")

@@ -47,7 +47,10 @@ def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
     title = F.concat(F.lit(" Doc_"), F.col("doc_id").cast("string"), F.lit("_\u00a0"))
     return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("page_id"), title.alias("title"), body.alias("content")
+        F.col("doc_id").alias("page_id"),
+        title.alias("title"),
+        # Of some pages nothing is left but markup.
+        F.when(F.col("doc_id") % 29 == 3, "__TOC__ <br>").otherwise(body).alias("content"),
     )
 
 
@@ -116,9 +119,17 @@ def quality_verdicts(spark: SparkSession, sf: str, key: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
-    """A completion per benchmark item, with white space to trim."""
+    """Completions of benchmark items, with white space to trim; some have none, some have two."""
     text = F.concat(F.lit(" \n\u00a0In short:  "), F.col("text"), F.lit("\n "))
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), text.alias("completion"))
+    number = F.col("item_id")
+    copies = F.sequence(F.lit(1), F.when(number % 13 == 6, 2).otherwise(1))
+    given = table(spark, sf, "benchmark").where(number % 11 != 8)
+    return given.select(number.alias("request_id"), text.alias("completion"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def given_context(number: Column) -> Column:
+    """A context that the caller brings, for every other number."""
+    return F.when(number % 2 == 0, F.concat(F.lit("Known about "), number.cast("string")))
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,8 +140,9 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns of which some have a role that is not known."""
-    role = F.when((F.col("conv_id") + F.col("turn")) % 6 == 5, F.concat(F.lit("x-"), F.col("role")))
+    """Conversation turns of which some have a role that is not known; some conversations have no other."""
+    strange = ((F.col("conv_id") + F.col("turn")) % 6 == 5) | (F.col("conv_id") % 9 == 4)
+    role = F.when(strange, F.concat(F.lit("x-"), F.col("role")))
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", F.coalesce(role, F.col("role")).alias("role"), "text"
     )

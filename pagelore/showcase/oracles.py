@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from pagelore.functions.text import MARKUP_STEPS, WHITESPACE
 from pagelore.showcase.inputs import CHAT_SYSTEM, CHUNK_TOKENS, DIM, MODEL, ONEOFF_SYSTEM, VERSION
 
+# White space by code point, and markup patterns with their replacements, in
+# order. Written out here too, so that a wrong one of the library shows.
+_SPACES = "".join(
+    chr(c)
+    for c in (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+)
+_MARKUP = (
+    (r"(?s)(\|image.?=.?)?<gallery.*?>.*?</gallery>\\?\n?", ""),
+    (r"(?s)\[\[File:.*?\]\]\\?", ""),
+    (r"(?s)__.*?__", ""),
+    (r"(?s)<!--.*?-->\\?\n?", ""),
+    (r"(?s)<span.*?>|</span>\\?\n?|<br.*?>\\?\n?", ""),
+    (r"(?s)<div.*?>|</div>\\?\n?", ""),
+    (r"'{3,}(.*?)'{3,}", r"\1"),
+    (r"\[\[([^\[\]\|]+?)\|([^\[\]]+?)\]\]", r"\2"),
+    (r"\[\[(.*?)\]\]", r"\1"),
+)
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _FLAGGED = "The question was flagged by the moderation API"
 
@@ -14,14 +30,12 @@ def _text(value: str) -> str:
 
 
 def _trim(column: str) -> str:
-    return f"trim({column}, {_text(WHITESPACE)})"
+    return f"trim({column}, {_text(_SPACES)})"
 
 
 def _clean(column: str) -> str:
     sql = f"replace({column}, chr(10), ' ')"
-    for _, pattern, replacement in MARKUP_STEPS:
-        pattern = pattern.removeprefix("(?d)")
-        replacement = replacement.replace("$", "\\")
+    for pattern, replacement in _MARKUP:
         sql = f"regexp_replace({sql}, {_text(pattern)}, {_text(replacement)}, 'g')"
     return f"trim(regexp_replace({sql}, '{_WS}', ' ', 'g'))"
 
@@ -89,11 +103,11 @@ _DOCUMENT_PAGES = "SELECT doc_id AS page_id, 'Doc_' || doc_id AS title, text AS
 _WEB_PAGES = "SELECT page_id, url AS title, html AS content FROM pages"
 _WIKI_PAGES = r"""
     SELECT doc_id AS page_id, ' Doc_' || doc_id || '_' || chr(160) AS title,
-           '__NOTOC__<!-- note -->{{Box|image = <gallery mode=slideshow>a.png|A' || chr(10) || 'b.png</gallery>\'
+           CASE WHEN doc_id % 29 = 3 THEN '__TOC__ <br>' ELSE '__NOTOC__<!-- note -->{{Box|image = <gallery mode=slideshow>a.png|A' || chr(10) || 'b.png</gallery>\'
            || chr(10) || '}}' || repeat(chr(39), 3) || source || repeat(chr(39), 3) || ' is ' || repeat(chr(39), 2)
            || 'in' || repeat(chr(39), 2) || ' [[Lang ' || lang || '|the language]] and [[Plain link]].' || chr(10)
            || '[[File:x.png|thumb|see [[cap]]]]\<br />' || chr(13) || chr(10)
-           || '<div class="c"><span style="x">' || text || '</span></div>' || chr(160) || chr(8232) || ' end__TOC__ ' AS content
+           || '<div class="c"><span style="x">' || text || '</span></div>' || chr(160) || chr(8232) || ' end__TOC__ ' END AS content
     FROM documents"""
 _DUMPED_PAGES = f"SELECT page_id, title, replace(content, '\\' || chr(10), chr(10)) AS content FROM ({_WIKI_PAGES})"
 _CHUNKS = _chunk(_clean_pages(_DOCUMENT_PAGES))
@@ -135,6 +149,7 @@ def _outcome(rows: str) -> str:
                     WHEN 'zero_max_tokens' THEN 'The maximum output token count cannot be 0'
                     WHEN 'flagged_input' THEN '{_FLAGGED}' WHEN 'flagged_output' THEN '{_FLAGGED}'
                     WHEN 'no_user_turn' THEN 'The conversation has no user message.'
+                    WHEN 'duplicate_completion' THEN 'There is more than one completion for this request.'
                     WHEN 'no_completion' THEN 'There is no completion for this request.' END AS error
         FROM ({rows})"""
 
@@ -166,11 +181,29 @@ def _contexts_for(questions: str) -> str:
 
 
 _ASKED = f"SELECT request_id AS question_id, prompt AS text, max_context_length AS k FROM ({_CHECKED}) WHERE reason IS NULL"
-_PREPARED = f"""
-    SELECT c.*, CASE WHEN c.reason IS NULL THEN coalesce(x.context, '') END AS context,
+
+
+def _prepared(given: str = "NULL") -> str:
+    return f"""
+    SELECT c.*, CASE WHEN c.reason IS NULL THEN coalesce({given}, x.context, '') END AS context,
            CASE WHEN c.reason IS NULL THEN {_count("prompt")} END AS question_tokens
     FROM ({_CHECKED}) c LEFT JOIN ({_contexts_for(_ASKED)}) x ON x.question_id = c.request_id"""
-_COMPLETIONS = "SELECT item_id AS request_id, ' ' || chr(10) || chr(160) || 'In short:  ' || text || chr(10) || ' ' AS completion FROM benchmark"
+
+
+_PREPARED = _prepared()
+
+
+def _completed(rows: str) -> str:
+    """Rows with their completion; those with none, or with two, are rejected."""
+    return f"""
+    SELECT r.* EXCLUDE (reason), CASE WHEN r.reason IS NULL AND c.n = 1 THEN c.completion END AS completion,
+           coalesce(r.reason, CASE WHEN c.n = 2 THEN 'duplicate_completion' WHEN c.n IS NULL THEN 'no_completion' END) AS reason
+    FROM ({rows}) r LEFT JOIN (
+      SELECT item_id AS request_id, CASE WHEN item_id % 13 = 6 THEN 2 ELSE 1 END AS n,
+             ' ' || chr(10) || chr(160) || 'In short:  ' || text || chr(10) || ' ' AS completion
+      FROM benchmark WHERE item_id % 11 <> 8) c USING (request_id)"""
+
+
 _CLEAN_NAME = f"""
     CASE WHEN username IS NULL OR {_trim("username")} = '' THEN username
          ELSE regexp_extract(username, '[a-zA-Z0-9_-]+') END"""
@@ -182,32 +215,39 @@ _MESSAGES = f"""
            || repeat(chr(10), 3) || 'Question: ' || prompt || chr(10) || 'Username: '
            || coalesce({_CLEAN_NAME}, 'N/A') || chr(10), upper(sha256({_CLEAN_NAME}))
     FROM ({_PREPARED}) WHERE reason IS NULL"""
-_ANSWERED = _outcome(_gate(f"SELECT * FROM ({_PREPARED}) JOIN ({_COMPLETIONS}) USING (request_id)", "request_id", "quality = 0", "output"))
-_RESPONSES = f"""
+
+
+def _responses(prepared: str) -> str:
+    answered = _outcome(_gate(_completed(prepared), "request_id", "quality = 0", "output"))
+    return f"""
     SELECT request_id, status, reason, error,
            CASE WHEN reason IS NULL THEN {_trim("completion")} END AS answer,
            CASE WHEN reason IS NULL THEN context END AS context,
            CASE WHEN reason IS NULL THEN '{VERSION}' END AS version,
            CASE WHEN reason IS NULL THEN question_tokens::VARCHAR END AS question_tokens,
            CASE WHEN reason IS NULL THEN {_count("completion")}::VARCHAR END AS response_tokens
-    FROM ({_ANSWERED})"""
+    FROM ({answered})"""
+
+
+_RESPONSES = _responses(_PREPARED)
 
 _MIXED = """
-    SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 = 5 THEN 'x-' || role ELSE role END AS role, text
+    SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 = 5 OR conv_id % 9 = 4 THEN 'x-' || role ELSE role END AS role, text
     FROM conversations"""
 _KNOWN = f"SELECT * FROM ({_MIXED}) WHERE role IN ('system', 'assistant', 'user')"
 
 
 def _summary(turns: str) -> str:
     return f"""
-        SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn,
+        SELECT conv_id, min(turn) FILTER (role IN ('system', 'assistant', 'user')) AS first_turn,
+               max(turn) FILTER (role IN ('system', 'assistant', 'user')) AS last_turn,
                max(turn) FILTER (role = 'user') AS asked, arg_max(text, turn) FILTER (role = 'user') AS question
         FROM ({turns}) GROUP BY conv_id"""
 
 
 _CHAT_CHECKED = _gate(
     f"""SELECT *, CASE WHEN asked IS NULL THEN 'no_user_turn' WHEN {_trim("question")} = '' THEN 'blank_question' END AS reason
-        FROM ({_summary(_KNOWN)})""",
+        FROM ({_summary(_MIXED)})""",
     "conv_id",
     "toxic = 1",
     "input",
@@ -230,12 +270,18 @@ def _rewrite(turns: str, asked: str, context: str) -> str:
 
 _CHAT_CONTEXTS = _contexts_for(f"SELECT conv_id AS question_id, question AS text, 5 AS k FROM ({_CHAT_OK})")
 _CHAT_ASKED = f"SELECT * FROM ({_CHAT_OK}) LEFT JOIN ({_CHAT_CONTEXTS}) ON question_id = conv_id"
-_FOLLOWUP = f"""
-    {_rewrite(_KNOWN, _CHAT_ASKED, "coalesce(context, '')")}
+
+
+def _followup(context: str) -> str:
+    return f"""
+    {_rewrite(_KNOWN, _CHAT_ASKED, context)}
     UNION ALL
     SELECT conv_id, last_turn + 2, 'assistant', 'Reply to ' || conv_id || ' ' FROM ({_CHAT_OK})"""
 
 
+_FOLLOWUP = _followup("coalesce(context, '')")
+
+
 def _renumbered(turns: str) -> str:
     return f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text
@@ -335,10 +381,13 @@ ORACLES: dict[str, str] = {
         FROM ({_REQUESTS})""",
     "oneoff_messages": _MESSAGES,
     "attach_answers": f"""
-        SELECT request_id, CASE WHEN reason IS NULL THEN completion END AS completion,
-               CASE WHEN reason IS NULL THEN {_count('completion')} END AS response_tokens, status, reason, error
-        FROM ({_outcome(_VALIDATED)}) JOIN ({_COMPLETIONS}) USING (request_id)""",
+        SELECT request_id, completion,
+               CASE WHEN completion IS NOT NULL THEN {_count('completion')} END AS response_tokens, status, reason, error
+        FROM ({_outcome(_completed(_VALIDATED))})""",
     "ask": _RESPONSES,
+    "ask_given_context": _responses(
+        _prepared("CASE WHEN c.request_id % 2 = 0 THEN 'Known about ' || c.request_id END")
+    ),
     "answers_written": _RESPONSES,
     "answer_lines": _RESPONSES,
     "known_roles": _KNOWN,
@@ -348,7 +397,7 @@ ORACLES: dict[str, str] = {
         FROM ({_renumbered("SELECT * FROM conversations")})""",
     "last_user_turn": f"""
         SELECT conv_id, asked AS turn, question AS text,
-               CASE WHEN asked IS NULL THEN 'no_user_turn' ELSE 'ok' END AS status FROM ({_summary(_KNOWN)})""",
+               CASE WHEN asked IS NULL THEN 'no_user_turn' ELSE 'ok' END AS status FROM ({_summary(_MIXED)})""",
     "followup_rewrite": _rewrite(
         "SELECT * FROM conversations",
         f"SELECT * FROM ({_summary('SELECT * FROM conversations')}) WHERE asked IS NOT NULL",
@@ -358,6 +407,9 @@ ORACLES: dict[str, str] = {
         SELECT * FROM conversations UNION ALL
         SELECT conv_id, max(turn) + 1, 'assistant', 'Reply to ' || conv_id || ' ' FROM conversations GROUP BY conv_id""",
     "followup": _FOLLOWUP,
+    "followup_given_context": _followup(
+        "CASE WHEN conv_id % 2 = 0 THEN 'Known about ' || conv_id ELSE coalesce(context, '') END"
+    ),
     "followup_outcomes": f"""
         SELECT conv_id, status, reason, error, input_moderated, output_moderated FROM ({_CHAT_OUTCOMES})""",
     "followup_payloads": _renumbered(_FOLLOWUP),

@@ -352,6 +352,14 @@ def ask_all(spark: SparkSession, sf: str) -> DataFrame:
     return _ask(spark, sf, read_requests(given.requests(spark, sf))).drop("duration")
 
 
+def ask_given_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of which some bring their context."""
+    requests = read_requests(given.requests(spark, sf)).withColumn(
+        "given_context", given.given_context(F.col("request_id"))
+    )
+    return _ask(spark, sf, requests).drop("duration")
+
+
 def answers_written(spark: SparkSession, sf: str) -> DataFrame:
     """Responses written and read back."""
     path = scratch_path(spark, "answers")
@@ -387,7 +395,7 @@ def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def last_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return last_user_turn(known_roles(given.mixed_turns(spark, sf)))
+    return last_user_turn(given.mixed_turns(spark, sf))
 
 
 def followup_rewrite(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,6 +431,13 @@ def followup_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return follow_up(turns, _hashed_points(spark, sf), **_chat_options(spark, sf)).outcomes
 
 
+def followup_given_context(spark: SparkSession, sf: str) -> DataFrame:
+    turns = given.mixed_turns(spark, sf)
+    contexts = turns.select("conv_id", given.given_context(F.col("conv_id")).alias("context"))
+    contexts = contexts.where("context is not null").distinct()
+    return follow_up(turns, _hashed_points(spark, sf), given_contexts=contexts, **_chat_options(spark, sf)).turns
+
+
 def _numbered(answered: DataFrame) -> DataFrame:
     """Payloads as rows, numbered from zero."""
     return explode_turns(answered.where("status = 'ok'").select("conv_id", "conversation"))
@@ -476,6 +491,7 @@ def wiki_current_text(spark: SparkSession, sf: str) -> DataFrame:
 def dump_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "dump")
     pages = given.wiki_pages(spark, sf).withColumnRenamed("title", "page_title")
+    write_dump(pages.withColumn("content", F.lit("older")), path, "2023-12-01")
     write_dump(pages, path, "2024-01-01")
     return read_dump(spark, path).drop("page_id")
 
@@ -517,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "oneoff_messages": oneoff_messages,
     "attach_answers": attach_answers,
     "ask": ask_all,
+    "ask_given_context": ask_given_context,
     "answers_written": answers_written,
     "answer_lines": answer_lines,
     "known_roles": known_role_turns,
@@ -527,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "append_reply": append_replies,
     "followup": followup_turns,
     "followup_outcomes": followup_outcomes,
+    "followup_given_context": followup_given_context,
     "followup_payloads": followup_payloads,
     "stream_ask": stream_of_questions,
     "stream_followup": stream_of_conversations,

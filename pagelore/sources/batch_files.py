@@ -59,17 +59,23 @@ def _fields(prefix: str) -> list[Column]:
 def attach_embeddings(
     chunks: DataFrame, results: DataFrame, key: str = "title", strict: bool = True
 ) -> DataFrame:
-    """Chunks with the embedding of the result that carries their key.
+    """Chunks with the embedding of the result that carries their key; one row for each chunk.
 
-    Strict: a chunk without a result fails the job; check the results' keys with
-    ``require_unique_keys`` first. Lenient: such a chunk keeps a null embedding;
-    :func:`missing_results` lists them.
+    Strict: a chunk without a result, and one with two, fails the job. Lenient: the
+    former keeps a null embedding (:func:`missing_results` lists them), the latter any
+    one of its results.
     """
-    found = results.select(F.col("custom_id").alias("_key"), "embedding")
+    found = results.groupBy(F.col("custom_id").alias("_key")).agg(
+        F.any_value("embedding", F.lit(True)).alias("embedding"), F.count("*").alias("_n")
+    )
     joined = chunks.join(found, F.col(key).cast("string") == F.col("_key"), "left")
     if strict:
-        message = F.concat(F.lit("no embedding for "), F.col(key).cast("string"))
-        vector = F.when(F.col("embedding").isNull(), F.raise_error(message)).otherwise(F.col("embedding"))
+        name = F.col(key).cast("string")
+        missing = F.raise_error(F.concat(F.lit("no embedding for "), name))
+        double = F.raise_error(F.concat(F.lit("more than one embedding for "), name))
+        vector = (
+            F.when(F.col("embedding").isNull(), missing).when(F.col("_n") > 1, double).otherwise(F.col("embedding"))
+        )
     else:
         vector = F.col("embedding")
     return joined.select(*chunks.columns, vector.alias("embedding"))

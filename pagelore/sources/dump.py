@@ -37,13 +37,17 @@ def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int =
     )
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, title, content`` of a dump file, a dated directory or all dates.
+def read_dump(spark: SparkSession, path: str, date: str | None = None, all_dates: bool = False) -> DataFrame:
+    """``page_id, title, content`` of a dump file or directory.
 
-    Bad lines and missing fields are tolerated and become nulls. A backslash
-    before a line break is the dump's escape for it and goes. Pages are numbered by
-    file and place; a file is read by one task, so few files are dealt out after.
+    Of a directory of dated dumps the newest is read, or that of ``date``; with
+    ``all_dates`` every page comes once for each date. Page ids are the hash of title
+    and content, so they do not depend on how files are read. Bad lines and missing fields are tolerated and become nulls. A backslash
+    before a line break is the dump's escape for it and goes. A file is read by one
+    task, so few files are dealt out after.
     """
+    if not all_dates:
+        path = _dated(spark, path, date)
     rows = (
         spark.read.schema(_SCHEMA)
         .options(**_DIALECT)
@@ -58,6 +62,18 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     title = F.replace("page_title", F.lit("\\\n"), F.lit("\n"))
     return spread(
         rows.select(
-            F.monotonically_increasing_id().alias("page_id"), title.alias("title"), content.alias("content")
+            F.xxhash64(title, content).alias("page_id"), title.alias("title"), content.alias("content")
         )
     )
+
+
+def _dated(spark: SparkSession, path: str, date: str | None) -> str:
+    """The directory of one date below ``path``; ``path`` itself if it holds none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(folder, f"date={date or '*'}")
+    )
+    found = sorted(f.getPath().getName() for f in files or [])
+    if date and not found:
+        raise ValueError(f"no dump of {date} below {path}")
+    return f"{path.rstrip('/')}/{found[-1]}" if found else path

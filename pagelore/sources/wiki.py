@@ -33,9 +33,10 @@ def current_text(
     ).select("page_title", "page_latest")
     role = slot_roles.where(F.col("role_name") == ROLE).select("role_id")
     addresses = content.where(F.startswith("content_address", F.lit(SCHEME))).select(
-        "content_id", text_key(F.substring("content_address", len(SCHEME) + 1, 1 << 30)).alias("text_id")
+        "content_id", text_key(F.expr(f"substring(content_address, {len(SCHEME) + 1})")).alias("text_id")
     )
-    main_slots = slots.join(role, F.col("slot_role_id") == F.col("role_id")).select(
+    # Nearly all slots have one role, so its id is no key to shuffle on; roles are a handful by nature.
+    main_slots = slots.join(F.broadcast(role), F.col("slot_role_id") == F.col("role_id")).select(
         "slot_revision_id", "slot_content_id"
     )
     wanted = (

@@ -92,3 +92,11 @@ def test_duplicate_titles_stop_the_batch(spark, tmp_path):
     twice = chunks(spark).union(chunks(spark))
     with pytest.raises(ValueError, match="duplicate title"):
         export_batch(twice, str(tmp_path / "req"), "m")
+
+
+def test_strict_attach_takes_no_result_twice(spark):
+    chunks = spark.createDataFrame([("a",), ("b",)], "title string")
+    results = spark.createDataFrame([("a", [1.0]), ("a", [2.0]), ("b", [3.0])], "custom_id string, embedding array<float>")
+    with pytest.raises(Exception, match="more than one"):
+        attach_embeddings(chunks, results).collect()
+    assert attach_embeddings(chunks, results, strict=False).count() == 2

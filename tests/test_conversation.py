@@ -167,3 +167,20 @@ def test_one_conversation_with_most_turns(spark, options):
     assert {tuple(r) for r in result.groupBy("conv_id").count().collect()} == {(1, 20_002), (2, 4)}
     asked = result.where("conv_id = 1 and turn = 20000").first()
     assert asked.text.startswith("Question: t19998\n")
+
+
+def test_no_conversation_is_lost(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q"), (2, 0, "narrator", "x"), (3, 0, "system", "s")], "conv_id int, turn long, role string, text string"
+    )
+    got = {r.conv_id: r.status for r in last_user_turn(turns).collect()}
+    assert got == {1: "ok", 2: "no_user_turn", 3: "no_user_turn"}
+
+
+def test_empty_payloads_come_back(spark):
+    payloads = spark.createDataFrame(
+        [(1, [("user", "q")]), (2, []), (3, None)], "conv_id int, conversation array<struct<role:string,message:string>>"
+    )
+    rows = explode_turns(payloads)
+    assert sorted((r.conv_id, r.turn) for r in rows.collect()) == [(1, 0), (2, None), (3, None)]
+    assert {r.conv_id: len(r.conversation) for r in nest_turns(rows).collect()} == {1: 1, 2: 0, 3: 0}

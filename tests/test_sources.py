@@ -1,3 +1,4 @@
+import pytest
 from pagelore.sources.dump import read_dump, write_dump
 from pagelore.sources.wiki import current_text
 
@@ -41,10 +42,14 @@ def test_dump_round_trip(spark, tmp_path):
     write_dump(frame, path, "2024-01-01", max_rows_per_file=2)
     write_dump(frame.limit(1), path, "2024-01-02")
     assert {(r.title, r.content) for r in read_dump(spark, f"{path}/date=2024-01-01").collect()} == set(ROWS)
-    both = read_dump(spark, path)
-    assert both.count() == both.select("page_id").distinct().count() == len(ROWS) + 1
+    assert read_dump(spark, path).count() == 1  # the newest
+    both = read_dump(spark, path, all_dates=True)
+    assert both.count() == len(ROWS) + 1 and both.select("page_id").distinct().count() == len(ROWS)
     write_dump(frame.limit(2), path, "2024-01-01")
-    assert read_dump(spark, path).count() == 3
+    assert read_dump(spark, path, date="2024-01-01").count() == 2
+    assert read_dump(spark, path, all_dates=True).count() == 3
+    with pytest.raises(ValueError, match="2023"):
+        read_dump(spark, path, date="2023-01-01")
 
 
 def test_foreign_dump(spark, tmp_path):
