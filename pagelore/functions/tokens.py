@@ -7,7 +7,7 @@ own model tokenizer (a BPE, say) behind the same two methods.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,47 +37,52 @@ class SpaceTokenizer:
 class CallableTokenizer:
     """Adapter for a caller's tokenizer.
 
-    ``count_tokens(text) -> int`` counts; ``prefix_length(text, max_tokens) ->
-    int`` says how many characters the longest prefix of at most ``max_tokens``
-    tokens has. Both must be picklable and run in Arrow batches on the executors.
+    ``token_ends`` gets a batch of texts and returns, for each, the offsets (in
+    characters, ascending) at which its tokens end; what follows the last one is a
+    token too. It must be picklable and runs in Arrow batches on the executors, once for
+    each text. A text is cut behind every ``max_tokens``-th token.
     """
 
-    def __init__(
-        self,
-        count_tokens: Callable[[str], int],
-        prefix_length: Callable[[str, int], int],
-    ) -> None:
-        self._count_tokens = count_tokens
-        self._prefix_length = prefix_length
+    def __init__(self, token_ends: Callable[[pd.Series], Iterable[Sequence[int]]]) -> None:
+        self._token_ends = token_ends
 
     def count(self, text: Column) -> Column:
-        count_tokens = self._count_tokens
+        ends = self._checked_ends
 
         @F.pandas_udf("int")
         def counted(texts: pd.Series) -> pd.Series:
-            return texts.map(count_tokens, na_action="ignore").astype("Int32")
+            return pd.Series([None if e is None else len(e) for e in ends(texts)], dtype="Int32")
 
-        return counted(text)
+        return counted.asNondeterministic()(text)
 
     def split(self, text: Column, max_tokens: int) -> Column:
         _positive(max_tokens)
-        prefix_length = self._prefix_length
-
-        def pieces(whole: str) -> list[str]:
-            found, start = [], 0
-            while start < len(whole):
-                step = prefix_length(whole[start:], max_tokens)
-                if step < 1:
-                    raise ValueError(f"no prefix of at most {max_tokens} tokens exists")
-                found.append(whole[start : start + step])
-                start += step
-            return found
+        ends = self._checked_ends
+
+        def pieces(whole: str, tokens: list[int]) -> list[str]:
+            cuts = [0, *tokens[max_tokens - 1 : -1 : max_tokens], len(whole)]
+            return [whole[i:j] for i, j in zip(cuts, cuts[1:]) if j > i]
 
         @F.pandas_udf("array<string>")
         def split_texts(texts: pd.Series) -> pd.Series:
-            return texts.map(pieces, na_action="ignore")
-
-        return split_texts(text)
+            found = zip(texts, ends(texts), strict=True)
+            return pd.Series([None if e is None else pieces(t, e) for t, e in found], dtype=object)
+
+        return split_texts.asNondeterministic()(text)
+
+    def _checked_ends(self, texts: pd.Series) -> list[list[int] | None]:
+        """Ends of each text's tokens, the last one included; nothing for null."""
+        known = texts[texts.notna()]
+        given = [list(e) for e in self._token_ends(known)] if len(known) else []
+        if len(given) != len(known):
+            raise ValueError(f"{len(known)} texts gave {len(given)} lists of tokens")
+        for whole, ends in zip(known, given, strict=True):
+            if any(j <= i for i, j in zip([0, *ends], ends)) or (ends and ends[-1] > len(whole)):
+                raise ValueError("token ends must ascend within the text")
+            if len(whole) > (ends[-1] if ends else 0):
+                ends.append(len(whole))
+        filled = iter(given)
+        return [next(filled) if there else None for there in texts.notna()]
 
 
 def _positive(max_tokens: int) -> int:

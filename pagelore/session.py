@@ -39,8 +39,8 @@ def spread(rows: DataFrame) -> DataFrame:
     """Deal the rows of a few files out over all cores, before costly row-wise work.
 
     For inputs whose files do not split (one row group, a multi-line CSV): such a file
-    is one task, however many rows it holds. Inputs of at least as many files as cores
-    are left as they are.
+    is one task, however many rows it holds. What is read by at least as many tasks as
+    there are cores, by many files or by few that split, is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

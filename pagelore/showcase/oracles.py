@@ -252,6 +252,14 @@ _CHAT_CHECKED = _gate(
     "toxic = 1",
     "input",
 )
+_LIMITED = _gate(
+    f"""SELECT *, CASE WHEN asked IS NULL THEN 'no_user_turn' WHEN {_trim("question")} = '' THEN 'blank_question'
+                       WHEN conv_id % 7 = 0 THEN 'zero_max_tokens' END AS reason
+        FROM ({_summary(_MIXED)})""",
+    "conv_id",
+    "toxic = 1",
+    "input",
+)
 _CHAT_OUTCOMES = _outcome(_gate(_CHAT_CHECKED, "conv_id", "quality = 0", "output"))
 _CHAT_OK = f"SELECT * FROM ({_CHAT_OUTCOMES}) WHERE status = 'ok'"
 
@@ -301,6 +309,8 @@ ORACLES: dict[str, str] = {
     "chunk_titles": f"SELECT page_id, chunk_no, title FROM ({_CHUNKS})",
     "chunk_tokens": f"SELECT page_id, chunk_no, {_count('content')} AS tokens FROM ({_CHUNKS})",
     "token_count": f"SELECT doc_id, {_count('text')} AS tokens FROM documents",
+    "chunk_by_function": f"""
+        SELECT page_id, chunk_no, n_chunks, content, {_count('content')} AS tokens FROM ({_chunk(_DOCUMENT_PAGES)})""",
     "duplicate_chunk_keys": f"""
         SELECT title, count(*) AS n_rows
         FROM ({_chunk('SELECT doc_id AS page_id, source AS title, text AS content FROM documents')})
@@ -388,6 +398,10 @@ ORACLES: dict[str, str] = {
     "ask_given_context": _responses(
         _prepared("CASE WHEN c.request_id % 2 = 0 THEN 'Known about ' || c.request_id END")
     ),
+    "ask_by_function": f"""
+        SELECT request_id, status, reason, error,
+               CASE WHEN reason IS NULL THEN '2 messages for ' || model || ', at most ' || coalesce(max_length, -1) END AS answer
+        FROM ({_outcome(_gate(_CHECKED, "request_id", "quality = 0", "output"))})""",
     "answers_written": _RESPONSES,
     "answer_lines": _RESPONSES,
     "known_roles": _KNOWN,
@@ -413,6 +427,18 @@ ORACLES: dict[str, str] = {
     "followup_outcomes": f"""
         SELECT conv_id, status, reason, error, input_moderated, output_moderated FROM ({_CHAT_OUTCOMES})""",
     "followup_payloads": _renumbered(_FOLLOWUP),
+    "followup_by_function": f"""
+        SELECT conv_id, status, reason, error, CASE WHEN reason IS NULL THEN
+                 (n + 1) || ' messages for None, at most ' || (conv_id % 7) END AS reply
+        FROM ({_outcome(_gate(_LIMITED, "conv_id", "quality = 0", "output"))})
+        LEFT JOIN (SELECT conv_id, count(*) AS n FROM ({_KNOWN}) GROUP BY conv_id) USING (conv_id)""",
+    "chat_answer_lines": f"""
+        SELECT o.conv_id, status, reason, error, said AS conversation,
+               CASE WHEN reason IS NULL THEN '{VERSION}' END AS version,
+               NULL::VARCHAR AS question_tokens, NULL::VARCHAR AS response_tokens
+        FROM ({_CHAT_OUTCOMES}) o LEFT JOIN (
+          SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said
+          FROM ({_FOLLOWUP}) GROUP BY conv_id) USING (conv_id)""",
     "stream_ask": _RESPONSES,
     "stream_followup": _renumbered(_FOLLOWUP),
     "wiki_current_text": """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.functions.names import clean_username, pseudonym
-from pagelore.functions.tokens import SpaceTokenizer
+from pagelore.functions.tokens import CallableTokenizer, SpaceTokenizer
 from pagelore.functions.vectors import SCORE_DIGITS, cosine
 from pagelore.operators.answers import attach_completions, count_response_tokens
 from pagelore.operators.checks import split_outcome, validate
@@ -28,7 +28,7 @@ from pagelore.operators.prompts import messages
 from pagelore.operators.retrieve import build_context, retrieve, top_k, top_k_batch
 from pagelore.plans.ask import ask, check, prepare
 from pagelore.plans.dataset import build_points, import_batch, make_chunks, with_ids
-from pagelore.plans.followup import follow_up, follow_up_nested
+from pagelore.plans.followup import follow_up, follow_up_nested, to_chat_responses
 from pagelore.session import scratch_path, spread
 from pagelore.showcase import inputs as given
 from pagelore.showcase.inputs import CHUNK_TOKENS, DIM, table
@@ -90,6 +90,18 @@ def chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("page_id", "chunk_no", "tokens")
 
 
+def chunk_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks cut and counted by a caller's tokenizer."""
+    chunks = chunk_pages(given.document_pages(spark, sf), CHUNK_TOKENS, CallableTokenizer(_word_ends))
+    return chunks.select("page_id", "chunk_no", "n_chunks", "content", "tokens")
+
+
+def _word_ends(texts):
+    import re
+
+    return [[m.end() for m in re.finditer(" ?[^ ]+| ", text)] for text in texts]
+
+
 def token_count(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", SpaceTokenizer().count(F.col("text")).alias("tokens"))
 
@@ -360,6 +372,22 @@ def ask_given_context(spark: SparkSession, sf: str) -> DataFrame:
     return _ask(spark, sf, requests).drop("duration")
 
 
+def ask_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers from a function over batches, which is told the model and the output limit."""
+    options = _ask_options(spark, sf) | {"completions": _echo}
+    answered = ask(read_requests(given.requests(spark, sf)), _hashed_points(spark, sf), **options)
+    return to_responses(answered, given.VERSION).select("request_id", "answer", *_OUTCOME)
+
+
+def _echo(asked):
+    import json
+
+    return [
+        f"{len(json.loads(row.messages))} messages for {row.model}, at most {-1 if row.max_length != row.max_length or row.max_length is None else int(row.max_length)}"
+        for row in asked.itertuples()
+    ]
+
+
 def answers_written(spark: SparkSession, sf: str) -> DataFrame:
     """Responses written and read back."""
     path = scratch_path(spark, "answers")
@@ -448,6 +476,25 @@ def followup_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered(follow_up_nested(payloads, _hashed_points(spark, sf), **_chat_options(spark, sf)))
 
 
+def followup_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations answered by a function, with an output limit each."""
+    payloads = nest_turns(given.mixed_turns(spark, sf)).withColumn("max_length", (F.col("conv_id") % 7).cast("int"))
+    options = _chat_options(spark, sf) | {"completions": _echo}
+    answered = follow_up_nested(payloads, _hashed_points(spark, sf), **options)
+    return answered.select("conv_id", *_OUTCOME, F.element_at("conversation", -1)["message"].alias("reply"))
+
+
+def chat_answer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of conversations, rejected ones included, as JSON lines, read back."""
+    path = scratch_path(spark, "chats")
+    answered = follow_up_nested(nest_turns(given.mixed_turns(spark, sf)), _hashed_points(spark, sf), **_chat_options(spark, sf))
+    responses = to_chat_responses(answered, given.VERSION)
+    write_answer_lines(responses, path)
+    read = spark.read.schema(responses.schema).json(path)
+    said = F.transform("conversation", lambda m: F.concat(m["role"], F.lit(": "), m["message"]))
+    return read.withColumn("conversation", F.array_join(said, "\n"))
+
+
 # Streams
 
 
@@ -503,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "chunk_documents": chunk_documents,
     "chunk_titles": chunk_titles,
     "chunk_tokens": chunk_tokens,
+    "chunk_by_function": chunk_by_function,
     "token_count": token_count,
     "duplicate_chunk_keys": duplicate_chunk_keys,
     "embed_hashed": embed_hashed,
@@ -534,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "attach_answers": attach_answers,
     "ask": ask_all,
     "ask_given_context": ask_given_context,
+    "ask_by_function": ask_by_function,
     "answers_written": answers_written,
     "answer_lines": answer_lines,
     "known_roles": known_role_turns,
@@ -546,6 +595,8 @@ QUERIES: dict[str, Query] = {
     "followup_outcomes": followup_outcomes,
     "followup_given_context": followup_given_context,
     "followup_payloads": followup_payloads,
+    "followup_by_function": followup_by_function,
+    "chat_answer_lines": chat_answer_lines,
     "stream_ask": stream_of_questions,
     "stream_followup": stream_of_conversations,
     "wiki_current_text": wiki_current_text,

@@ -118,5 +118,5 @@ def write_answers(responses: DataFrame, path: str) -> None:
 
 
 def write_answer_lines(responses: DataFrame, path: str) -> None:
-    """Responses as JSON lines with the field names of the service."""
+    """Responses, of questions or of conversations, as JSON lines with the field names of the service."""
     responses.select(F.to_json(F.struct(*responses.columns)).alias("value")).write.mode("overwrite").text(path)

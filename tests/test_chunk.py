@@ -51,14 +51,15 @@ def test_long_page_needs_no_deep_stack(spark):
 
 def test_callers_tokenizer(spark):
     # One token per two characters.
-    tokenizer = CallableTokenizer(lambda t: -(-len(t) // 2), lambda t, n: min(len(t), 2 * n))
-    chunks = chunk_pages(spark.createDataFrame([(1, "A", "abcdefg")], PAGE), 2, tokenizer).orderBy("chunk_no")
+    tokenizer = CallableTokenizer(lambda texts: [range(2, len(t), 2) for t in texts])
+    pages = spark.createDataFrame([(1, "A", "abcdefg"), (2, "B", None), (3, "C", "")], PAGE)
+    chunks = chunk_pages(pages, 2, tokenizer).orderBy("chunk_no")
     assert [(c.content, c.tokens) for c in chunks.collect()] == [("abcd", 2), ("efg", 2)]
 
 
-def test_tokenizer_without_progress_fails(spark):
-    tokenizer = CallableTokenizer(len, lambda t, n: 0)
-    with pytest.raises(Exception, match="no prefix"):
+def test_tokenizer_out_of_order_fails(spark):
+    tokenizer = CallableTokenizer(lambda texts: [[2, 1] for _ in texts])
+    with pytest.raises(Exception, match="ascend"):
         chunk_pages(spark.createDataFrame([(1, "A", "abc")], PAGE), 2, tokenizer).collect()
 
 
