@@ -28,6 +28,18 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def free_prefix(rows: DataFrame, prefix: str) -> str:
+    """``prefix`` with as many underscores as it takes for no column to begin with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in rows.columns):
+        prefix += "_"
+    return prefix
+
+
+def every_column(rows: DataFrame) -> list[Column]:
+    """All columns, whatever characters are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
+
+
 # Bytes of rows that a Python worker is given at once.
 BATCH_BYTES = 4 << 20
 

@@ -26,6 +26,7 @@ def mix(
     seed: int = 7,
     doc_id: str = "doc_id",
     tokens: Column | None = None,
+    prefix: str = "_",
 ) -> DataFrame:
     """``documents`` chosen to the weights, once for each epoch, with columns ``_epoch``, ``_tokens`` and each level as ``_<name>``.
 
@@ -45,13 +46,15 @@ def mix(
     the budget is used up; the document that straddles that place is taken if this comes
     nearer to the budget. Rows of one ``doc_id`` go together. A document without tokens
     is taken with those around it. No rows give no rows. No column of ``documents`` may
-    begin with ``_``.
+    begin with ``prefix``, which all new ones do (see ``free_prefix``).
 
     Prefixes of a leaf are found by sums over 65,536 ranges of the order; only the range
     that holds the end is sorted. No leaf is ever gathered.
     """
-    names = [f"_{name}" for name in levels]
-    leaf = {f"_{name}": F.coalesce(value.cast("string"), F.lit("")) for name, value in levels.items()}
+    names = [f"{prefix}{name}" for name in levels]
+    weights = {f"{prefix}{name}": by_value for name, by_value in weights.items()}
+    full, cut = f"{prefix}full", f"{prefix}cut"
+    leaf = {f"{prefix}{name}": F.coalesce(value.cast("string"), F.lit("")) for name, value in levels.items()}
     size = byte_tokens(F.col("text")) if tokens is None else tokens
     narrow = stored(
         documents.select(
@@ -60,13 +63,13 @@ def mix(
         "sizes",
     )
     budgets = _budgets(narrow, names, weights, percent, max_epochs)
-    plan = _cuts(narrow, budgets, names, seed)
-    placed = documents.withColumns(leaf).withColumn("_tokens", size).join(plan, names)
-    order = _order(seed, F.col("full"), F.col(doc_id))
-    in_part = F.coalesce(order <= F.col("cut"), F.lit(False)).cast("int")
-    times = (F.col("full") + in_part).cast("int")
+    plan = _cuts(narrow, budgets, names, seed).withColumnsRenamed({"full": full, "cut": cut})
+    placed = documents.withColumns(leaf | {f"{prefix}tokens": size}).join(plan, names)
+    order = _order(seed, F.col(full), F.col(doc_id))
+    in_part = F.coalesce(order <= F.col(cut), F.lit(False)).cast("int")
+    times = (F.col(full) + in_part).cast("int")
     every = F.when(times > 0, F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1))
-    return placed.withColumn("_epoch", F.explode(every)).drop("full", "cut")
+    return placed.withColumn(f"{prefix}epoch", F.explode(every)).drop(full, cut)
 
 
 def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -76,7 +79,7 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def _weight(name: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
     weight = F.lit(1)
-    for value, w in weights.get(name[1:], {}).items():
+    for value, w in weights.get(name, {}).items():
         weight = F.when(F.col(name) == value, F.lit(w)).otherwise(weight)
     return weight
 

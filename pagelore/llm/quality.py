@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import every_column, free_prefix
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -30,8 +32,8 @@ MAX_REPEATED_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 
 
-def judge(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with a struct ``_quality`` of what the rules found; other columns stay.
+def judge(documents: DataFrame, text: str = "text", name: str = "_quality") -> DataFrame:
+    """``documents`` with a struct ``name`` of what the rules found; other columns stay.
 
     Its fields: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words`` (longs), ``base_failed``, ``kept``, ``kept_chars`` (characters in
@@ -40,61 +42,60 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     half of the characters in its words. All of it is computed within the row.
 
     A null or empty text has no words and fails. Repeated rows get equal answers, no rows
-    give no rows. Columns of ``documents`` named like those made here would be lost:
-    ``_quality`` and names beginning with ``_q_``.
+    give no rows. No column of ``documents`` may begin with ``name`` (see ``free_prefix``).
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     split = documents.withColumns(
         {
-            "_q_words": F.filter(F.split(whole, SPACE), lambda w: w != ""),
-            "_q_lines": F.split(whole, "\n"),
+            f"{name}_words": F.filter(F.split(whole, SPACE), lambda w: w != ""),
+            f"{name}_lines": F.split(whole, "\n"),
         }
     )
-    n = F.size("_q_words")
+    n = F.size(f"{name}_words")
     # Windows of three words with their place, sorted: equal ones are neighbours.
     windows = F.transform(
-        F.slice("_q_words", 1, F.greatest(n - 2, F.lit(0))),
+        F.slice(f"{name}_words", 1, F.greatest(n - 2, F.lit(0))),
         lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get("_q_words", i + 1), F.get("_q_words", i + 2)).alias("w"), i.alias("at")
+            F.concat_ws(" ", w, F.get(f"{name}_words", i + 1), F.get(f"{name}_words", i + 2)).alias("w"), i.alias("at")
         ),
     )
     sorted_windows = split.withColumns(
         {
-            "_q_windows": F.sort_array(windows),
-            "_q_full": F.filter("_q_lines", lambda line: line.rlike(WORD)),
-            "_q_good": F.filter("_q_lines", lambda line: ~_fails(line)),
+            f"{name}_windows": F.sort_array(windows),
+            f"{name}_full": F.filter(f"{name}_lines", lambda line: line.rlike(WORD)),
+            f"{name}_good": F.filter(f"{name}_lines", lambda line: ~_fails(line)),
         }
     )
 
     def repeated(x: Column, i: Column) -> Column:
-        before = (i > 0) & (F.get("_q_windows", i - 1)["w"] == x["w"])
-        return F.coalesce(before, F.lit(False)) | F.coalesce(F.get("_q_windows", i + 1)["w"] == x["w"], F.lit(False))
+        before = (i > 0) & (F.get(f"{name}_windows", i - 1)["w"] == x["w"])
+        return F.coalesce(before, F.lit(False)) | F.coalesce(F.get(f"{name}_windows", i + 1)["w"] == x["w"], F.lit(False))
 
     places = sorted_windows.withColumn(
-        "_q_places", F.sort_array(F.transform(F.filter("_q_windows", repeated), lambda x: x["at"]))
+        f"{name}_places", F.sort_array(F.transform(F.filter(f"{name}_windows", repeated), lambda x: x["at"]))
     )
     # Each repeated window adds the words up to the next one, three at most.
     steps = F.transform(
-        "_q_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_q_places", i + 1) - p, F.lit(3)))
+        f"{name}_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get(f"{name}_places", i + 1) - p, F.lit(3)))
     )
     # Behind a generator: else a filter on the outcome would be moved below, and with it
     # all of the above, to be computed for each window anew.
     counted = places.select(
-        *documents.columns,
+        *every_column(documents),
         _once(
             n.cast("long").alias("n_words"),
-            F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
+            F.length(F.array_join(f"{name}_words", "")).cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            (F.size("_q_full") - F.size(F.array_distinct("_q_full"))).cast("long").alias("n_dup_lines"),
+            (F.size(f"{name}_full") - F.size(F.array_distinct(f"{name}_full"))).cast("long").alias("n_dup_lines"),
             F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
-            F.aggregate("_q_good", F.lit(0), lambda a, line: a + _word_chars(line)).cast("long").alias("kept_chars"),
-            F.when(F.col(text).isNotNull(), F.array_join("_q_good", "\n")).alias("clean"),
-        ).alias("_quality"),
+            F.aggregate(f"{name}_good", F.lit(0), lambda a, line: a + _word_chars(line)).cast("long").alias("kept_chars"),
+            F.when(F.col(text).isNotNull(), F.array_join(f"{name}_good", "\n")).alias("clean"),
+        ).alias(name),
     )
-    q = F.col("_quality")
+    q = F.col(name)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
     kept = ~failed & (100 * q["kept_chars"] >= MIN_KEPT_PERCENT * q["word_chars"])
-    return counted.withColumn("_quality", q.withField("base_failed", failed).withField("kept", kept))
+    return counted.withColumn(name, q.withField("base_failed", failed).withField("kept", kept))
 
 
 def _once(*fields: Column) -> Column:
@@ -131,8 +132,9 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def clean(documents: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without their failing lines, ``n_chars`` set anew if there; see ``judge``."""
-    kept = judge(documents, text).where(F.col("_quality.kept"))
-    changed = {text: F.col("_quality.clean")}
+    name = free_prefix(documents, "_quality")
+    kept = judge(documents, text, name).where(F.col(f"{name}.kept"))
+    changed = {text: F.col(f"{name}.clean")}
     if n_chars in documents.columns:
-        changed[n_chars] = F.length("_quality.clean").cast(documents.schema[n_chars].dataType)
-    return kept.withColumns(changed).select(documents.columns)
+        changed[n_chars] = F.length(f"{name}.clean").cast(documents.schema[n_chars].dataType)
+    return kept.withColumns(changed).select(every_column(documents))

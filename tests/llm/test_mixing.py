@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import free_prefix
 from pagelore.llm.mixing import byte_tokens, mix
 
 
@@ -73,10 +74,12 @@ def test_equal_to_plain(spark, percent, epochs):
     ]
     rows += [(5, "y" * 400, "p", "u"), (None, "n" * 30, "q", "u"), (1000, None, "r", "u")]
     weights = {"a": {"p": 1, "q": 5}, "b": {"u": 3, "z": 0}}
-    frame = spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, a string, b string, tokens string")
-    mixed = mix(frame, {"a": F.col("a"), "b": F.col("b")}, weights, percent, epochs, seed=11)
+    clash = "doc_id long, text string, a string, b string, tokens string, full string, cut string, _epoch string"
+    frame = spark.createDataFrame([(*r, "t", "f", "c", "e") for r in rows], clash)
+    prefix = free_prefix(frame, "_")
+    mixed = mix(frame, {"a": F.col("a"), "b": F.col("b")}, weights, percent, epochs, seed=11, prefix=prefix)
     rows_without_twins = [r for r in rows if r[0] != 5] if percent == 0 else rows
-    got = sorted(((r.doc_id, r["_epoch"]) for r in mixed.collect()), key=str)
+    got = sorted(((r.doc_id, r[f"{prefix}epoch"]) for r in mixed.collect()), key=str)
     assert got == plain(rows_without_twins, weights, percent, epochs, 11)
 
 

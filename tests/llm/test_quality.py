@@ -45,8 +45,8 @@ def plain(text):
 
 
 def frame(spark, texts):
-    rows = [(i, t, 5, "clash") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept string")
+    rows = [(i, t, 5, "clash", "clash", "dot") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept string, _quality_words string, `a.b` string")
 
 
 def test_base_counts(spark):
@@ -72,4 +72,4 @@ def test_too_much_lost(spark):
 
 def test_no_rows(spark):
     assert quality(frame(spark, TEXTS).limit(0)).collect() == []
-    assert clean(frame(spark, TEXTS).limit(0)).columns == ["doc_id", "text", "n_chars", "kept"]
+    assert clean(frame(spark, TEXTS).limit(0)).columns == ["doc_id", "text", "n_chars", "kept", "_quality_words", "a.b"]
