@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm.common import stored, table
+from pagelore.llm.common import every_column, free_prefix, stored, table
 from pagelore.llm.language import held_out, learn, reject_unknown
 from pagelore.llm.mixing import mix
 from pagelore.llm.near_copies import keep_one
@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of all tokens, shared out by the weights of domains, languages and sources."""
-    return mix(docs, levels(), WEIGHTS, percent=80).select(docs.columns)
+    return mix(docs, levels(), WEIGHTS, percent=80, prefix=free_prefix(docs, "_")).select(every_column(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
