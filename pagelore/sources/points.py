@@ -31,7 +31,7 @@ def rebuild(
     """
     spark = points.sparkSession
     path = path.rstrip("/")
-    version = max((row.version for row in snapshots(spark, path).collect()), default=0) + 1
+    version = (snapshots(spark, path).agg(F.max("version")).first()[0] or 0) + 1
     location = f"{path}/data/{uuid.uuid4().hex}"
     width = F.coalesce(F.size("embedding"), F.lit(-1))
     fits = F.when(width == dim, F.col("embedding")).otherwise(
@@ -65,10 +65,16 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_points(
-    spark: SparkSession, path: str, version: int | None = None, vectors: bool = True
+    spark: SparkSession, path: str, version: int | None = None, vectors: bool = True, location: str | None = None
 ) -> DataFrame:
-    """The points of a version, by default the latest; payload only without ``vectors``."""
+    """The points of a version, by default the latest; payload only without ``vectors``.
+
+    Two rebuilds at the same time may take one number; ``location`` (see
+    :func:`snapshots`) then tells which is meant, else it is the later commit.
+    """
     known = snapshots(spark, path)
+    if location is not None:
+        known = known.where(F.col("location") == location)
     if version is not None:
         known = known.where(F.col("version") == version)
     latest = known.orderBy(F.desc("version"), F.desc("committed_at")).first()

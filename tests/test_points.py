@@ -61,3 +61,16 @@ def test_build_and_dry_run(spark, tmp_path):
     got = read_points(spark, path).select("title", "content", "tokens").orderBy("title").collect()
     assert [tuple(r) for r in got] == [("A b (1)", "one two", 2), ("A b (2)", " three", 1)]
     assert planned.count() == 2
+
+
+def test_two_rebuilds_at_once_are_both_readable(spark, tmp_path, monkeypatch):
+    from pagelore.sources import points as module
+
+    path = str(tmp_path / "points")
+    nothing = spark.createDataFrame([], module._COMMITS)
+    with monkeypatch.context() as m:
+        m.setattr(module, "snapshots", lambda *_: nothing)  # neither sees the other
+        assert rebuild(points(spark, "A"), path, 2) == rebuild(points(spark, "B"), path, 2) == 1
+    places = [r.location for r in snapshots(spark, path).collect()]
+    found = [{r.title for r in read_points(spark, path, 1, location=x).collect()} for x in places]
+    assert sorted(map(sorted, found)) == [["A1", "A2", "A3"], ["B1", "B2", "B3"]]
