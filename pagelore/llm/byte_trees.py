@@ -25,26 +25,22 @@ class Table:
     """Row numbers of distinct 64-bit keys, found by open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 2).bit_length())
+        # At most a quarter of the slots is taken: few keys are not where they are looked for first.
+        bits = max(4, int(len(keys) * 4).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
+        self.keys = keys.astype(np.uint64)
         self.rows = np.full(1 << bits, -1, np.int32)
-        keys = keys.astype(np.uint64)
         left = np.arange(len(keys), dtype=np.int32)
-        slot = self._slot(keys)
+        slot = self._slot(self.keys)
         while len(left):
             free = self.rows[slot] < 0
             self.rows[slot[free]] = left[free]
             placed = self.rows[slot] == left
-            self.keys[slot[placed]] = keys[left[placed]]
             left, slot = left[~placed], (slot[~placed] + 1) & self.mask
 
     def __getstate__(self) -> np.ndarray:
-        """The keys in order: a table travels without its empty slots."""
-        at = np.flatnonzero(self.rows >= 0)
-        keys = np.empty(len(at), np.uint64)
-        keys[self.rows[at]] = self.keys[at]
-        return keys
+        """The keys alone: a table travels without its slots."""
+        return self.keys
 
     def __setstate__(self, keys: np.ndarray) -> None:
         self.__init__(keys)
@@ -56,12 +52,11 @@ class Table:
         """Row of each key, -1 of one that is not there."""
         slot = self._slot(keys)
         found = self.rows[slot]
-        again = np.flatnonzero((found >= 0) & (self.keys[slot] != keys))
+        again = np.flatnonzero((found >= 0) & (self.keys[found] != keys)) if len(self.keys) else found[:0]
         while len(again):
             slot[again] = (slot[again] + 1) & self.mask
-            at = slot[again]
-            found[again] = self.rows[at]
-            again = again[(found[again] >= 0) & (self.keys[at] != keys[again])]
+            now = found[again] = self.rows[slot[again]]
+            again = again[(now >= 0) & (self.keys[now] != keys[again])]
         return found
 
 
