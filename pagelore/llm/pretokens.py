@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 
 import numpy as np
@@ -78,6 +79,8 @@ class Pieces:
     """A tokenizer, loaded where it encodes."""
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library would only hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.specials = special_tokens(path)
@@ -85,8 +88,11 @@ class Pieces:
 
     def counts(self, wanted: list[str]) -> list[int]:
         """Number of ids of each key."""
-        texts = [literal(k) for k in wanted]
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found: list[int] = []
+        for i in range(0, len(wanted), 2000):
+            texts = [literal(k) for k in wanted[i : i + 2000]]
+            found += [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
