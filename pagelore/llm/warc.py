@@ -17,7 +17,7 @@ from pagelore.llm.common import stored
 
 MAGIC = "WARC/1."
 _BREAK = "\r\n"
-_HEAD = 8192  # a record's header and its HTTP header are looked for in so many bytes
+_EMPTY_LINE = "\r\n\r\n"  # with the end of the line before it
 
 # Base 32: the digits that conv() writes, and the alphabet of the format.
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -152,14 +152,19 @@ def _cuts(spark: SparkSession, path: str) -> DataFrame:
 
 def _measured(cuts: DataFrame) -> DataFrame:
     """Each cut with its length, its header's fields, and its payload's digest if it holds all of it."""
-    head = F.substring("value", 1, _HEAD)
-    # A header ends at the first empty line; its fields begin their lines.
-    warc = F.regexp_extract(head, r"(?s)\A([0-9]\r\n.*?\r\n)\r\n", 1)
-    cut = cuts.withColumn("length", F.octet_length("value").cast("long")).withColumn("warc", warc)
-    field = lambda name: F.regexp_extract("warc", rf"(?i)\n{name}:[ \t]*([^\r\n]*?)[ \t]*\r", 1)
+    # A header ends at the first empty line, however far that is; its fields begin their lines.
+    end = F.when(F.substring("value", 1, 3).rlike(r"\A[0-9]\r\n"), F.locate(_EMPTY_LINE, F.col("value"))).otherwise(0)
+    warc = F.when(F.col("end") > 0, F.substring(F.col("value"), F.lit(1), F.col("end") + 1)).otherwise("")
+    cut = cuts.withColumn("length", F.octet_length("value").cast("long")).withColumn("end", end).withColumn("warc", warc)
+    line = lambda name: F.regexp_extract("warc", rf"(?i)\n{name}:[ \t]*+([^\r\n]*+)\r", 1)
+    field = lambda name: F.rtrim(line(name), F.lit(" \t"))
     filled = lambda c: F.when(c != "", c)
     page = lambda name: filled(F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1)).cast("long")
-    rest = F.substring(F.col("value"), F.length("warc") + 3, F.lit(_HEAD))
+    # The HTTP header stands behind the empty line and ends at its own.
+    start = F.length("warc") + 3
+    http_end = F.when(F.substring(F.col("value"), start, F.lit(5)) == "HTTP/", F.call_function("locate", F.lit(_EMPTY_LINE), F.col("value"), start))
+    cut = cut.withColumn("start", start).withColumn("http_end", F.coalesce(http_end, F.lit(0)))
+    http = F.substring(F.col("value"), F.col("start"), F.col("http_end") + len(_EMPTY_LINE) - F.col("start"))
     cut = cut.select(
         "file",
         "block",
@@ -173,7 +178,7 @@ def _measured(cuts: DataFrame) -> DataFrame:
         page("WARC-Refers-To").alias("refers_to"),
         filled(field("WARC-Target-URI")).alias("url"),
         filled(F.regexp_extract(field("WARC-Payload-Digest"), "sha1:([A-Z2-7]{32})", 1)).alias("header_digest"),
-        F.regexp_extract(rest, r"(?s)\A(HTTP/.*?\r\n\r\n)", 1).alias("http"),
+        F.when(F.col("http_end") > 0, http).otherwise("").alias("http"),
     )
     said = F.regexp_extract("http", r"(?i)\nContent-Length:[ \t]*(\d+)[ \t]*\r", 1)
     cut = cut.withColumns(

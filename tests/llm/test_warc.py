@@ -70,6 +70,17 @@ def test_small_payloads_are_always_responses(spark, tmp_path):
     assert round_trip(spark, tmp_path, PAGES, least_bytes=6) == expected(PAGES, 6)
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    long = [(i, f"http://{i}/" + "a b" * 7000, f"page {i}") if i % 3 == 0 else (i, "u", f"page {i}") for i in range(9)]
+    assert round_trip(spark, tmp_path, long) == expected(long)
+    rows = read_archives(spark, f"{tmp_path}/archives").collect()
+    assert {r.page_id: r.url for r in rows} == {i: u.replace(" ", "%20") for i, u, _ in long}
+    http = f"HTTP/1.1 200 OK\r\nX-Long: {'x' * 20_000}\r\n\r\n"
+    (tmp_path / "one.warc").write_bytes((record(http + "one") + record(http + "two")).encode())
+    rows = read_archives(spark, str(tmp_path / "one.warc")).collect()
+    assert sorted((r.payload_bytes, r.payload_digest) for r in rows) == sorted((3, digest(t)) for t in ("one", "two"))
+
+
 def test_no_pages(spark, tmp_path):
     assert round_trip(spark, tmp_path, []) == []
 
