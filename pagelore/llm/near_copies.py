@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import map_arrow, stored, text_slices
@@ -20,17 +20,15 @@ from pagelore.operators.lookup import lookup
 class Forest:
     """Shape of the forest.
 
-    ``trees`` sorted orders of ``depth`` labels each. Two texts are compared where their
-    orders agree in ``least_depth`` labels at least; a region of more than ``region``
-    texts is told apart by further labels, one at a time, down to ``depth``. At
-    similarity 0.8 a pair of texts misses each other in all trees with probability
-    (1 - 0.8^4)^24, about 3 in a million. Compared are sketches of ``sketch_bits`` bits;
-    a pair goes on to confirmation if their agreement stands for a similarity of
-    ``similarity - slack`` or more (four standard deviations).
+    Two texts are compared where they agree in all ``least_depth`` labels of one of
+    ``trees`` trees. At similarity 0.8 a pair of texts misses each other in all trees with
+    probability (1 - 0.8^4)^24, about 3 in a million, however crowded its regions are: a
+    region of more than ``region`` texts is dealt into blocks that meet. Compared are
+    sketches of ``sketch_bits`` bits; a pair goes on to confirmation if their agreement
+    stands for a similarity of ``similarity - slack`` or more (four standard deviations).
     """
 
     trees: int = 24
-    depth: int = 8
     least_depth: int = 4
     region: int = 4096
     sketch_bits: int = 256
@@ -53,10 +51,10 @@ def near_copies(
     shingles; a component is what links connect, named by its smallest ``doc_id``, which
     alone is ``kept``.
 
-    Texts of equal words are one class. Classes stand in the trees; their neighbours by
-    longest common prefix whose sketches agree are joined to candidate components, and
-    each candidate component is then solved exactly from the full sets, in blocks of
-    bounded size, so no true link between two of its texts is lost however large it is.
+    Texts of equal words are one class. Classes stand in the trees; those of one region
+    whose sketches agree are joined to candidate components, and each candidate component
+    is then solved exactly from the full sets. Large regions and components are dealt into
+    blocks of bounded size (see ``_meetings``), so nothing is lost however large they are.
     Pairs never become rows: a task passes on at most one row for each text it holds.
 
     A text that is null or has no word has no shingles and is linked with nothing; its
@@ -118,7 +116,7 @@ def keep_one(
 
 
 def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
-    n_labels = forest.trees * forest.depth
+    n_labels = forest.trees * forest.least_depth
     functions = hash_functions(max(n_labels, forest.sketch_bits))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,48 +153,114 @@ def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, percent: int, forest: Forest) -> DataFrame:
-    """Edges ``a, b`` whose components hold every pair that any tree brings together."""
-    size = 2 * forest.depth
+    """Edges ``a, b`` whose components hold every pair that any tree brings together.
+
+    A region is compared in one task if it is of ``forest.region`` texts at most. A larger
+    one is first compared within blocks, which differ from tree to tree; blocks then meet
+    for the pairs that nothing has connected yet.
+    """
+    size = 2 * forest.least_depth
     orders = F.array(*[F.substring("labels", 1 + t * size, size) for t in range(forest.trees)])
-    rows = (
-        classes.select("rep", "sketch", F.posexplode(orders).alias("tree", "label"))
-        .withColumn("region", F.substring("label", 1, 2 * forest.least_depth))
-        .repartition("tree", "region")
-        .sortWithinPartitions("tree", "label")
-        .select("tree", "label", "rep", "sketch")
+    rows = classes.select("rep", "sketch", F.posexplode(orders).alias("tree", "label")).select(
+        F.xxhash64("tree", "label").alias("crowd"), "rep", "sketch"
+    )
+    half = max(1, forest.region // 2)
+    crowded = stored(
+        rows.groupBy("crowd")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > forest.region)
+        .select("crowd", F.ceil(F.col("n") / half).alias("blocks")),
+        "crowded",
+    )
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(crowded, "crowd", "left").select(
+        "crowd", F.pmod(F.xxhash64("rep", "crowd"), blocks).alias("i"), F.lit(0).cast("long").alias("j"), "rep", "sketch"
+    )
+    edges = _agreeing(dealt, percent, forest)
+    if crowded.isEmpty():
+        return edges
+    placed = stored(components(edges), "placed")
+    dense = rows.join(crowded.select("crowd"), "crowd").withColumn("weight", F.lit(1.0 / half))
+    meetings = _meetings(dense, placed, "rep")
+    if meetings is None:
+        return placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    again = meetings.select("crowd", F.explode(_met()).alias("at"), "rep", "sketch").select(
+        "crowd", "at.i", "at.j", "rep", "sketch"
+    )
+    return placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
+        _agreeing(again, percent, forest)
+    )
+
+
+def _meetings(rows: DataFrame, placed: DataFrame, node: str) -> DataFrame | None:
+    """Rows of ``crowd``, ``node``, ``weight`` (as a part of a block) with what ``_met`` is told by; None if none meet.
+
+    Every two rows of a crowd that are not in one component of ``placed`` (a node without
+    one is its own) meet. Of each crowd the heaviest component need not meet itself: the
+    other rows, those left open, are dealt into blocks ``j``, all rows into blocks ``i``,
+    and each ``i`` meets each ``j``. A crowd that is one component has no meetings.
+    """
+    parts = rows.join(placed.withColumnRenamed("node", node), node, "left").withColumn(
+        "component", F.coalesce("component", node)
+    )
+    weights = parts.groupBy("crowd", "component").agg(F.sum("weight").alias("weight"))
+    heaviest = weights.groupBy("crowd").agg(
+        F.max_by("component", "weight").alias("heaviest"),
+        F.count("*").alias("n"),
+        F.sum("weight").alias("all"),
+        F.max("weight").alias("own"),
+    )
+    open_crowds = stored(
+        heaviest.where(F.col("n") > 1).select(
+            "crowd",
+            "heaviest",
+            F.ceil("all").alias("blocks"),
+            F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("own"))).alias("open_blocks"),
+        ),
+        "open",
     )
+    if open_crowds.isEmpty():
+        return None
+    return parts.join(open_crowds, "crowd").select(
+        *rows.columns,
+        F.pmod(F.xxhash64(node, F.lit(3)), F.col("blocks")).alias("i"),
+        F.pmod(F.xxhash64(node, F.lit(4)), F.col("open_blocks")).alias("j"),
+        "blocks",
+        "open_blocks",
+        (F.col("component") != F.col("heaviest")).alias("open"),
+    )
+
+
+def _met() -> Column:
+    """The meetings ``i, j`` of a row; those of a first deal (no ``open_blocks``) are its blocks themselves."""
+    i, j, zero = F.col("i"), F.col("j"), F.lit(0).cast("long")
+    at = lambda i, j: F.struct(i.alias("i"), j.cast("long").alias("j"))
+    blocks = F.when(F.col("blocks") > 1, F.array(at(i, F.lit(-1)), at(j, F.lit(-2)))).otherwise(F.array(at(i, F.lit(-1))))
+    own = F.transform(F.sequence(zero, F.col("open_blocks") - 1), lambda x: at(i, x))
+    others = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: at(x, j))
+    return F.when(F.col("open_blocks") == 0, blocks).when(F.col("open"), F.array_union(own, others)).otherwise(own)
+
+
+def _agreeing(rows: DataFrame, percent: int, forest: Forest) -> DataFrame:
+    """Edges ``a, b`` that connect the texts of each ``crowd, i, j`` whose sketches agree enough."""
     least = (percent / 100 - forest.slack) * forest.sketch_bits
+    rows = rows.select("crowd", "i", "j", "rep", "sketch").repartition("crowd", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, lambda b: _region_keys(b, forest)):
-            labels = _fixed(rows.column(1), size).view(">u2").reshape(-1, forest.depth)
-            ids = rows.column(2).to_numpy()
-            bits = _fixed(rows.column(3), forest.sketch_bits // 8).reshape(len(ids), -1)
-            key = _region_keys(rows, forest)
+        for rows in _runs(batches, _meeting_keys):
+            key = _meeting_keys(rows)
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+            ids = rows.column(3).to_numpy()
+            bits = _fixed(rows.column(4), forest.sketch_bits // 8).reshape(len(ids), -1)
             a, b = [], []
             for i in np.flatnonzero(np.diff(edge) > 1):
-                for low, high in _split(labels, int(edge[i]), int(edge[i + 1]), forest.least_depth, forest):
-                    member, leader = _close(ids[low:high], bits[low:high], least)
-                    a.append(member)
-                    b.append(leader)
+                member, leader = _close(ids[edge[i] : edge[i + 1]], bits[edge[i] : edge[i + 1]], least)
+                a.append(member)
+                b.append(leader)
             if a:
                 yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return map_arrow(rows, compare, "a long, b long")
-
-
-def _split(labels: np.ndarray, low: int, high: int, depth: int, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Regions of the sorted rows ``low`` to ``high``, which agree in ``depth`` labels."""
-    if high - low < 2:
-        return
-    if high - low <= forest.region or depth == forest.depth:
-        yield low, high
-        return
-    own = labels[low:high, depth]
-    edge = low + np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
-    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield from _split(labels, i, j, depth + 1, forest)
+    return map_arrow(rows.sortWithinPartitions("crowd", "i", "j"), compare, "a long, b long")
 
 
 def _close(ids: np.ndarray, packed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -322,12 +386,6 @@ def _meeting_keys(rows: pa.RecordBatch) -> np.ndarray:
     return np.stack([rows.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
 
 
-def _region_keys(rows: pa.RecordBatch, forest: Forest) -> np.ndarray:
-    labels = _fixed(rows.column(1), 2 * forest.depth).reshape(rows.num_rows, -1)[:, : 2 * forest.least_depth]
-    tree = rows.column(0).to_numpy().astype(np.uint8)
-    return np.concatenate([tree[:, None], labels], axis=1)
-
-
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     """The bytes of a binary column whose values are all ``width`` bytes long."""
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)

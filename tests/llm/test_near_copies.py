@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.llm.components import components
+from pagelore.llm import near_copies as module
 from pagelore.llm.near_copies import Forest, keep_one, near_copies
 
 
@@ -58,6 +59,43 @@ def test_equal_to_all_pairs(spark, forest):
     assert sorted(map(tuple, got)) == plain(rows, 4, 80)
 
 
+def test_crowded_regions_lose_no_pair(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(120):  # a chain: each text is linked to the next ones only
+        words[rng.randrange(160)] = f"n{i}"
+        words[rng.randrange(160)] = f"m{i}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = module._signed(frame, 4, Forest(trees=2, least_depth=2)).withColumnRenamed("doc_id", "rep")
+    found = []
+    for region in (4, 1_000_000):
+        edges = module._candidates(whole, 80, Forest(trees=2, least_depth=2, region=region))
+        found.append(sorted(map(tuple, components(edges).collect())))
+    assert found[0] == found[1] and found[0]
+
+
+def test_meetings(spark):
+    # 400 of one component in one crowd, 60 others; another crowd is one component.
+    rows = spark.range(500).select(
+        F.when(F.col("id") < 460, 1).otherwise(2).cast("long").alias("crowd"), F.col("id").alias("node"), F.lit(1 / 20).alias("weight")
+    )
+    placed = spark.range(500).where("id < 400 or id >= 460").select(
+        F.col("id").alias("node"), F.when(F.col("id") < 400, 0).otherwise(460).cast("long").alias("component")
+    )
+    told = module._meetings(rows, placed, "node")
+    met = {}
+    for r in told.select("crowd", "node", F.explode(module._met()).alias("at")).collect():
+        met.setdefault((r.crowd, r["at"].i, r["at"].j), set()).add(r.node)
+    assert {crowd for crowd, _, _ in met} == {1}
+    together = {(a, b) for m in met.values() for a in m for b in m}
+    assert all((a, b) in together for a in range(460) for b in range(400, 460))
+    assert max(map(len, met.values())) <= 2 * 20 * 2
+    assert sum(map(len, met.values())) < 460 * 4 + 60 * 24 + 1
+    assert module._meetings(rows.where("crowd = 2"), placed, "node") is None
+
+
 def test_odd_rows(spark):
     text = "some words that are long enough to count here"
     rows = [(7, text), (7, text), (3, text), (None, text), (None, None), (9, None)]
