@@ -33,8 +33,10 @@ class Forest:
     region: int = 4096
     sketch_bits: int = 256
     slack: float = 0.15
-    # Most texts of one candidate component that meet in a task: twice this.
+    # A block of a candidate component has about so many texts and bytes of sets at most,
+    # or one text; two blocks meet in a task.
     block: int = 512
+    block_bytes: int = 8 << 20
 
 
 def near_copies(
@@ -77,7 +79,7 @@ def near_copies(
         "classes",
     )
     candidates = components(_candidates(classes, percent, forest))
-    placed = components(_confirmed(given, candidates, width, percent, forest))
+    placed = components(_confirmed(given, signed, candidates, width, percent, forest))
     named = classes.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
@@ -293,14 +295,39 @@ def _connected(ids: np.ndarray, linked, step: int = 256) -> tuple[np.ndarray, np
 
 
 def _confirmed(
-    documents: DataFrame, candidates: DataFrame, width: int, percent: int, forest: Forest
+    documents: DataFrame, signed: DataFrame, candidates: DataFrame, width: int, percent: int, forest: Forest
 ) -> DataFrame:
-    """Edges ``a, b`` whose components are those of the true links within candidate components."""
-    sizes = candidates.groupBy("component").count()
-    blocks = F.ceil(F.col("count") / forest.block).cast("int")
-    members = candidates.join(sizes.withColumn("blocks", blocks), "component").select(
-        F.col("node").alias("doc_id"), "component", "blocks"
+    """Edges ``a, b`` whose components are those of the true links within candidate components.
+
+    A candidate component of more than one block is dealt into blocks twice, differently,
+    which connects what is dense; blocks then meet for the pairs not connected yet.
+    """
+    weight = 1 / F.lit(forest.block) + 8 * F.max("n_shingles") / F.lit(forest.block_bytes)
+    members = candidates.withColumnsRenamed({"node": "doc_id", "component": "crowd"})
+    lengths = signed.select("doc_id", "n_shingles")
+    members = stored(members.join(lengths, "doc_id").groupBy("crowd", "doc_id").agg(weight.alias("weight")), "members")
+    sizes = stored(members.groupBy("crowd").agg(F.ceil(F.sum("weight")).alias("blocks")), "sizes")
+    first = members.join(sizes, "crowd").select(
+        "crowd",
+        "doc_id",
+        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).alias("i"),
+        F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).alias("j"),
+        "blocks",
+        F.lit(0).cast("long").alias("open_blocks"),
+        F.lit(False).alias("open"),
     )
+    edges = stored(_linked(documents, first, width, percent), "links")
+    crowded = sizes.where(F.col("blocks") > 1).select("crowd")
+    if crowded.isEmpty():
+        return edges
+    placed = stored(components(edges), "placed")
+    meetings = _meetings(members.join(crowded, "crowd"), placed, "doc_id")
+    return edges if meetings is None else edges.union(_linked(documents, meetings, width, percent))
+
+
+def _linked(documents: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges ``a, b`` that connect the linked texts of each meeting ``i, j`` of each ``crowd``."""
+    told = ["crowd", "doc_id", "i", "j", "blocks", "open_blocks", "open"]
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -311,25 +338,16 @@ def _confirmed(
                     shingle_set(words_of(t or ""), width, hashes).tobytes() for t in part.column("text").to_pylist()
                 ]
                 hashes.trim()
-                columns = [part.column(c) for c in ("component", "blocks", "doc_id")]
-                yield pa.record_batch([*columns, pa.array(sets, pa.binary())], ["component", "blocks", "doc_id", "set"])
+                yield pa.record_batch([*(part.column(c) for c in told), pa.array(sets, pa.binary())], [*told, "set"])
 
-    texts = lookup(documents, members, "doc_id").select("component", "blocks", "doc_id", "text")
-    sets = map_arrow(texts, shingle, "component long, blocks int, doc_id long, set binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    texts = lookup(documents, members.select(*told), "doc_id").select(*told, "text")
+    kinds = "crowd long, doc_id long, i long, j long, blocks long, open_blocks long, open boolean, set binary"
     meetings = (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "component",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            "own",
-            "doc_id",
-            "set",
-        )
-        .repartition("component", "low", "high")
-        .sortWithinPartitions("component", "low", "high", "own", "doc_id")
+        map_arrow(texts, shingle, kinds)
+        .select("crowd", F.explode(_met()).alias("at"), "doc_id", "set")
+        .select("crowd", "at.i", "at.j", "doc_id", "set")
+        .repartition("crowd", "i", "j")
+        .sortWithinPartitions("crowd", "i", "j", "doc_id")
     )
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +359,7 @@ def _confirmed(
                 if j - i < 2:
                     continue
                 part = rows.slice(i, j - i)
-                sets = [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
-                own = part.column("own").to_numpy()
-                same = key[i, 1] == key[i, 2]
-                links = _links(sets, None if same else own, percent)
+                links = _links([np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()], percent)
                 member, leader = _connected(
                     part.column("doc_id").to_numpy(), lambda r, c, links=links: links[np.ix_(r, c)]
                 )
@@ -356,8 +371,8 @@ def _confirmed(
     return map_arrow(meetings, confirm, "a long, b long")
 
 
-def _links(sets: list[np.ndarray], own: np.ndarray | None, percent: int) -> np.ndarray:
-    """Which pairs of sets are linked; only those of different ``own``, if that is given."""
+def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets are linked."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     row = np.repeat(np.arange(n), sizes)
@@ -376,10 +391,7 @@ def _links(sets: list[np.ndarray], own: np.ndarray | None, percent: int) -> np.n
         has = np.zeros((n, int(min(wide, shared.sum() - start))), np.float32)
         has[row[low:high], column[low:high] - start] = 1
         common += (has @ has.T).astype(np.int64)
-    links = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if own is not None:
-        links &= own[:, None] != own[None, :]
-    return links
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
 def _meeting_keys(rows: pa.RecordBatch) -> np.ndarray:

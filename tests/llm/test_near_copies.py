@@ -76,6 +76,13 @@ def test_crowded_regions_lose_no_pair(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = corpus(4)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies(frame, forest=Forest(block_bytes=4000, region=30)).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 4, 80)
+
+
 def test_meetings(spark):
     # 400 of one component in one crowd, 60 others; another crowd is one component.
     rows = spark.range(500).select(
