@@ -59,11 +59,16 @@ MOST_LINKED = 0.4
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
-    r"(?P<attributes>(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[^\"'>])*+>|[^>]*+(?:>|\Z))"
+    # A value in quotes ends at its closing quote, however far that is; without one in the
+    # rest of the page the quote is a character like others.
+    r"(?P<attributes>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+(?:>|\Z))"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+# Values of these attributes; those of others are passed over, as they can hold markup.
+_NAMES = re.compile(
+    r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|=\s*(?:\"[^\"]*\"|'[^']*')", re.IGNORECASE
+)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for tag in RAW_TAGS}
 

@@ -47,6 +47,15 @@ def test_broken_pages():
     assert main_text('<article><p>a < b &amp c &lt;p&gt;</p></article>') == "a < b & c <p>"
 
 
+def test_attribute_values_of_any_length():
+    for size in (10, 5000, 200_000):
+        value = "a > b <div class='ad'><p>" + "x" * size + "</div></article> > c"
+        assert main_text(f'<article><div data-x="{value}"><p>{LONG}</p><p title= "{value}">{NEXT}</p></div></article>') == f"{LONG}\n{NEXT}"
+    assert main_text(f'<article><p title="a>{LONG}</p><p>{NEXT}</p></article>') == f"{LONG}\n{NEXT}"
+    assert main_text(f"<article><p don't>{LONG}</p><p>It's {NEXT}</p></article>") == f"{LONG}\nIt's {NEXT}"
+    assert main_text(f"<article><p>{LONG}" + '<a x=">"' * 50_000) == LONG
+
+
 def test_pages_as_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
