@@ -55,6 +55,7 @@ SHORT_CHARS = 70
 MANY_STOP_WORDS = 0.2
 SOME_STOP_WORDS = 0.1
 MOST_LINKED = 0.4
+_LAST_LATIN = "\u024f"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -199,8 +200,9 @@ def first_pass(block: Block) -> str:
     """``good``, ``bad``, or nothing for a block that cannot be told by itself.
 
     Bad: in a part of the page that is not the article, or mostly links. Good: long or
-    rich in stop words. Outside an article element, a block of some length without stop
-    words is bad too; a short one is left to its neighbours.
+    rich in stop words, or of some length in a script that none of them is written in.
+    Any other block is left to its neighbours: that it has no stop words may be its
+    language, or that it is code, a table or a list of names.
     """
     text = block.text
     if block.side or block.linked > MOST_LINKED * len(text):
@@ -211,8 +213,10 @@ def first_pass(block: Block) -> str:
         return "good"
     if len(text) >= SHORT_CHARS and density >= MANY_STOP_WORDS:
         return "good"
-    if len(text) >= SHORT_CHARS and density < SOME_STOP_WORDS and not block.main and not block.heading:
-        return "bad"
+    if len(text) >= SHORT_CHARS and density < SOME_STOP_WORDS:
+        letters = sum(map(str.isalpha, text))
+        if 2 * sum(c > _LAST_LATIN and c.isalpha() for c in text) > letters:
+            return "good"
     return ""
 
 
@@ -220,20 +224,28 @@ def second_pass(blocks: list[Block]) -> None:
     """Undecided blocks take the label of the nearest decided neighbours.
 
     Those in an article element look only at neighbours in it, and are good if there is
-    none. Elsewhere two neighbours that differ are settled by which of them has the same
+    none. So do those of a page without such an element, all of which are good if no
+    block of it surely is: then nothing tells them from the article. Elsewhere, in a page
+    that has one, a block without neighbours is bad. Two neighbours that differ are settled by which of them has the same
     parent, then by which is nearer; a heading goes with what follows, else bad wins.
     """
+    has_main = any(block.main and not block.side for block in blocks)
+    if not has_main and not any(block.label == "good" for block in blocks):
+        for block in blocks:
+            block.label = block.label or "good"
+        return
     before: list[int | None] = []
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
         before.append(last.get(block.main))
-        if block.label:
+        if block.label and (has_main or not block.side):
             last[block.main] = i
     last = {}
     for i in range(len(blocks) - 1, -1, -1):
         block = blocks[i]
         if block.label:
-            last[block.main] = i
+            if has_main or not block.side:
+                last[block.main] = i
             continue
         near = [j for j in (before[i], last.get(block.main)) if j is not None]
         if block.main:

@@ -56,6 +56,24 @@ def test_attribute_values_of_any_length():
     assert main_text(f"<article><p>{LONG}" + '<a x=">"' * 50_000) == LONG
 
 
+def test_nothing_but_sides_and_links_is_dropped():
+    nav, foot = '<nav><a href="/">Home</a> Menu</nav>', "<footer>All of the rights of it</footer>"
+    assert main_text("<body><p>One short sentence.</p></body>") == "One short sentence."
+    short = "".join(f"<div>Line number {i} of it.</div>" for i in range(5))
+    assert main_text(f"<body>{nav}{short}{foot}</body>").split("\n") == [f"Line number {i} of it." for i in range(5)]
+    code = "for (int i = 0; i < n; ++i) { total += values[i] * weights[i]; counts[i]++; } return total;"
+    page = f"<body>{nav}<div><p>{LONG}</p><pre>{code.replace('<', '&lt;')}</pre><p>{NEXT}</p></div>{foot}</body>"
+    assert main_text(page).split("\n") == [LONG, code, NEXT]
+    chinese = "这是一篇关于城市历史的文章，内容很长。" * 5
+    finnish = "Kaupungin historia ulottuu keskiajalle, jolloin ensimmäiset asukkaat rakensivat talonsa joen varrelle."
+    for text in (chinese, finnish):
+        links = "<div><a href=x>Aa</a> <a href=y>Bb</a></div>"
+        page = f"<body>{nav}{links}<div><p>{text}</p></div>{links}<p>{text}</p>{foot}</body>"
+        assert main_text(page).split("\n") == [text, text]
+    page = f"<body>{nav}<div><p>{LONG}</p><p>{NEXT}</p></div><div><a href=x>Aa</a></div><p>{chinese}</p></body>"
+    assert main_text(page).split("\n") == [LONG, NEXT, chinese]
+
+
 def test_pages_as_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
