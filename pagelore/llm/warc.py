@@ -104,8 +104,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A file whose chain breaks off gives the records up to the break; of a record that the
     file's end cuts short the digest is null. A magic within a header hides that header.
     """
-    cuts = _cuts(spark, path)
-    candidates = stored(_offsets(stored(_measured(cuts), "cuts")), "candidates")
+    # Read once: a second read could number the cuts in another way.
+    cuts = stored(_measured(_cuts(spark, path)), "cuts")
+    candidates = stored(_offsets(cuts.drop("value")), "candidates")
     owned = stored(_owned(candidates, _reached(candidates)), "owned")
     records = owned.where(F.col("owner") == F.col("offset")).select("file", "owner", *_FIELDS, "payload_digest")
     # Records that a magic within their payload cuts in two or more: their parts are put together.
@@ -113,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     torn = stored(owned.join(torn, ["file", "owner"], "left_semi"), "torn")
     if torn.isEmpty():
         return records.select(*_FIELDS, "payload_digest")
-    parts = torn.select("file", "block", "seq", "owner", "offset").join(cuts, ["file", "block", "seq"])
+    parts = torn.select("file", "block", "seq", "owner", "offset").join(cuts.select("file", "block", "seq", "value"), ["file", "block", "seq"])
     whole = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
     mended = (
@@ -151,7 +152,7 @@ def _cuts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _measured(cuts: DataFrame) -> DataFrame:
-    """Each cut with its length, its header's fields, and its payload's digest if it holds all of it."""
+    """Each cut with its length, its header's fields, and its payload's digest if it holds all of it; its value stays."""
     # A header ends at the first empty line, however far that is; its fields begin their lines.
     end = F.when(F.substring("value", 1, 3).rlike(r"\A[0-9]\r\n"), F.locate(_EMPTY_LINE, F.col("value"))).otherwise(0)
     warc = F.when(F.col("end") > 0, F.substring(F.col("value"), F.lit(1), F.col("end") + 1)).otherwise("")
@@ -197,7 +198,7 @@ def _measured(cuts: DataFrame) -> DataFrame:
             F.col("block_bytes") - F.col("http_bytes")
         ),
     )
-    return cut.withColumn("payload_digest", _digest()).drop("value", "http", "header_digest")
+    return cut.withColumn("payload_digest", _digest()).drop("http", "header_digest")
 
 
 def _offsets(cuts: DataFrame) -> DataFrame:

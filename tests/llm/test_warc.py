@@ -5,6 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from pagelore.llm import warc
 from pagelore.llm.warc import read_archives, sha1_base32, with_revisits, write_archives
 
 
@@ -81,6 +82,26 @@ def test_headers_of_any_length(spark, tmp_path):
     assert sorted((r.payload_bytes, r.payload_digest) for r in rows) == sorted((3, digest(t)) for t in ("one", "two"))
 
 
+def test_archives_are_read_once(spark, tmp_path, monkeypatch):
+    bodies = [f"HTTP/1.1 200 OK\r\n\r\nWARC/1.1{'y' * i}" for i in range(40)]
+    for name in ("one", "two", "three"):
+        (tmp_path / f"{name}.warc").write_bytes("".join(map(record, bodies)).encode())
+    reached = warc._reached
+
+    def then_split_anew(candidates):  # as when executors join or are lost
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return reached(candidates)
+
+    monkeypatch.setattr(warc, "_reached", then_split_anew)
+    try:
+        rows = read_archives(spark, str(tmp_path / "*.warc")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.payload_digest for r in rows) == sorted(digest(b.split("\r\n\r\n", 1)[1]) for b in bodies * 3)
+
+
 def test_no_pages(spark, tmp_path):
     assert round_trip(spark, tmp_path, []) == []
 
