@@ -155,9 +155,99 @@ FROM ordered LEFT JOIN cut USING (domain, language, source_name),
      unnest(range((whole + CASE WHEN place <= last THEN 1 ELSE 0 END)::BIGINT)) AS u(e)
 """
 
+
+def _plus(state: str, cost: str, letter: str) -> str:
+    """A way ``state`` (six digits of cost, then the audit) after one more edit; null stays null."""
+    return f"lpad((left({state}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || {letter}"
+
+
+def _stays(state: str, role: str) -> str:
+    """A way after a turn that is kept as ``role``, or made it."""
+    change = f"CASE WHEN t.role1 = '{role}' THEN 0 ELSE 3 END + CASE WHEN t.fault = 't' THEN 3 ELSE 0 END"
+    moved = _plus(state, change, f"CASE WHEN t.role1 = '{role}' THEN 'K' ELSE 'R' END")
+    return f"CASE WHEN t.fault NOT IN ('b', 'd') THEN {moved} END"
+
+
+# Ways from the start through four states: nothing yet, after the system turn, a user turn is
+# next, an assistant turn is next. Each is its cost and audit as a string, so least() chooses.
+REPAIR = rf"""
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce([i::BIGINT] || list_transform(range(8), lambda x: 0::BIGINT),
+                          lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+              ORDER BY i) AS crc
+  FROM range(256) AS r(i)
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), kinds AS (
+  SELECT given.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT),
+                                  lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM given, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), told AS (
+  SELECT *, left(role, 1) AS role1,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN '-' ELSE 't' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS role0
+  FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND role0 || role1 NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY conv_id
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM counted
+  UNION ALL
+  SELECT t.conv_id, t.i, {_plus("s0", "4", "'D'")},
+         least({_plus("s1", "4", "'D'")},
+               CASE WHEN t.fault NOT IN ('b', 'd') AND t.role1 = 's'
+                    THEN {_plus("s0", "CASE WHEN t.fault = 't' THEN 3 ELSE 0 END", "'K'")} END),
+         least({_plus("r2", "4", "'D'")}, {_stays("r3", "a")}),
+         least({_plus("r3", "4", "'D'")}, {_stays("s0", "u")}, {_stays("s1", "u")}, {_stays("r2", "u")})
+  FROM (SELECT *, least(s2, {_plus("s3", "3", "'I'")}) AS r2,
+               least(s3, {_plus("s0", "3", "'I'")}, {_plus("s1", "3", "'I'")}, {_plus("s2", "3", "'I'")}) AS r3
+        FROM ways) w
+  JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+), best AS (
+  SELECT w.conv_id, least(s0, s2, {_plus("s3", "3", "'I'")}) AS way
+  FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+), letters AS (
+  SELECT conv_id, k, substr(way, 6 + k, 1) AS letter FROM best, unnest(range(1, length(way) - 5)) AS u(k)
+), numbered AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), said AS (
+  SELECT x.conv_id, k, o, letter, t.role, t.role1, CASE letter WHEN 'I' THEN '' ELSE t.text END AS text,
+         max(CASE WHEN o = 1 AND letter = 'K' AND t.role1 = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS led
+  FROM numbered x LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.i = x.i AND letter <> 'I'
+  WHERE letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role ELSE CASE (o - led) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+                             || ':' || text, chr(10) ORDER BY k) AS lines
+  FROM said GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(way, 6)::BIGINT, 0) AS cost,
+       coalesce(substr(way, 7), '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality": QUALITY,
     "op4_warc": WARC,
     "op7_mixing": MIXING,
     "op9_near_copies": NEAR_COPIES,
+    "op11_conversation_repair": REPAIR,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import table
+from pagelore.llm.conversation_repair import damage, digests, repair
 from pagelore.llm.html_text import extract_pages
 from pagelore.llm.language import held_out, identify, learn
 from pagelore.llm.mixing import mix
@@ -109,6 +111,20 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    found = digests(repair(damage(conversations))).withColumnRenamed("conv_id", "id")
+    every = conversations.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    empty = hashlib.sha256().hexdigest()
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -120,4 +136,5 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
 }
