@@ -20,6 +20,7 @@ from pagelore.llm.packing import pack
 from pagelore.llm.permutation_index import build_index, search
 from pagelore.llm.quality import quality
 from pagelore.llm.token_counts import token_counts
+from pagelore.llm.tokenizer_alignment import align_tokenizers
 from pagelore.llm.url_filter import Rule, judge_urls
 from pagelore.llm.warc import read_archives, with_revisits, write_archives
 from pagelore.session import scratch_path
@@ -125,6 +126,14 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align_tokenizers(
+        table(spark, sf, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -137,4 +146,5 @@ QUERIES: dict[str, Query] = {
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
