@@ -19,6 +19,7 @@ from pagelore.llm.oracles import ORACLES  # noqa: F401  (registered with the que
 from pagelore.llm.packing import pack
 from pagelore.llm.permutation_index import build_index, search
 from pagelore.llm.quality import quality
+from pagelore.llm.quality_classifier import learn_quality, score_quality
 from pagelore.llm.token_counts import token_counts
 from pagelore.llm.tokenizer_alignment import align_tokenizers
 from pagelore.llm.url_filter import Rule, judge_urls
@@ -126,6 +127,11 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return score_quality(documents, learn_quality(documents.where(~held_out()), table(spark, sf, "labels")))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return align_tokenizers(
         table(spark, sf, "documents"),
@@ -146,5 +152,6 @@ QUERIES: dict[str, Query] = {
     "op9_near_copies": op9_near_copies,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
