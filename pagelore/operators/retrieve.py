@@ -1,7 +1,9 @@
 """Exact cosine top-k over a points table, and the context text made of the hits.
 
-Points are ``id, embedding`` plus the payload ``title, content``; questions are
-``question_id, embedding, k``. Ids may be of any orderable type and are unique.
+Points are ``id, embedding`` plus the payload ``title, content``, and ``norm`` and
+``bucket`` where they come from a points table; questions are ``question_id, embedding, k``.
+Ids may be of any orderable type. Each point is a hit of its own, also where several have
+one id.
 
 Scoring visits every (question, point) pair, so the work is a blocked matrix
 product and no pair ever becomes a row. The smaller side, the questions, moves: they
@@ -27,6 +29,7 @@ from pagelore.functions.text import trim
 from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
 from pagelore.operators.topk_kernel import score_partition
 from pagelore.session import use_checkpoints
+from pagelore.sources.points import bucket_of, buckets_of
 
 # Fixed value: how many points a question gets when it does not say.
 DEFAULT_K = 5
@@ -137,7 +140,8 @@ def _hit_schema(points: DataFrame, question_id: T.DataType) -> T.StructType:
 
 
 def _vectors(points: DataFrame) -> DataFrame:
-    return points.select("id", "embedding").where("embedding is not null")
+    known = ["norm"] if "norm" in points.columns else []
+    return points.select("id", "embedding", *known).where("embedding is not null")
 
 
 def _score_scan(points: DataFrame, questions, schema: T.StructType) -> DataFrame:
@@ -173,7 +177,22 @@ def _with_payload(
     max_hits: int,
     max_broadcast_hits: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join the payload to the hits without shuffling the texts of the whole table."""
+    """Join the payload to the hits without shuffling the texts of the whole table.
+
+    Of points that lie in buckets only those of the hits are read.
+    """
+    wanted = ["question_id", "rank", "score", "id", "title", "content"]
+    buckets = buckets_of(points)
+    if buckets is not None:
+        # Written once: their buckets are listed, at most as many numbers as there are buckets.
+        use_checkpoints(points.sparkSession)
+        hits = hits.checkpoint()
+        found = [r[0] for r in hits.select(bucket_of(F.col("id"), buckets)).distinct().collect()]
+        payload = points.where(F.col("bucket").isin(found)).select("id", "title", "content")
+        return lookup(payload, hits, "id", max_hits, max_broadcast_hits).select(*wanted)
+    # Ids may repeat: the n-th hit of an id takes the n-th of its texts.
+    copy = F.row_number().over(Window.partitionBy("question_id", "id").orderBy("rank"))
     payload = points.select("id", "title", "content")
-    joined = lookup(payload, hits, "id", max_hits, max_broadcast_hits)
-    return joined.select("question_id", "rank", "score", "id", "title", "content")
+    joined = lookup(payload, hits.withColumn("copy", copy), "id", max_hits, max_broadcast_hits)
+    place = F.row_number().over(Window.partitionBy("question_id", "rank").orderBy("title", "content"))
+    return joined.withColumn("place", place).where("place = copy").select(*wanted)

@@ -29,9 +29,10 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def unit_rows(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(vectors: np.ndarray, norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length one, and which of them could be (finite and non-zero)."""
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    if norms is None:
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     usable = np.isfinite(norms) & (norms > 0)
     if not usable.all():
         vectors, norms = np.where(usable[:, None], vectors, 0.0), np.where(usable, norms, 1.0)
@@ -58,9 +59,9 @@ class BestPoints:
         self._n_kept = 0
         self._room = min(_ROOM, 2 * int(np.minimum(self._k, 1 << 40).sum()) + 100_000)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Consider points given as plain vectors."""
-        units, usable = unit_rows(vectors)
+    def add(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray | None = None) -> None:
+        """Consider points given as plain vectors, with their norms where those are known."""
+        units, usable = unit_rows(vectors, norms)
         if not usable.all():
             ids, units = ids[usable], units[usable]
         self.add_units(ids, units)
@@ -138,12 +139,13 @@ class BestPoints:
 def score_partition(
     batches: Iterable[pa.RecordBatch], questions: pa.Table, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    """Stream a partition of ``id, embedding`` past a bounded table of questions."""
+    """Stream a partition of ``id, embedding``, perhaps ``norm``, past a bounded table of questions."""
     vectors = questions["embedding"].combine_chunks()
     dim = len(vectors[0])
     best = BestPoints(matrix(vectors, dim), questions["k"].to_numpy())
     for batch in batches:
-        best.add(batch["id"].to_numpy(zero_copy_only=False), matrix(batch["embedding"], dim))
+        norms = batch["norm"].to_numpy(zero_copy_only=False) if "norm" in batch.schema.names else None
+        best.add(batch["id"].to_numpy(zero_copy_only=False), matrix(batch["embedding"], dim), norms)
         if best.is_full():
             yield from _hits(best, questions["question_id"].combine_chunks(), schema)
             best.forget()

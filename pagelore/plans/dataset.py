@@ -14,7 +14,10 @@ from pagelore.sources.points import rebuild
 
 
 def with_page_id(pages: DataFrame) -> DataFrame:
-    """Give pages that come without ``page_id`` the hash of title and content, the same however they are read."""
+    """Give pages that come without ``page_id`` the hash of title and content, the same however they are read.
+
+    Pages that come twice share it; ``rebuild`` tells their points apart.
+    """
     if "page_id" in pages.columns:
         return pages
     return pages.withColumn("page_id", F.xxhash64("title", "content"))
@@ -45,8 +48,8 @@ def build_points(
 ) -> int | DataFrame:
     """Clean, chunk, embed and rebuild in one pass; returns the new version.
 
-    No stage shuffles, unless ``parallelism`` bounds the model calls; pass pages that
-    come in a few files through ``spread`` first. A dry run returns the planned points
+    No stage before the write shuffles, unless ``parallelism`` bounds the model calls; pass
+    pages that come in a few files through ``spread`` first. A dry run returns the planned points
     and writes nothing.
     """
     embedded = embed(make_chunks(pages, max_tokens, tokenizer), embedder, dim, parallelism=parallelism)

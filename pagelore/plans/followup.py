@@ -12,6 +12,7 @@ from pagelore.operators.checks import check_limit, check_prompt, with_outcome
 from pagelore.operators.conversation import (
     known_roles,
     message,
+    nest_turns,
     nested_known_roles,
     nested_last_user,
     nested_rewrite,
@@ -38,27 +39,46 @@ def follow_up(
     embedder: Embedder,
     dim: int,
     system_text: str,
-    completions: DataFrame,
+    completions: DataFrame | Completer,
     input_verdicts: DataFrame | Moderator | None = None,
     output_verdicts: DataFrame | Moderator | None = None,
     given_contexts: DataFrame | None = None,
+    limits: DataFrame | None = None,
 ) -> FollowUp:
     """Follow-up over turn rows, for tables of any number and length of conversations.
 
-    Completions, verdict tables and ``given_contexts`` (``conv_id, context``) are keyed by
-    ``conv_id``. Where a context is given, nothing is retrieved. Every conversation has
+    Completions, verdict tables, ``given_contexts`` (``conv_id, context``) and ``limits``
+    (``conv_id`` and ``max_length``, perhaps ``model``) are keyed by ``conv_id``. Where a
+    context is given, nothing is retrieved; a limit of 0 is rejected. Every conversation has
     one outcome, one of unknown roles only included.
+
+    Turns are never gathered, unless ``completions`` is a function: it is told the limit, the
+    model and the whole conversation, which is one row then, once for each that may go on.
     """
-    summaries = _with_given(summarise(turns), given_contexts)
+    spark = turns.sparkSession
+    summaries = _with_limits(_with_given(summarise(turns), given_contexts), limits)
     turns = known_roles(turns)
     checked = _check(summaries, F.col("question.text"), input_verdicts)
-    answered = attach_completions(checked, completions, "conv_id")
+    by_function = not isinstance(completions, DataFrame)
+    use_checkpoints(spark)
+    if by_function:
+        # Whoever passed the input gate is read by retrieval and by the prompt.
+        checked = checked.checkpoint()
+        asked = checked.where("status = 'ok'")
+        contexts = _contexts(asked, F.col("question.text"), points, embedder, dim).checkpoint()
+        rewritten = rewrite_asked(turns, asked.drop("given_context"), contexts, system_text)
+        sent = nest_turns(rewritten).withColumnRenamed("conversation", "messages")
+        checked = checked.join(sent, "conv_id", "left")
+        told = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["message"].alias("text")))
+        answered = attach_completions(checked, completions, "conv_id", told).drop("messages")
+    else:
+        answered = attach_completions(checked, completions, "conv_id")
     outcomes = gate(answered, output_verdicts, "conv_id", "completion", "output")
     # A row per conversation, read by retrieval and by every part of the result.
-    use_checkpoints(turns.sparkSession)
     outcomes = outcomes.checkpoint()
     asked = outcomes.where("status = 'ok'")
-    contexts = _contexts(asked, F.col("question.text"), points, embedder, dim)
+    if not by_function:
+        contexts = _contexts(asked, F.col("question.text"), points, embedder, dim)
     rewritten = rewrite_asked(turns, asked.drop("given_context"), contexts, system_text)
     reply = asked.select(
         "conv_id",
@@ -161,3 +181,13 @@ def _with_given(rows: DataFrame, contexts: DataFrame | None) -> DataFrame:
     # One context for a conversation, however often its key is there.
     one = contexts.groupBy("conv_id").agg(F.max("context").alias("given_context"))
     return rows.join(one, "conv_id", "left")
+
+
+def _with_limits(rows: DataFrame, limits: DataFrame | None) -> DataFrame:
+    if limits is None:
+        return rows
+    # The least limit of a conversation, however often its key is there.
+    told = [F.min("max_length").cast("int").alias("max_length")]
+    if "model" in limits.columns:
+        told.append(F.max("model").alias("model"))
+    return rows.join(limits.groupBy("conv_id").agg(*told), "conv_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +36,35 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def create_exclusively(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already. Of several callers one gets True.
+
+    As sure as the file system's own exclusive creation.
+    """
+    file, system = _hadoop(spark, path)
+    if not system.exists(file.getParent()):
+        system.mkdirs(file.getParent())
+    try:
+        return system.createNewFile(file)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def names_below(spark: SparkSession, path: str, pattern: str = "*") -> list[tuple[str, int]]:
+    """Name and bytes of the files and folders of a folder, in order of name; none if there is no such folder."""
+    folder, system = _hadoop(spark, path)
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, pattern))
+    return sorted((f.getPath().getName(), f.getLen()) for f in found or [])
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system. PySpark has no public way to list or create files where executors see them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deal the rows of a few files out over all cores, before costly row-wise work.
 

@@ -109,6 +109,28 @@ def as_requests(items: DataFrame) -> DataFrame:
     )
 
 
+def request_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests as JSON lines ``value``, under names in several ways of writing."""
+    wire = F.struct(
+        F.col("request_id").alias("requestId"),
+        F.col("prompt").alias("Prompt"),
+        "model",
+        "username",
+        F.col("max_length").cast("string").alias("maxLength"),
+        F.col("max_context_length").alias("MaxContextLength"),
+    )
+    return requests(spark, sf).select(F.to_json(wire).alias("value"))
+
+
+def bad_lines(spark: SparkSession, sf: str, key: str) -> DataFrame:
+    """Lines that are no request or conversation: no JSON, or an id with what cannot be read."""
+    number = F.col("item_id")
+    name = F.concat(F.lit(f'{{"{key}":"bad-'), number.cast("string"), F.lit('","maxLength":"many"}'))
+    broken = F.concat(F.lit("{not JSON "), number.cast("string"))
+    items = table(spark, sf, "benchmark").where("item_id % 4 = 1")
+    return items.select(F.when(number % 8 == 1, name).otherwise(broken).alias("value"))
+
+
 def verdicts(spark: SparkSession, sf: str, key: str) -> DataFrame:
     return table(spark, sf, "labels").select(F.col("doc_id").alias(key), (F.col("toxic") == 1).alias("flagged"))
 

@@ -123,6 +123,14 @@ _STORED_HITS = f"""
     SELECT h.question_id, h.rank, h.score, h.id, p.title, p.content
     FROM ({_ranked(_STORED_POINTS, _STORED_QUESTIONS)}) h JOIN ({_STORED_POINTS}) p USING (id)"""
 
+# Every third point twice, under ids that order as those of the table.
+_REPEATED_POINTS = f"""
+    SELECT md5('["' || id || '","0"]') || copy AS id, title, content, v
+    FROM ({_STORED_POINTS}), unnest(range(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END)) AS u(copy)"""
+_CHANGED_PAGES = """
+    SELECT doc_id AS page_id, 'Doc_' || doc_id AS title,
+           CASE WHEN doc_id % 3 = 0 THEN 'New: ' || text ELSE text END AS content FROM documents"""
+
 # The points of the rebuilt table, under the order of their ids.
 _TABLE_POINTS = f"""
     SELECT md5('["' || page_id || '","' || chunk_no || '"]') AS id, title, content FROM ({_CHUNKS})"""
@@ -148,6 +156,7 @@ def _outcome(rows: str) -> str:
                CASE reason WHEN 'blank_question' THEN 'The question cannot be empty.'
                     WHEN 'zero_max_tokens' THEN 'The maximum output token count cannot be 0'
                     WHEN 'flagged_input' THEN '{_FLAGGED}' WHEN 'flagged_output' THEN '{_FLAGGED}'
+                    WHEN 'malformed_request' THEN 'The request could not be read.'
                     WHEN 'no_user_turn' THEN 'The conversation has no user message.'
                     WHEN 'duplicate_completion' THEN 'There is more than one completion for this request.'
                     WHEN 'no_completion' THEN 'There is no completion for this request.' END AS error
@@ -296,6 +305,19 @@ def _renumbered(turns: str) -> str:
         FROM ({turns})"""
 
 
+_CHAT_RESPONSES = f"""
+    SELECT o.conv_id, status, reason, error, said AS conversation,
+           CASE WHEN reason IS NULL THEN '{VERSION}' END AS version,
+           NULL::VARCHAR AS question_tokens, NULL::VARCHAR AS response_tokens
+    FROM ({_CHAT_OUTCOMES}) o LEFT JOIN (
+      SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said
+      FROM ({_FOLLOWUP}) GROUP BY conv_id) USING (conv_id)"""
+# Lines of a stream that cannot be read: every other one tells its id.
+_BAD_LINES = """
+    SELECT CASE WHEN item_id % 8 = 1 THEN 'bad-' || item_id END AS {key}, 'rejected' AS status,
+           'malformed_request' AS reason, 'The request could not be read.' AS error
+    FROM benchmark WHERE item_id % 4 = 1"""
+
 _TOTAL = "round(list_sum(embedding::DOUBLE[]), 4)"
 
 ORACLES: dict[str, str] = {
@@ -345,6 +367,14 @@ ORACLES: dict[str, str] = {
     "build_dataset": f"""
         SELECT title, content, {_count('content')} AS tokens, {DIM}::INTEGER AS n_values
         FROM ({_chunk(_clean_pages(_DUMPED_PAGES))})""",
+    "build_dataset_dates": f"""
+        WITH chunks AS (
+          SELECT title, content FROM ({_CHUNKS}) UNION ALL
+          SELECT title, content FROM ({_chunk(_clean_pages(_CHANGED_PAGES))}))
+        SELECT title, content, count(*)::INTEGER AS n_points FROM chunks GROUP BY ALL""",
+    "topk_repeated": f"""
+        SELECT question_id, rank, score, title, content
+        FROM ({_ranked(_REPEATED_POINTS, _STORED_QUESTIONS)}) h JOIN ({_REPEATED_POINTS}) p USING (id)""",
     "cosine_score": """
         SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
@@ -432,15 +462,19 @@ ORACLES: dict[str, str] = {
                  (n + 1) || ' messages for None, at most ' || (conv_id % 7) END AS reply
         FROM ({_outcome(_gate(_LIMITED, "conv_id", "quality = 0", "output"))})
         LEFT JOIN (SELECT conv_id, count(*) AS n FROM ({_KNOWN}) GROUP BY conv_id) USING (conv_id)""",
-    "chat_answer_lines": f"""
-        SELECT o.conv_id, status, reason, error, said AS conversation,
-               CASE WHEN reason IS NULL THEN '{VERSION}' END AS version,
-               NULL::VARCHAR AS question_tokens, NULL::VARCHAR AS response_tokens
-        FROM ({_CHAT_OUTCOMES}) o LEFT JOIN (
-          SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said
-          FROM ({_FOLLOWUP}) GROUP BY conv_id) USING (conv_id)""",
-    "stream_ask": _RESPONSES,
-    "stream_followup": _renumbered(_FOLLOWUP),
+    "chat_answer_lines": _CHAT_RESPONSES,
+    "followup_rows_by_function": f"""
+        SELECT conv_id, status, reason, error,
+               CASE WHEN reason IS NULL THEN (n + 1) || ' messages for None, at most ' || (conv_id % 7) END AS reply,
+               CASE WHEN reason IS NULL THEN (n + 2)::INTEGER END AS n_turns
+        FROM ({_outcome(_gate(_LIMITED, "conv_id", "quality = 0", "output"))})
+        LEFT JOIN (SELECT conv_id, count(*) AS n FROM ({_KNOWN}) GROUP BY conv_id) USING (conv_id)""",
+    "stream_ask": f"""
+        SELECT request_id::VARCHAR AS request_id, * EXCLUDE (request_id) FROM ({_RESPONSES})
+        UNION ALL BY NAME {_BAD_LINES.format(key="request_id")}""",
+    "stream_followup": f"""
+        SELECT conv_id::VARCHAR AS conv_id, * EXCLUDE (conv_id) FROM ({_CHAT_RESPONSES})
+        UNION ALL BY NAME {_BAD_LINES.format(key="conv_id")}""",
     "wiki_current_text": """
         SELECT 'Doc_' || doc_id AS page_title, text AS content FROM documents
         WHERE doc_id % 5 IN (0, 4) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0""",

@@ -92,7 +92,7 @@ def chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_by_function(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks cut and counted by a caller's tokenizer."""
-    chunks = chunk_pages(given.document_pages(spark, sf), CHUNK_TOKENS, CallableTokenizer(_word_ends))
+    chunks = chunk_pages(spread(given.document_pages(spark, sf)), CHUNK_TOKENS, CallableTokenizer(_word_ends))
     return chunks.select("page_id", "chunk_no", "n_chunks", "content", "tokens")
 
 
@@ -200,6 +200,28 @@ def build_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return points.select("title", "content", "tokens", F.size("embedding").alias("n_values"))
 
 
+def build_dataset_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dumps of mostly the same pages: every page of every date is a point."""
+    dump, path = scratch_path(spark, "dump"), scratch_path(spark, "points")
+    pages = given.document_pages(spark, sf).withColumnRenamed("title", "page_title")
+    changed = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("New: "), F.col("content"))).otherwise(F.col("content"))
+    write_dump(pages, dump, "2024-01-01")
+    write_dump(pages.withColumn("content", changed), dump, "2024-02-01")
+    build_points(read_dump(spark, dump, all_dates=True), path, _EMBEDDER, DIM, CHUNK_TOKENS)
+    found = read_points(spark, path).groupBy("title", "content").agg(F.count_distinct("id").alias("n_points"))
+    return found.withColumn("n_points", F.col("n_points").cast("int"))
+
+
+def topk_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of which a third comes twice: each is one hit."""
+    path = scratch_path(spark, "points")
+    points = _stored_for_rebuild(spark, sf)
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("page_id") % 3 == 0, 2).otherwise(1)))
+    rebuild(points.withColumn("copy", copies), path, DIM)
+    hits = retrieve(read_points(spark, path), given.stored_questions(spark, sf))
+    return hits.select("question_id", "rank", "score", "title", "content")
+
+
 def batch_import(spark: SparkSession, sf: str) -> DataFrame:
     """Results joined to their chunks, strictly, and made the points table."""
     path = scratch_path(spark, "points")
@@ -269,16 +291,7 @@ def retrieved_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Requests through their JSON form."""
-    wire = F.struct(
-        F.col("request_id").alias("requestId"),
-        F.col("prompt").alias("Prompt"),
-        "model",
-        "username",
-        F.col("max_length").cast("string").alias("maxLength"),
-        F.col("max_context_length").alias("MaxContextLength"),
-    )
-    lines = given.requests(spark, sf).select(F.to_json(wire).alias("value"))
-    return parse_requests(lines)
+    return parse_requests(given.request_lines(spark, sf))
 
 
 def validate_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -484,15 +497,30 @@ def followup_by_function(spark: SparkSession, sf: str) -> DataFrame:
     return answered.select("conv_id", *_OUTCOME, F.element_at("conversation", -1)["message"].alias("reply"))
 
 
+def followup_rows_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Turn rows answered by a function, with an output limit each: every outcome, and the reply."""
+    turns = given.mixed_turns(spark, sf)
+    limits = turns.select("conv_id", (F.col("conv_id") % 7).alias("max_length")).distinct()
+    options = _chat_options(spark, sf) | {"completions": _echo, "limits": limits}
+    found = follow_up(turns, _hashed_points(spark, sf), **options)
+    replies = found.turns.groupBy("conv_id").agg(
+        F.max_by("text", "turn").alias("reply"), F.count("*").cast("int").alias("n_turns")
+    )
+    return found.outcomes.select("conv_id", *_OUTCOME).join(replies, "conv_id", "left")
+
+
 def chat_answer_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Responses of conversations, rejected ones included, as JSON lines, read back."""
     path = scratch_path(spark, "chats")
     answered = follow_up_nested(nest_turns(given.mixed_turns(spark, sf)), _hashed_points(spark, sf), **_chat_options(spark, sf))
     responses = to_chat_responses(answered, given.VERSION)
     write_answer_lines(responses, path)
-    read = spark.read.schema(responses.schema).json(path)
+    return _as_text(spark.read.schema(responses.schema).json(path))
+
+
+def _as_text(responses: DataFrame) -> DataFrame:
     said = F.transform("conversation", lambda m: F.concat(m["role"], F.lit(": "), m["message"]))
-    return read.withColumn("conversation", F.array_join(said, "\n"))
+    return responses.withColumn("conversation", F.array_join(said, "\n"))
 
 
 # Streams
@@ -504,28 +532,44 @@ def _points_table(spark: SparkSession, sf: str):
     return lambda session: read_points(session, path)
 
 
+def _by_text(options: dict, key: str) -> dict:
+    """The same tables under the key as JSON lines give it, a string."""
+    return {
+        name: value.withColumn(key, F.col(key).cast("string")) if isinstance(value, DataFrame) else value
+        for name, value in options.items()
+    }
+
+
 def stream_of_questions(spark: SparkSession, sf: str) -> DataFrame:
-    items = (
-        spark.readStream.schema(table(spark, sf, "benchmark").schema)
-        .option("pathGlobFilter", "benchmark.parquet")
-        .parquet(sf)
-    )
-    output, checkpoint = scratch_path(spark, "answers"), scratch_path(spark, "progress")
-    requests = read_requests(given.as_requests(items))
+    """Questions as a stream of JSON lines, some of them malformed; all fields of all responses."""
+    source, output, checkpoint = (scratch_path(spark, name) for name in ("lines", "answers", "progress"))
+    given.request_lines(spark, sf).union(given.bad_lines(spark, sf, "requestId")).write.text(source)
     stream_ask(
-        requests, _points_table(spark, sf), output, checkpoint, given.VERSION, **_ask_options(spark, sf)
+        parse_requests(spark.readStream.text(source)),
+        _points_table(spark, sf),
+        output,
+        checkpoint,
+        given.VERSION,
+        **_by_text(_ask_options(spark, sf), "request_id"),
     ).awaitTermination()
     return spark.read.parquet(output).drop("duration", "batch_id")
 
 
 def stream_of_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    source, output, checkpoint = (scratch_path(spark, name) for name in ("payloads", "answers", "progress"))
-    nest_turns(given.mixed_turns(spark, sf)).write.parquet(source)
-    payloads = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    """Conversations as a stream of JSON lines, some of them malformed; all fields of all responses."""
+    source, output, checkpoint = (scratch_path(spark, name) for name in ("lines", "answers", "progress"))
+    nested = nest_turns(given.mixed_turns(spark, sf))
+    line = F.to_json(F.struct(F.col("conv_id").alias("conversationId"), "conversation"))
+    nested.select(line.alias("value")).union(given.bad_lines(spark, sf, "conversationId")).write.text(source)
     stream_follow_up(
-        payloads, _points_table(spark, sf), output, checkpoint, given.VERSION, **_chat_options(spark, sf)
+        parse_conversations(spark.readStream.text(source)),
+        _points_table(spark, sf),
+        output,
+        checkpoint,
+        given.VERSION,
+        **_by_text(_chat_options(spark, sf), "conv_id"),
     ).awaitTermination()
-    return _numbered(spark.read.parquet(output))
+    return _as_text(spark.read.parquet(output).drop("batch_id"))
 
 
 # Wiki tables and dumps
@@ -561,12 +605,14 @@ QUERIES: dict[str, Query] = {
     "batch_progress": batch_progress_report,
     "rebuild_points": rebuild_points,
     "snapshot_points": snapshot_points,
+    "build_dataset_dates": build_dataset_dates,
     "batch_import": batch_import,
     "build_dataset": build_dataset,
     "cosine_score": cosine_score,
     "topk_one": topk_one,
     "topk_batch": topk_batch,
     "topk_batch_blocked": topk_batch_blocked,
+    "topk_repeated": topk_repeated,
     "context_text": context_text,
     "retrieved_context": retrieved_context,
     "question_tokens": question_tokens,
@@ -596,6 +642,7 @@ QUERIES: dict[str, Query] = {
     "followup_given_context": followup_given_context,
     "followup_payloads": followup_payloads,
     "followup_by_function": followup_by_function,
+    "followup_rows_by_function": followup_rows_by_function,
     "chat_answer_lines": chat_answer_lines,
     "stream_ask": stream_of_questions,
     "stream_followup": stream_of_conversations,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.session import spread
+from pagelore.session import names_below, spread
 
 # The dump dialect. Null is written as a backslash and N.
 _DIALECT = {
@@ -40,7 +40,7 @@ def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int =
 def read_dump(spark: SparkSession, path: str, date: str | None = None, all_dates: bool = False) -> DataFrame:
     """``page_id, title, content`` of a dump file or directory.
 
-    Of a directory of dated dumps the newest is read, or that of ``date``; with
+    Of a directory of dated dumps (``date=2024-01-31``) the newest is read, or that of ``date``; with
     ``all_dates`` every page comes once for each date. Page ids are the hash of title
     and content, so they do not depend on how files are read. Bad lines and missing fields are tolerated and become nulls. A backslash
     before a line break is the dump's escape for it and goes. A file is read by one
@@ -69,11 +69,7 @@ def read_dump(spark: SparkSession, path: str, date: str | None = None, all_dates
 
 def _dated(spark: SparkSession, path: str, date: str | None) -> str:
     """The directory of one date below ``path``; ``path`` itself if it holds none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
-        spark._jvm.org.apache.hadoop.fs.Path(folder, f"date={date or '*'}")
-    )
-    found = sorted(f.getPath().getName() for f in files or [])
+    found = [name for name, _ in names_below(spark, path, f"date={date or '*'}")]
     if date and not found:
         raise ValueError(f"no dump of {date} below {path}")
     return f"{path.rstrip('/')}/{found[-1]}" if found else path

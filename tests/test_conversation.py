@@ -184,3 +184,27 @@ def test_empty_payloads_come_back(spark):
     rows = explode_turns(payloads)
     assert sorted((r.conv_id, r.turn) for r in rows.collect()) == [(1, 0), (2, None), (3, None)]
     assert {r.conv_id: len(r.conversation) for r in nest_turns(rows).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_turn_rows_and_a_completer(turns, options, spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def completer(asked):
+        import json
+
+        with open(log, "a") as out:
+            out.writelines("x\n" for _ in range(len(asked)))
+        for row in asked.itertuples():
+            said = json.loads(row.messages)
+            yield f"{said[0]['role']} {len(said)} {said[-1]['text'][:12]} {int(row.max_length)} {row.model}"
+
+    limits = spark.createDataFrame([(1, 9, "m"), (1, 9, "m"), (2, 8, "n"), (6, 0, "m"), (7, 7, "m")], "conv_id int, max_length int, model string")
+    found = follow_up(turns, **options | {"completions": completer}, limits=limits)
+    outcomes = {r.conv_id: r.reason for r in found.outcomes.collect()}
+    assert outcomes == {1: None, 2: None, 3: "no_user_turn", 4: "blank_question", 5: "flagged_input", 6: "zero_max_tokens", 7: "flagged_output"}
+    last = {r.conv_id: r.text for r in found.turns.orderBy("turn").collect()}
+    assert last == {1: "system 4 Question: se 9 m", 2: "system 4 Question: on 8 n"}
+    assert found.turns.where("conv_id = 1").count() == 5
+    # Asked once for each that passed the input gate, however often the result is read.
+    assert len(open(log).readlines()) == 3
+    assert CONTEXT in found.turns.where("conv_id = 1 and role = 'user'").orderBy(F.desc("turn")).first().text

@@ -1,9 +1,13 @@
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagelore.operators.embed import HashedWords
+from pagelore.operators.retrieve import top_k
 from pagelore.plans.dataset import build_points
-from pagelore.sources.points import read_points, rebuild, snapshots
+from pagelore.sources.points import bucket_of, buckets_of, read_points, rebuild, snapshots
 
 POINT = "page_id int, chunk_no int, title string, content string, tokens int, embedding array<float>"
 
@@ -63,14 +67,73 @@ def test_build_and_dry_run(spark, tmp_path):
     assert planned.count() == 2
 
 
-def test_two_rebuilds_at_once_are_both_readable(spark, tmp_path, monkeypatch):
+def test_two_rebuilds_at_once_get_numbers_of_their_own(spark, tmp_path, monkeypatch):
     from pagelore.sources import points as module
 
     path = str(tmp_path / "points")
     nothing = spark.createDataFrame([], module._COMMITS)
     with monkeypatch.context() as m:
         m.setattr(module, "snapshots", lambda *_: nothing)  # neither sees the other
-        assert rebuild(points(spark, "A"), path, 2) == rebuild(points(spark, "B"), path, 2) == 1
-    places = [r.location for r in snapshots(spark, path).collect()]
-    found = [{r.title for r in read_points(spark, path, 1, location=x).collect()} for x in places]
-    assert sorted(map(sorted, found)) == [["A1", "A2", "A3"], ["B1", "B2", "B3"]]
+        assert [rebuild(points(spark, name), path, 2) for name in "ABC"] == [1, 2, 3]
+    for version, name in enumerate("ABC", 1):
+        assert {r.title for r in read_points(spark, path, version).collect()} == {f"{name}{i}" for i in (1, 2, 3)}
+    place = snapshots(spark, path).where("version = 2").first().location
+    assert {r.title[0] for r in read_points(spark, path, location=place).collect()} == {"B"}
+
+
+def test_numbers_are_taken_by_one_of_many(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pagelore.session import create_exclusively
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: create_exclusively(spark, str(tmp_path / f"v/{i % 4}")), range(32)))
+    assert sum(got) == 4
+
+
+def test_repeated_pages_are_points_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(1, 0, "A", "text", 1, [1.0, 0.0])] * 3 + [(1, 0, "B", "other", 1, [0.0, 1.0]), (2, 0, "C", "c", 1, [1.0, 1.0])]
+    rebuild(spark.createDataFrame(rows, POINT), path, 2, buckets=8)
+    found = read_points(spark, path)
+    got = found.collect()
+    assert len({r.id for r in got}) == 5 and all(len(r.id) == 36 for r in got)
+    # The first is named as if it were alone, so ids stay when a copy goes.
+    alone = str(tmp_path / "alone")
+    rebuild(spark.createDataFrame([rows[0], rows[4]], POINT), alone, 2, buckets=3)
+    assert {r.id for r in read_points(spark, alone).collect()} < {r.id for r in got}
+    hits = top_k(found, [1.0, 0.0], 3).collect()
+    assert [(r["rank"], r.title, r.content) for r in hits] == [(i, "A", "text") for i in (1, 2, 3)]
+    assert [r.title for r in top_k(found, [1.0, 0.0], 9).collect()] == ["A", "A", "A", "C", "B"]
+
+
+def test_norms_are_stored(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rebuild(points(spark), path, 2)
+    got = {r.title: r.norm for r in read_points(spark, path).collect()}
+    assert got == {f"A{i}": pytest.approx(i * 2**0.5) for i in (1, 2, 3)}
+    # A scan takes them as they are.
+    wrong = read_points(spark, path).withColumn("norm", F.when(F.col("title") == "A2", 1.0).otherwise(F.col("norm")))
+    assert [r.title for r in top_k(wrong, [1.0, 1.0], 1).collect()] == ["A2"]
+
+
+def test_only_buckets_of_hits_are_read(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(i, 0, f"T{i}", f"text {i}", 1, [float(i % 7), float(i)]) for i in range(200)]
+    rebuild(spark.createDataFrame(rows, POINT), path, 2, buckets=16)
+    found = read_points(spark, path)
+    assert buckets_of(found) == buckets_of(found.where("tokens = 1")) == 16
+    assert found.where(F.col("bucket") != bucket_of(F.col("id"), 16)).count() == 0
+    assert found.select("bucket").distinct().count() == 16
+    hits = top_k(found, [1.0, 0.0], 2)
+    wanted = {r.bucket for r in hits.select(bucket_of(F.col("id"), 16).alias("bucket")).collect()}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString() + hits._jdf.queryExecution().sparkPlan().toString()
+    pruned = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert pruned and set(map(int, re.findall(r"\b\d+\b(?!#)", re.sub(r"#\d+", "", pruned[-1])))) == wanted
+    # Only those: the others can be gone.
+    place = snapshots(spark, path).first().location
+    for bucket in set(range(16)) - wanted:
+        for file in Path(place, f"bucket={bucket}").glob("*"):
+            file.write_bytes(b"") if file.suffix == ".parquet" else None
+    assert {(r.title, r.content) for r in hits.collect()} == {(r.title, f"text {r.title[1:]}") for r in hits.collect()}
+    assert len(hits.collect()) == 2

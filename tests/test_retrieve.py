@@ -70,6 +70,16 @@ def test_payload_joins_alike(spark, plan):
     assert all(r.title == f"t{r.id}" and r.content == f"c{r.id}" for r in small.collect())
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_points_of_one_id_are_hits_of_their_own(spark, plan):
+    points = make_points(spark, [[1, 0], [1, 0], [0, 1], [1, 1]], ["same", "same", "same", "other"])
+    questions = make_questions(spark, [[1, 0], [1, 0]], [2, 9])
+    for most in (5, 200_000):
+        got = retrieve(points, questions, **PLANS[plan], max_broadcast_hits=most).collect()
+        assert sorted((r.question_id, r["rank"]) for r in got) == [(0, 1), (0, 2)] + [(1, i) for i in range(1, 5)]
+        assert sorted(r.id for r in got if r.question_id) == ["other", "same", "same", "same"]
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_one_point_near_every_question(spark, plan):
     """A point in every result: the hot key of the payload join."""
