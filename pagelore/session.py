@@ -53,7 +53,7 @@ def create_exclusively(spark: SparkSession, path: str) -> bool:
 
 
 def names_below(spark: SparkSession, path: str, pattern: str = "*") -> list[tuple[str, int]]:
-    """Name and bytes of the files and folders of a folder, in order of name; none if there is no such folder."""
+    """Name and bytes of the files and folders below a folder that fit ``pattern``, in order of name."""
     folder, system = _hadoop(spark, path)
     found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, pattern))
     return sorted((f.getPath().getName(), f.getLen()) for f in found or [])

@@ -479,4 +479,5 @@ ORACLES: dict[str, str] = {
         SELECT 'Doc_' || doc_id AS page_title, text AS content FROM documents
         WHERE doc_id % 5 IN (0, 4) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0""",
     "dump_roundtrip": f"SELECT title, content FROM ({_DUMPED_PAGES})",
+    "dump_in_blocks": f"SELECT title, content FROM ({_DUMPED_PAGES})",
 }

@@ -587,6 +587,14 @@ def dump_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_dump(spark, path).drop("page_id")
 
 
+def dump_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """One large file of the dump, line breaks and all, read by many tasks."""
+    path = scratch_path(spark, "dump")
+    pages = given.wiki_pages(spark, sf).withColumnRenamed("title", "page_title")
+    write_dump(pages.coalesce(1), path, "2024-01-01", max_rows_per_file=0)
+    return read_dump(spark, path, in_blocks=True).drop("page_id")
+
+
 QUERIES: dict[str, Query] = {
     "clean_pages_html": clean_pages_html,
     "clean_pages_wiki": clean_pages_wiki,
@@ -648,4 +656,5 @@ QUERIES: dict[str, Query] = {
     "stream_followup": stream_of_conversations,
     "wiki_current_text": wiki_current_text,
     "dump_roundtrip": dump_roundtrip,
+    "dump_in_blocks": dump_in_blocks,
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.functions.rows import computed_once
 from pagelore.session import names_below, spread
+from pagelore.sources.csv_blocks import read_records
 
 # The dump dialect. Null is written as a backslash and N.
 _DIALECT = {
@@ -17,6 +21,15 @@ _DIALECT = {
     "nullValue": "\\N",
 }
 _SCHEMA = "page_title string, content string"
+_READING = {
+    "ignoreLeadingWhiteSpace": "true",
+    "ignoreTrailingWhiteSpace": "true",
+    "mode": "PERMISSIVE",
+    "maxCharsPerColumn": "-1",
+}
+
+# A file of more bytes is read in blocks.
+LARGE_FILE = 256 << 20
 
 
 def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int = 100_000) -> None:
@@ -37,34 +50,43 @@ def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int =
     )
 
 
-def read_dump(spark: SparkSession, path: str, date: str | None = None, all_dates: bool = False) -> DataFrame:
+def read_dump(
+    spark: SparkSession, path: str, date: str | None = None, all_dates: bool = False, in_blocks: bool | None = None
+) -> DataFrame:
     """``page_id, title, content`` of a dump file or directory.
 
     Of a directory of dated dumps (``date=2024-01-31``) the newest is read, or that of ``date``; with
     ``all_dates`` every page comes once for each date. Page ids are the hash of title
     and content, so they do not depend on how files are read. Bad lines and missing fields are tolerated and become nulls. A backslash
-    before a line break is the dump's escape for it and goes. A file is read by one
-    task, so few files are dealt out after.
+    before a line break is the dump's escape for it and goes.
+
+    A file is read by one task, so few files are dealt out after, unless one is larger than
+    ``LARGE_FILE`` or ``in_blocks`` says so: then each is read by a task for each split, twice
+    (see ``csv_blocks``), with the same result.
     """
     if not all_dates:
         path = _dated(spark, path, date)
-    rows = (
-        spark.read.schema(_SCHEMA)
-        .options(**_DIALECT)
-        .option("multiLine", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "PERMISSIVE")
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
-    )
+    if in_blocks is None:
+        in_blocks = _largest(spark, path) > LARGE_FILE
+    if in_blocks:
+        one = {k: str(v) for k, v in _DIALECT.items() if k != "header"} | _READING
+        parsed = read_records(spark, path).select(computed_once(F.from_csv("record", _SCHEMA, one).alias("page")))
+        rows = parsed.select("page.page_title", "page.content")
+    else:
+        rows = spark.read.schema(_SCHEMA).options(**_DIALECT).options(**_READING).option("multiLine", True).csv(path)
     content = F.replace("content", F.lit("\\\n"), F.lit("\n"))
     title = F.replace("page_title", F.lit("\\\n"), F.lit("\n"))
-    return spread(
-        rows.select(
-            F.xxhash64(title, content).alias("page_id"), title.alias("title"), content.alias("content")
-        )
+    found = rows.select(
+        F.xxhash64(title, content).alias("page_id"), title.alias("title"), content.alias("content")
     )
+    return found if in_blocks else spread(found)
+
+
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at ``path``, in it, or in its folders."""
+    parent, name = posixpath.split(path.rstrip("/"))
+    places = ((parent or ".", name), (path, "*"), (path, "*/*"))
+    return max((n for folder, pattern in places for _, n in names_below(spark, folder, pattern)), default=0)
 
 
 def _dated(spark: SparkSession, path: str, date: str | None) -> str:
