@@ -49,6 +49,10 @@ SIDE_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply reactions discussion".split())
 
+# Names of what holds an article, and words that turn a name round (``with-sidebar``).
+MAIN_NAMES = frozenset("content main article post entry story body text page prose".split())
+TURNING = frozenset("with has no without not".split())
+
 # Thresholds of the first pass.
 LONG_CHARS = 200
 SHORT_CHARS = 70
@@ -66,10 +70,9 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
-# Values of these attributes; those of others are passed over, as they can hold markup.
-_NAMES = re.compile(
-    r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|=\s*(?:\"[^\"]*\"|'[^']*')", re.IGNORECASE
-)
+# Attributes with their values; a value can hold what looks like attributes.
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for tag in RAW_TAGS}
 
@@ -81,6 +84,7 @@ class Block:
     heading: bool
     side: bool
     main: int  # number of the article or main element it is in, 0 for none
+    hint: int  # number of the element whose name speaks against it, 0 for none
     parent: int
     label: str = ""
 
@@ -92,6 +96,38 @@ class _Element:
     side: bool = False
     comment: bool = False
     main: int = 0
+    hint: int = 0
+
+
+@dataclass
+class Names:
+    """What the attributes of an element tell."""
+
+    side: bool = False  # a name of what surrounds an article is among its names
+    plainly: bool = False  # one of its names is made of nothing else
+    main: bool = False
+    comment: bool = False
+    hidden: bool = False
+
+
+def names_of(attributes: str, with_id: bool) -> Names:
+    found = Names()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden":
+            found.hidden = True
+        elif name == "style":
+            found.hidden |= _HIDDEN_STYLE.search(value) is not None
+        elif name in ("class", "role") or (name == "id" and with_id):
+            for one in value.split():
+                words = {w.lower() for w in _NAME_WORD.findall(one)}
+                if not words or words & TURNING:
+                    continue
+                found.side |= bool(words & SIDE_NAMES)
+                found.plainly |= words <= SIDE_NAMES
+                found.main |= bool(words & MAIN_NAMES)
+                found.comment |= bool(words & COMMENT_NAMES)
+    return found
 
 
 @dataclass
@@ -105,6 +141,9 @@ class _Reader:
     links: int = 0
     heading: bool = False
     numbers: int = 0
+    # Of the paragraph or heading that is open: whether it is hidden, and whether its names speak against it.
+    hidden: bool = False
+    named: int = 0
 
     def text(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -115,8 +154,10 @@ class _Reader:
         text = " ".join(unescape("".join(self.pieces)).split()) if self.pieces else ""
         if text:
             at = self.open[-1]
-            self.blocks.append(Block(text, self.linked, self.heading, at.side, at.main, at.number))
+            side, hint = at.side or self.hidden, at.hint or self.named
+            self.blocks.append(Block(text, self.linked, self.heading, side, at.main, hint, at.number))
         self.pieces, self.linked = [], 0
+        self.hidden, self.named = False, 0
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -129,21 +170,31 @@ class _Reader:
         self.end_block()
         if tag in HEADINGS:
             self.heading = True
-        if tag in VOID_TAGS or tag == "p" or tag in HEADINGS or attributes.endswith("/>"):
+        if tag in VOID_TAGS or attributes.endswith("/>"):
+            return
+        above = self.open[-1]
+        self.numbers += 1
+        names = names_of(attributes, tag not in MAIN_TAGS) if len(attributes) > 1 else Names()
+        if tag == "p" or tag in HEADINGS:
+            self.hidden = names.hidden or names.comment or (names.plainly and above.main > 0)
+            self.named = self.numbers if names.plainly else 0
             return
         if tag == "li":
             # An item ends the one before it in the same list.
             self.close_until("li", ("ul", "ol", "menu", "dir"))
-        above = self.open[-1]
-        self.numbers += 1
-        element = _Element(tag, self.numbers, above.side, above.comment, above.main)
-        names = {w.lower() for m in _NAMES.finditer(attributes) for w in _NAME_WORD.findall("".join(filter(None, m.groups())))}
-        if names & COMMENT_NAMES:
+            above = self.open[-1]
+        element = _Element(tag, self.numbers, above.side or names.hidden, above.comment, above.main, above.hint)
+        if names.comment:
             element.comment = element.side = True
         elif tag in MAIN_TAGS and not element.comment:
-            element.main, element.side = self.numbers, bool(names & SIDE_NAMES)
-        elif tag not in ("body", "html") and (tag in SIDE_TAGS or names & SIDE_NAMES or (tag == "header" and not above.main)):
+            element.main, element.side = self.numbers, names.hidden
+            element.hint = self.numbers if names.plainly else 0
+        elif tag in ("body", "html"):
+            pass
+        elif tag in SIDE_TAGS or (tag == "header" and not above.main) or (names.plainly and above.main):
             element.side = True
+        elif names.side and (names.plainly or not names.main):
+            element.hint = above.hint or self.numbers
         self.open.append(element)
 
     def close_until(self, tag: str, within: tuple[str, ...] = ()) -> None:
@@ -199,8 +250,10 @@ def blocks_of(html: str) -> list[Block]:
 def first_pass(block: Block) -> str:
     """``good``, ``bad``, or nothing for a block that cannot be told by itself.
 
-    Bad: in a part of the page that is not the article, or mostly links. Good: long or
+    Bad: in a part of the page that is not the article, or mostly links, or short where a
+    name speaks against it. Good: long or
     rich in stop words, or of some length in a script that none of them is written in.
+    A name does not settle a long block; its neighbours do.
     Any other block is left to its neighbours: that it has no stop words may be its
     language, or that it is code, a table or a list of names.
     """
@@ -209,19 +262,19 @@ def first_pass(block: Block) -> str:
         return "bad"
     words = [w.strip(".,;:!?\"'()«»“”¿¡").lower() for w in text.split()]
     density = sum(w in STOP_WORDS for w in words) / len(words)
-    if len(text) >= LONG_CHARS and density >= SOME_STOP_WORDS:
-        return "good"
-    if len(text) >= SHORT_CHARS and density >= MANY_STOP_WORDS:
-        return "good"
-    if len(text) >= SHORT_CHARS and density < SOME_STOP_WORDS:
+    is_good = (len(text) >= LONG_CHARS and density >= SOME_STOP_WORDS) or (
+        len(text) >= SHORT_CHARS and density >= MANY_STOP_WORDS
+    )
+    if not is_good and len(text) >= SHORT_CHARS and density < SOME_STOP_WORDS:
         letters = sum(map(str.isalpha, text))
-        if 2 * sum(c > _LAST_LATIN and c.isalpha() for c in text) > letters:
-            return "good"
-    return ""
+        is_good = 2 * sum(c > _LAST_LATIN and c.isalpha() for c in text) > letters
+    if block.hint:
+        return "" if is_good and len(text) >= LONG_CHARS else "bad"
+    return "good" if is_good else ""
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks take the label of the nearest decided neighbours.
+    """Undecided blocks take the label of the nearest decided neighbours; what a name decided is no neighbour.
 
     Those in an article element look only at neighbours in it, and are good if there is
     none. So do those of a page without such an element, all of which are good if no
@@ -238,13 +291,13 @@ def second_pass(blocks: list[Block]) -> None:
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
         before.append(last.get(block.main))
-        if block.label and (has_main or not block.side):
+        if block.label and not block.hint and (has_main or not block.side):
             last[block.main] = i
     last = {}
     for i in range(len(blocks) - 1, -1, -1):
         block = blocks[i]
         if block.label:
-            if has_main or not block.side:
+            if not block.hint and (has_main or not block.side):
                 last[block.main] = i
             continue
         near = [j for j in (before[i], last.get(block.main)) if j is not None]
@@ -277,4 +330,9 @@ def main_text(html: str) -> str:
     for block in blocks:
         block.label = first_pass(block)
     second_pass(blocks)
+    # Where a name spoke against a part that turned out good, it holds no less of the article.
+    good = {b.hint for b in blocks if b.hint and b.label == "good"}
+    for block in blocks:
+        if block.hint in good and not block.side and block.linked <= MOST_LINKED * len(block.text):
+            block.label = "good"
     return "\n".join(b.text for b in blocks if b.label == "good")
