@@ -77,27 +77,6 @@ def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
-def smallest_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """Of each group the ``most`` rows of smallest ``hash`` (a long), so a sample of bounded size.
-
-    Groups are few. Only rows that can be among the smallest are ranked: a few more than
-    are wanted, by each group's size.
-    """
-    numbers = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
-    kind = rows.schema[group].dataType.simpleString()
-    share = [(k, min(1.0, (most + 8 * most**0.5) / n)) for k, n in numbers.items()]
-    shares = rows.sparkSession.createDataFrame(share, f"{group} {kind}, _share double")
-    fraction = F.col("hash") / F.lit(2.0**64) + 0.5
-    ranked = F.row_number().over(Window.partitionBy(group).orderBy("hash"))
-    return (
-        rows.join(F.broadcast(shares), group)
-        .where(fraction <= F.col("_share"))
-        .withColumn("_rank", ranked)
-        .where(F.col("_rank") <= most)
-        .select(rows.columns)
-    )
-
-
 def distinct_by_hash(rows: DataFrame, value: str, most: int, group: str | None = None) -> DataFrame:
     """Of each group the ``most`` distinct values of smallest hash, with column ``hash`` (a long).
 

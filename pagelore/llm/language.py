@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute known)
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm.byte_trees import build, count_strings, padded
-from pagelore.llm.common import arrow_column, map_arrow, smallest_by_hash, text_slices
+from pagelore.llm.common import arrow_column, distinct_by_hash, map_arrow, stored, text_slices
 
 UNDETERMINED = "und"
 
@@ -64,22 +64,38 @@ def learn(
     labelled: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    doc_id: str = "doc_id",
     order: int = 4,
     sample_docs: int = 400,
     sample_doc_bytes: int = 65536,
+    long_docs: int = 8,
+    most_languages: int = 256,
 ) -> LanguageModel:
     """Byte trees of every language in ``labelled``.
 
-    A bounded sample is learned from: of each language the ``sample_docs`` documents of
-    smallest hash of their id among those of at most ``sample_doc_bytes`` bytes, whole.
+    A bounded sample is learned from: of each language the ``sample_docs`` distinct texts of
+    smallest hash among those of at most ``sample_doc_bytes`` bytes, whole; of a language
+    without any such text, ``long_docs`` longer ones. However often rows or ids repeat, a
+    text teaches once. Of more than ``most_languages`` labels the most frequent are learned.
     Rows whose text or language is null teach nothing. No such rows: no languages.
     """
     spark = labelled.sparkSession
-    rows = labelled.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("hash")
-    ).where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_doc_bytes))
-    sample = smallest_by_hash(rows, "lang", sample_docs).select("lang", "text")
+    given = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull()
+    )
+    keyed = given.withColumn("key", F.xxhash64("text"))
+    frequent = given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    frequent = stored(frequent, "languages")
+    # Texts stay where they are: hashes are sampled, and the sample's hashes fetch them.
+    kind = F.struct("lang", (F.octet_length("text") > sample_doc_bytes).alias("long"))
+    hashes = keyed.join(frequent, "lang", "left_semi").select(kind.alias("kind"), "key")
+    keys = distinct_by_hash(hashes, "key", max(sample_docs, long_docs), "kind").select("kind.lang", "kind.long", "key", "hash")
+    place = F.row_number().over(Window.partitionBy("lang", "long").orderBy("hash"))
+    has_short = F.min("long").over(Window.partitionBy("lang")) == F.lit(False)
+    keys = keys.withColumn("place", place).withColumn("has_short", has_short)
+    taught = F.when(F.col("long"), ~F.col("has_short") & (F.col("place") <= long_docs)).otherwise(F.col("place") <= sample_docs)
+    # At most most_languages * sample_docs rows.
+    keys = stored(keys.where(taught).select("lang", "key"), "sample")
+    sample = keyed.join(F.broadcast(keys), ["lang", "key"]).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import map_arrow, stored
+from pagelore.llm.common import distinct_by_hash, map_arrow, stored
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,8 @@ def build_index(
 ) -> Index:
     """The permutation of every vector, nearness being the cosine.
 
-    Pivots are ``pivots`` distinct vectors of smallest hash, a bounded sample. Rows whose
+    Pivots are the ``pivots`` distinct vectors of smallest hash, a bounded sample; of fewer
+    distinct ones, all. Rows whose
     vector is null, zero, holds null or non-finite components, or has not ``dim``
     components (by default the most frequent number) are not in the index.
     """
@@ -50,16 +51,7 @@ def build_index(
         sizes = given.groupBy(F.size(values).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
         dim = sizes["dim"] if sizes else 1
     given = given.where(F.size(values) == dim)
-    n = given.count()
-    fraction = F.xxhash64(values) / F.lit(2.0**64) + 0.5
-    sample = (
-        given.select("vector")
-        .where(fraction <= min(1.0, 8 * pivots / max(1, n)))
-        .distinct()
-        .orderBy(F.xxhash64(values))
-        .limit(pivots)
-        .toArrow()
-    )
+    sample = distinct_by_hash(given, "vector", pivots).orderBy("hash", "vector").toArrow()
     chosen = _matrix(sample["vector"].combine_chunks(), dim)
     chosen = chosen / np.linalg.norm(chosen, axis=1)[:, None]
     prefix = min(prefix, len(chosen))
@@ -83,7 +75,7 @@ def search(
     k: int = 5,
     share: float = 0.2,
     at_least: int = 256,
-    queries_per_pass: int = 20_000,
+    pass_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: the ``k`` nearest found to each row that ``is_query`` picks.
 
@@ -92,8 +84,8 @@ def search(
     footrule distance of the permutations is a constant less twice that. The batch's
     ``share`` of smallest distance (``at_least`` rows; all that are as near as the last)
     is ranked anew by exact cosine, in double precision. A task passes on ``k`` rows for
-    each query. The queries are taken in passes of about ``queries_per_pass``, so the
-    number that a task holds is bounded; in each pass the index stays where it lies.
+    each query. The queries are taken in passes of about ``pass_bytes``, which a task holds;
+    in each pass the index stays where it lies.
 
     Equal scores go to the smaller ``vec_id``; equal vectors have equal scores. A row is
     no neighbour of itself, but of a row with the same id. A query with fewer than ``k``
@@ -101,7 +93,7 @@ def search(
     """
     spark = index.rows.sparkSession
     queries = index.rows.where(is_query)
-    passes = -(-queries.count() // queries_per_pass)
+    passes = -(-queries.count() * (16 * index.dim + 2 * index.prefix) // pass_bytes)
     found = spark.createDataFrame([], "query long, vec_id long, score double, rank int")
     for number in range(passes):
         own = queries.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == number).toArrow()

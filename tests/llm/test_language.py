@@ -102,3 +102,21 @@ def test_nothing_to_learn_from(spark):
     assert model.languages == []
     assert [r.lang_pred for r in identify(none, model).collect()] == ["und", "und"]
     assert identify(none.limit(0), model).collect() == []
+
+
+def test_a_language_of_long_texts_only(spark):
+    long_texts = [(200 + i, f"{i} " + "le chat et le chien ne sont pas dans la maison " * 1500, "fr") for i in range(20)]
+    model = learn(frame(spark, ROWS + long_texts))
+    assert model.languages == ["de", "en", "fr"]
+    found = identify(frame(spark, [(1, "le chien et le chat", None), (2, long_texts[9][1], None), (3, "the cat", None)]), model)
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "fr", 2: "fr", 3: "en"}
+
+
+def test_repeated_rows_and_ids_teach_once(spark):
+    """Very many rows of one text, or of one id, leave room for the others."""
+    copies = [(7, "the one text that is everywhere", "en")] * 3000 + [(7, f"die katze {i}", "de") for i in range(50)]
+    model = learn(frame(spark, ROWS + copies), sample_docs=10)
+    found = identify(frame(spark, [(1, "the cat and the dog", None), (2, "die katze", None)]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {1: "en", 2: "de"}
+    few = learn(frame(spark, ROWS + copies), most_languages=1)
+    assert few.languages == ["en"]

@@ -36,7 +36,7 @@ def vectors(n, seed=1):
 def test_recall_and_scores(spark):
     rows = vectors(4000)
     want = {q: v[0] for q, v in brute(rows, 5).items()}
-    for options in ({}, {"queries_per_pass": 30}):
+    for options in ({}, {"pass_bytes": 10_000}):
         got = found(spark, rows, **options)
         assert got.keys() == want.keys()
         hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
@@ -63,3 +63,16 @@ def test_few_rows(spark):
     assert {i for i, _ in got[0]} == {1, 2}
     assert found(spark, rows[:1]) == {}
     assert found(spark, []) == {}
+
+
+def test_many_rows_of_few_vectors(spark):
+    """Pivots come from distinct vectors, however often rows repeat."""
+    four = [v for _, v in vectors(4)]
+    rows = [(i, four[i % 4]) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = build_index(frame)
+    assert index.pivots == 4
+    got = {}
+    for r in search(index, F.col("vec_id") % 5000 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [4, 8, 12, 16, 20], **{q: [0, 4, 8, 12, 16] for q in (5000, 10_000, 15_000)}}

@@ -1,5 +1,9 @@
 """Main text of pages, and urls judged."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagelore.llm.html_blocks import main_text
@@ -128,3 +132,99 @@ def test_urls_without_a_rule_are_judged_by_the_models(spark):
     assert judge_urls(frame.limit(0), RULES).collect() == []
     only = judge_urls(frame.where("page_id >= 1000"), RULES)
     assert {r.verdict for r in only.collect()} == {"block"}
+
+
+def test_repeated_urls_leave_the_models_alone(spark):
+    """A thousand copies of two urls a class, and one url copied far more often than others differ."""
+    urls = [f"https://a.com/read/{i % 2}/story" for i in range(1000)] + [f"https://b.net/es/buy/{i % 2}/casino" for i in range(1000)]
+    open_urls = ["https://c.org/read/7/story", "https://c.org/es/buy/9/casino"]
+    for most in (20, 10_000):
+        frame = spark.createDataFrame(list(enumerate(urls + open_urls)), "page_id long, url string")
+        got = {r.page_id: r for r in judge_urls(frame, RULES, sample_urls=most).where("rule is null").collect()}
+        assert [got[2000].verdict, got[2001].verdict] == ["allow", "block"]
+        assert got[2000].score > 0 > got[2001].score
+    varied = [f"https://a.com/read/{i}/story-{i * i}" for i in range(200)] + ["https://a.com/hot"] * 5000
+    varied += [f"https://b.net/es/buy/{i}/casino" for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(varied + open_urls)), "page_id long, url string")
+    got = judge_urls(frame, RULES, sample_urls=50).where("rule is null").orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["allow", "block"]
+
+
+def test_threshold_is_the_best_on_urls_kept_out(spark):
+    """Scores and threshold against dictionaries of byte contexts, and every threshold tried."""
+    from test_language import plain_bits
+
+    import test_language
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(5))
+    urls = [f"https://a.com/{word()}/{word()}" for _ in range(60)] + [f"https://b.net/es/{word()}x{word()}" for _ in range(60)]
+    urls += [f"https://c.org/{word()}{rng.choice('/x')}{word()}" for _ in range(40)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    hashes = {r.url: r.h for r in frame.select("url", F.xxhash64("url").alias("h")).collect()}
+    got = judge_urls(frame, RULES, order=test_language.ORDER).collect()
+    known = {v: sorted({urls[r.page_id] for r in got if r.rule and r.verdict == v}) for v in ("allow", "block")}
+    out = {v: [u for u in us if hashes[u] % 5 == 0] for v, us in known.items()}
+    taught = {v: [u.encode() for u in us if hashes[u] % 5] for v, us in known.items()}
+
+    def score(url):
+        good, bad = (plain_bits(taught[v], url.encode()) for v in ("allow", "block"))
+        return (bad - good) / len(url)
+
+    assert all(abs(score(urls[r.page_id]) - r.score) < 1e-4 for r in got)
+    good, bad = ([score(u) for u in out[v]] for v in ("allow", "block"))
+    rates = lambda t: sum(g >= t for g in good) / len(good) + sum(b < t for b in bad) / len(bad)
+    judged = [(r.score, r.verdict) for r in got if r.rule is None]
+    most_blocked = max([s for s, v in judged if v == "block"], default=-9)
+    least_allowed = min([s for s, v in judged if v == "allow"], default=9)
+    assert most_blocked < least_allowed
+    between = sorted({*good, *bad, 0.0, most_blocked, least_allowed})
+    tried = [t for t in (*between, *((a + b) / 2 for a, b in zip(between, between[1:]))) if most_blocked < t <= least_allowed]
+    best = max(rates(t) for t in (min(between) - 1, *between, *((a + b) / 2 for a, b in zip(between, between[1:])), max(between) + 1))
+    assert max(map(rates, tried)) == best
+
+
+PROSE = f"<p>{LONG}</p><p>Short one.</p><p>{NEXT}</p>"
+WHOLE = [LONG, "Short one.", NEXT]
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div class="content with-sidebar">', '<main class="page has-sidebar">', '<article id="form-1">', '<article data-id="notice">',
+        '<div id="wrapper" class="sidebar-right">', '<div class="no-comments">', '<article class="post has-comments">',
+        '<div class="social-page">', '<section class="legal-text">', '<div data-hidden="no" data-class="ad">', '<div class="widget">',
+    ],
+)
+def test_names_are_evidence_for_blocks(opening):
+    tag = re.match("<([a-z]+)", opening)[1]
+    page = f'<body><nav><a href="/">Home</a></nav>{opening}{PROSE}</{tag}><footer>{LONG}</footer></body>'
+    assert main_text(page).split("\n") == WHOLE
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        '<p class="ad">Buy now.</p>', f"<div hidden>{PROSE}</div>", f'<div style="display: none">{PROSE}</div>',
+        f'<div class="newsletter-signup"><p>{LONG}</p></div>', '<div class="share">Send it to a friend</div>', f'<p hidden>{LONG}</p>',
+        f'<section class="comments"><p>{LONG}</p></section>', '<h3 class="related">Read this too</h3>', f"<aside>{LONG}</aside>",
+    ],
+)
+def test_names_and_hidden_parts_within_an_article(extra):
+    assert main_text(f"<article><p>{LONG}</p><p>Short one.</p>{extra}<p>{NEXT}</p></article>").split("\n") == WHOLE
+    without = f'<div class="post"><p>{LONG}</p><p>Short one.</p>{extra}<p>{NEXT}</p></div>'
+    if "newsletter" not in extra:
+        assert main_text(without).split("\n") == WHOLE
+
+
+def test_pages_without_an_article_element():
+    """Density and neighbours decide: a short block goes with the nearest that is sure."""
+    links = "".join(f'<li><a href="/{i}">A link of some words</a></li>' for i in range(5))
+    page = (
+        f"<body><div><ul>{links}</ul><div>Pick one of them</div></div>"
+        f"<div><h2>The title</h2><p>{LONG}</p><p>Short.</p><p>{NEXT}</p></div>"
+        f"<div><p>Elsewhere</p><ul>{links}</ul></div></body>"
+    )
+    assert main_text(page).split("\n") == ["The title", LONG, "Short.", NEXT]
+    notice = f'<div class="cookie-notice"><p>We use cookies on this site, more of it here.</p></div>{page}'
+    assert main_text(notice).split("\n") == ["The title", LONG, "Short.", NEXT]
