@@ -59,9 +59,11 @@ def with_revisits(pages: DataFrame, page_id: str, url: str, html: str, least_byt
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    """One record for each row of ``with_revisits``, in compressed archives below ``path``."""
-    # No line break, and no magic, in a header.
-    quoted = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20"), MAGIC, "WARC%2F1.")
+    """One record for each row of ``with_revisits``, in compressed archives below ``path``.
+
+    A url that a header cannot hold (one with a control character, a space or a magic, or an
+    empty one) is written percent-encoded, and a field of the header says so.
+    """
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     is_response = F.col("refers_to").isNull()
     http = F.concat(
@@ -75,7 +77,9 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 20_000)
         F.when(is_response, "response").otherwise("revisit"),
         F.lit("\r\nWARC-Record-ID: "),
         urn(F.col("page_id")),
-        F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), quoted)),
+        F.when(F.col("url").isNull(), "")
+        .when(_needs_quoting(), F.concat(F.lit(f"\r\n{_QUOTED}: percent\r\nWARC-Target-URI: "), _quoted()))
+        .otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), F.col("url"))),
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"),
         F.col("payload_digest"),
         F.when(is_response, "").otherwise(
@@ -96,9 +100,30 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 20_000)
     ).option("compression", "gzip").text(path)
 
 
+# A field of the header of a record whose url is percent-encoded.
+_QUOTED = "X-Target-URI-Encoding"
+
+
+def _needs_quoting() -> Column:
+    return (F.col("url") == "") | F.col("url").rlike(r"[\x00-\x20\x7f]") | F.col("url").contains(MAGIC)
+
+
+def _quoted() -> Column:
+    """The url with percent signs, control characters, spaces and the slash of a magic by their numbers."""
+    quoted = F.replace("url", F.lit("%"), F.lit("%25"))
+    for code in (*range(0x21), 0x7F):
+        quoted = F.replace(quoted, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.replace(quoted, F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F")))
+
+
+def _unquoted(url: Column) -> Column:
+    return F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``page_id, record_type, url, payload_bytes, payload_digest, refers_to`` of all records below ``path``.
 
+    Urls come back as they were, those of other writers as they stand in their header.
     ``payload_bytes`` is that of the whole payload (a revisit's HTTP header states it);
     ``payload_digest`` is computed from a response's payload and a revisit's own word.
     A file whose chain breaks off gives the records up to the break; of a record that the
@@ -177,7 +202,9 @@ def _measured(cuts: DataFrame) -> DataFrame:
         filled(field("WARC-Type")).alias("record_type"),
         page("WARC-Record-ID").alias("page_id"),
         page("WARC-Refers-To").alias("refers_to"),
-        filled(field("WARC-Target-URI")).alias("url"),
+        F.when(field(_QUOTED) == "percent", _unquoted(field("WARC-Target-URI")))
+        .otherwise(filled(field("WARC-Target-URI")))
+        .alias("url"),
         filled(F.regexp_extract(field("WARC-Payload-Digest"), "sha1:([A-Z2-7]{32})", 1)).alias("header_digest"),
         F.when(F.col("http_end") > 0, http).otherwise("").alias("http"),
     )
