@@ -20,16 +20,24 @@ from pagelore.operators.lookup import lookup
 class Forest:
     """Shape of the forest.
 
-    Two texts are compared where they agree in all ``least_depth`` labels of one of
-    ``trees`` trees. At similarity 0.8 a pair of texts misses each other in all trees with
-    probability (1 - 0.8^4)^24, about 3 in a million, however crowded its regions are: a
-    region of more than ``region`` texts is dealt into blocks that meet. Compared are
-    sketches of ``sketch_bits`` bits; a pair goes on to confirmation if their agreement
-    stands for a similarity of ``similarity - slack`` or more (four standard deviations).
+    Each tree is an order of texts by their signatures of ``depth`` labels. Neighbours in it
+    whose longest common prefix is ``least_depth`` labels or more are a region, and are
+    compared; a region of more than ``region`` texts is only compared where prefixes are
+    longer, as long as it takes for no more to share them. At similarity 0.8 a pair misses all
+    ``trees`` at the least depth with probability (1 - 0.8^4)^24, about 3 in a million.
+    Texts of crowded regions that did not turn out connected stand in ``more_trees`` others,
+    at full depth: (1 - 0.8^8)^72, about 2 in a million. Regions that are crowded even there are
+    dealt into blocks that meet, so nothing more is lost however large they are.
+
+    Compared are sketches of ``sketch_bits`` bits; a pair goes on to confirmation if their
+    agreement stands for a similarity of ``similarity - slack`` or more (four standard
+    deviations).
     """
 
     trees: int = 24
     least_depth: int = 4
+    depth: int = 8
+    more_trees: int = 72
     region: int = 4096
     sketch_bits: int = 256
     slack: float = 0.15
@@ -53,10 +61,11 @@ def near_copies(
     shingles; a component is what links connect, named by its smallest ``doc_id``, which
     alone is ``kept``.
 
-    Texts of equal words are one class. Classes stand in the trees; those of one region
-    whose sketches agree are joined to candidate components, and each candidate component
-    is then solved exactly from the full sets. Large regions and components are dealt into
-    blocks of bounded size (see ``_meetings``), so nothing is lost however large they are.
+    Texts of equal words are one class. Classes stand in the trees, sorted by signature; those
+    with a common prefix whose sketches agree are joined to candidate components, and each
+    candidate component is then solved exactly from the full sets. Large regions are compared
+    at greater depths (see ``Forest``); large components are dealt into blocks of bounded size
+    (see ``_meetings``), so nothing is lost however large they are.
     Pairs never become rows: a task passes on at most one row for each text it holds.
 
     A text that is null or has no word has no shingles and is linked with nothing; its
@@ -66,7 +75,7 @@ def near_copies(
     No rows give no rows.
     """
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(_signed(given, width, forest), "signed")
+    signed = stored(_signed(given, width, forest.trees * forest.depth, forest.sketch_bits), "signed")
     classes = stored(
         signed.where(F.col("n_shingles") > 0)
         .where(F.col("doc_id").isNotNull())
@@ -78,7 +87,7 @@ def near_copies(
         ),
         "classes",
     )
-    candidates = components(_candidates(classes, percent, forest))
+    candidates = components(_candidates(given, classes, width, percent, forest))
     placed = components(_confirmed(given, signed, candidates, width, percent, forest))
     named = classes.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
@@ -117,9 +126,8 @@ def keep_one(
     return left.join(repeated, doc_id, "left_anti").unionByName(once)
 
 
-def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
-    n_labels = forest.trees * forest.least_depth
-    functions = hash_functions(max(n_labels, forest.sketch_bits))
+def _signed(documents: DataFrame, width: int, n_labels: int, sketch_bits: int, seed: int = 9) -> DataFrame:
+    functions = hash_functions(max(n_labels, sketch_bits), seed)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,7 +147,7 @@ def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
                     found = min_labels(shingles, functions)
                     keys.append(digest(words))
                     labels.append(found[:n_labels].tobytes())
-                    sketches.append(np.packbits((found[: forest.sketch_bits] & 1).astype(bool)).tobytes())
+                    sketches.append(np.packbits((found[:sketch_bits] & 1).astype(bool)).tobytes())
                 hashes.trim()
                 yield pa.record_batch(
                     {
@@ -154,44 +162,84 @@ def _signed(documents: DataFrame, width: int, forest: Forest) -> DataFrame:
     return map_arrow(documents, sign, "doc_id long, n_shingles long, digest binary, labels binary, sketch binary")
 
 
-def _candidates(classes: DataFrame, percent: int, forest: Forest) -> DataFrame:
-    """Edges ``a, b`` whose components hold every pair that any tree brings together.
-
-    A region is compared in one task if it is of ``forest.region`` texts at most. A larger
-    one is first compared within blocks, which differ from tree to tree; blocks then meet
-    for the pairs that nothing has connected yet.
-    """
-    size = 2 * forest.least_depth
-    orders = F.array(*[F.substring("labels", 1 + t * size, size) for t in range(forest.trees)])
-    rows = classes.select("rep", "sketch", F.posexplode(orders).alias("tree", "label")).select(
-        F.xxhash64("tree", "label").alias("crowd"), "rep", "sketch"
-    )
-    half = max(1, forest.region // 2)
-    crowded = stored(
-        rows.groupBy("crowd")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > forest.region)
-        .select("crowd", F.ceil(F.col("n") / half).alias("blocks")),
-        "crowded",
-    )
-    blocks = F.coalesce("blocks", F.lit(1))
-    dealt = rows.join(crowded, "crowd", "left").select(
-        "crowd", F.pmod(F.xxhash64("rep", "crowd"), blocks).alias("i"), F.lit(0).cast("long").alias("j"), "rep", "sketch"
-    )
-    edges = _agreeing(dealt, percent, forest)
-    if crowded.isEmpty():
+def _candidates(given: DataFrame, classes: DataFrame, width: int, percent: int, forest: Forest) -> DataFrame:
+    """Edges ``a, b`` whose components hold every pair that the forest brings together."""
+    order = _orders(classes, forest.trees, forest.depth)
+    regions, crowded = _regions(order, forest.least_depth, forest)
+    edges = _agreeing(regions, percent, forest)
+    if crowded is None:
         return edges
     placed = stored(components(edges), "placed")
-    dense = rows.join(crowded.select("crowd"), "crowd").withColumn("weight", F.lit(1.0 / half))
+    # What is in one component needs no more comparing; of the other crowds all texts do.
+    members = order.join(crowded.select("crowd"), F.col("crowd") == _prefix(forest.least_depth)).select("crowd", "rep")
+    parts = members.join(placed.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    ends = parts.groupBy("crowd").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_crowds = stored(ends.where("least < most").select("crowd"), "open")
+    known = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if open_crowds.isEmpty():
+        return known
+    left = stored(members.join(open_crowds, "crowd").select(F.col("rep").alias("doc_id")).distinct(), "left")
+    again = _signed(lookup(given, left, "doc_id"), width, forest.more_trees * forest.depth, forest.sketch_bits, seed=10)
+    again = stored(again.where(F.col("n_shingles") > 0).withColumnRenamed("doc_id", "rep"), "signed")
+    order = _orders(again, forest.more_trees, forest.depth)
+    regions, crowded = _regions(order, forest.depth, forest)
+    more = stored(known.union(_agreeing(regions, percent, forest)), "edges")
+    if crowded is None:
+        return more
+    placed = stored(components(more), "placed")
+    dense = order.withColumn("crowd", _prefix(forest.depth)).join(crowded.select("crowd"), "crowd")
+    dense = dense.select("crowd", "rep", "sketch").withColumn("weight", F.lit(1.0 / max(1, forest.region // 2)))
     meetings = _meetings(dense, placed, "rep")
+    known = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if meetings is None:
-        return placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    again = meetings.select("crowd", F.explode(_met()).alias("at"), "rep", "sketch").select(
+        return known
+    met = meetings.select("crowd", F.explode(_met()).alias("at"), "rep", "sketch").select(
         "crowd", "at.i", "at.j", "rep", "sketch"
     )
-    return placed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
-        _agreeing(again, percent, forest)
-    )
+    return known.union(_agreeing(met, percent, forest))
+
+
+def _orders(signed: DataFrame, trees: int, depth: int) -> DataFrame:
+    """A row ``tree, signature, rep, sketch`` for each text in each tree."""
+    size = 2 * depth
+    signatures = F.array(*[F.substring("labels", 1 + t * size, size) for t in range(trees)])
+    return signed.select("rep", "sketch", F.posexplode(signatures).alias("tree", "signature"))
+
+
+def _prefix(depth: int) -> Column:
+    """The crowd of a row: its tree and the first ``depth`` labels of its signature."""
+    return F.xxhash64("tree", F.substring("signature", 1, 2 * depth))
+
+
+def _regions(order: DataFrame, least_depth: int, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
+    """Rows ``crowd, i, j, rep, sketch``, a region being a ``crowd, i, j``; and what was crowded.
+
+    A row's region is that of the least depth at which not more than ``forest.region`` texts
+    share its prefix. Where they do at full depth, they are dealt into blocks ``i``. The
+    crowds of the least depth are told too (``crowd, n``), or None if there are none.
+    """
+    zero = F.lit(0).cast("long")
+    first = None
+    open_rows, found = order, None
+    for depth in range(least_depth, forest.depth + 1):
+        rows = open_rows.withColumn("crowd", _prefix(depth))
+        sizes = rows.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > forest.region)
+        crowded = stored(sizes, "crowded")
+        done = crowded.isEmpty()
+        calm = rows if done else rows.join(crowded, "crowd", "left_anti")
+        calm = calm.withColumns({"i": zero, "j": zero})
+        found = calm if found is None else found.unionByName(calm)
+        if done:
+            break
+        first = crowded if first is None else first
+        open_rows = rows.join(crowded.select("crowd"), "crowd", "left_semi").drop("crowd")
+        if depth == forest.depth:
+            blocks = F.ceil(F.col("n") / max(1, forest.region // 2))
+            dealt = rows.join(crowded, "crowd").withColumns({"i": F.pmod(F.xxhash64("rep", "crowd"), blocks), "j": zero})
+            found = found.unionByName(dealt.drop("n"))
+    return found.select("crowd", "i", "j", "rep", "sketch"), first
 
 
 def _meetings(rows: DataFrame, placed: DataFrame, node: str) -> DataFrame | None:

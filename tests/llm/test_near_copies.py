@@ -68,12 +68,47 @@ def test_crowded_regions_lose_no_pair(spark):
         words[rng.randrange(160)] = f"m{i}"
         rows.append((i, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = module._signed(frame, 4, Forest(trees=2, least_depth=2)).withColumnRenamed("doc_id", "rep")
-    found = []
-    for region in (4, 1_000_000):
-        edges = module._candidates(whole, 80, Forest(trees=2, least_depth=2, region=region))
-        found.append(sorted(map(tuple, components(edges).collect())))
-    assert found[0] == found[1] and found[0]
+    want = plain(rows, 4, 80)
+    assert len({c for _, _, c, _ in want}) < 60
+    # Crowds that are deeper ones', and crowds to the last label, which meet in blocks.
+    for forest in (Forest(region=4), Forest(region=4, depth=4), Forest(region=6, depth=5, more_trees=30)):
+        assert sorted(map(tuple, near_copies(frame, forest=forest).collect())) == want
+
+
+def templates(n, seed=6):
+    """Pages of one template, which is much of each text; every tenth has a near-copy."""
+    rng = random.Random(seed)
+    template = " ".join(f"t{i}" for i in range(60))
+    rows = []
+    for i in range(n):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(70)]
+        if i % 10 == 9:
+            own = rows[-1][1].split()[60:]
+            own[rng.randrange(70)] = "changed"
+        rows.append((i, template + " " + " ".join(own)))
+    return rows
+
+
+def test_a_crowd_of_one_template_takes_linear_work(spark, monkeypatch):
+    compared = []
+    agreeing = module._agreeing
+
+    def counted(rows, percent, forest):
+        sizes = rows.groupBy("crowd", "i", "j").count()
+        compared.append(sizes.agg(F.sum("count"), F.max("count")).first())
+        return agreeing(rows, percent, forest)
+
+    monkeypatch.setattr(module, "_agreeing", counted)
+    forest = Forest(region=300)
+    for n in (1500, 3000):
+        compared.clear()
+        frame = spark.createDataFrame(templates(n), "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in near_copies(frame, forest=forest).collect()}
+        # Every planted pair is found, and nothing else is linked.
+        assert found == {i: i - 1 if i % 10 == 9 else i for i in range(n)}
+        # A text once in each tree, and at most once in each of the deeper ones; regions are bounded.
+        assert len(compared) == 2 and compared[0][0] == 24 * n and compared[1][0] <= 72 * n
+        assert all(c[1] <= 300 for c in compared)
 
 
 def test_blocks_are_bounded_in_bytes(spark):
