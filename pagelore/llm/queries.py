@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import table
+from pagelore.llm.common import free_prefix, table
 from pagelore.llm.conversation_repair import damage, digests, repair
 from pagelore.llm.html_text import extract_pages
 from pagelore.llm.language import held_out, identify, learn
@@ -89,15 +89,11 @@ WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
 
 
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = mix(table(spark, sf, "documents"), levels(), WEIGHTS, percent=70, max_epochs=3)
-    return mixed.select(
-        "doc_id",
-        F.col("_epoch").alias("epoch"),
-        F.col("_tokens").alias("n_tokens"),
-        F.col("_domain").alias("domain"),
-        F.col("_lang").alias("language"),
-        F.col("_source").alias("source_name"),
-    )
+    documents = table(spark, sf, "documents")
+    prefix = free_prefix(documents, "_")
+    mixed = mix(documents, levels(), WEIGHTS, percent=70, max_epochs=3, prefix=prefix)
+    names = {"epoch": "epoch", "tokens": "n_tokens", "domain": "domain", "lang": "language", "source": "source_name"}
+    return mixed.select("doc_id", *(F.col(prefix + own).alias(name) for own, name in names.items()))
 
 
 def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
