@@ -38,17 +38,19 @@ def learn_quality(
     votes = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.avg(label).alias("mean"))
     votes = votes.where("mean <> 0.5").select("id", (F.col("mean") > 0.5).cast("int").alias("class"))
     given = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    taught = given.join(votes, "id").select("text", "class")
+    given = given.withColumn("key", F.xxhash64("text"))
+    # Texts stay where they are: labels meet their hashes, and the sample's hashes fetch them.
     size = F.octet_length("text")
-    kind = F.struct("class", (size > SAMPLE_BYTES).alias("long"))
+    taught = given.select("id", "key", size.alias("size")).join(votes, "id")
     numbers = dict(taught.groupBy("class").count().collect())
     if len(numbers) < 2:
         return Scorer(np.zeros(1), math.inf * (1 if 1 in numbers else -1) if numbers else 0.0)
-    sample = distinct_by_hash(
-        taught.where(size <= LONG_BYTES).withColumn("kind", kind), "text", sample_texts, "kind"
-    )
+    kind = F.struct("class", (F.col("size") > SAMPLE_BYTES).alias("long"))
+    keys = distinct_by_hash(taught.where(F.col("size") <= LONG_BYTES).withColumn("kind", kind), "key", sample_texts, "kind")
     place = F.row_number().over(Window.partitionBy("kind").orderBy("hash"))
-    sample = sample.withColumn("place", place).where(~F.col("kind.long") | (F.col("place") <= 8))
+    keys = keys.withColumn("place", place).where(~F.col("kind.long") | (F.col("place") <= 8))
+    # At most 2 * (sample_texts + 8) rows.
+    sample = given.where(size <= LONG_BYTES).join(F.broadcast(keys.select("key", "kind")), "key").select("kind", "text").distinct()
     rows = sample.select("kind.class", "kind.long", "text").collect()
     short = {r["class"] for r in rows if not r["long"]}
     rows = sorted((r["class"], r["text"]) for r in rows if not r["long"] or r["class"] not in short)
