@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,10 +207,12 @@ class TwoTokenizers:
             if not same or b"".join(map(self.b_bytes.__getitem__, b[i])) != whole:
                 a[i] = b[i] = []
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
-        a, b = (np.fromiter((i for ids in side for i in ids), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
         # Where tokens end, in all texts written one after the other.
         a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
-        ends = np.union1d(a_ends, b_ends)
+        is_end = np.zeros(int(a_ends[-1]) + 1 if len(a) else 0, bool)
+        is_end[a_ends] = is_end[b_ends] = True
+        ends = np.flatnonzero(is_end)
         # Two tokens overlap in one run of bytes, and each run between ends is such.
         of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         row = np.repeat(np.arange(len(texts)), n_a)[of_a]
