@@ -18,7 +18,7 @@ SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 SIGNS = r"[#*$%&|<>{}!~^=_\\]"
 MAX_SIGNS_PERCENT = 10
 # Navigation: a row of entries between separators.
-SEPARATOR = r"(?<![^\x20\x09-\x0D])[|>/·•›»](?![^\x20\x09-\x0D])"
+SEPARATOR = r"[|>/·•›»](?<![^\x20\x09-\x0D].)(?![^\x20\x09-\x0D])"
 MAX_SEPARATORS_PERCENT = 20
 # Boilerplate: what sites put on every page, in a line that is no long paragraph.
 BOILERPLATE_WORDS = 30
@@ -52,21 +52,41 @@ def judge(documents: DataFrame, text: str = "text", name: str = "_quality") -> D
         }
     )
     n = F.size(f"{name}_words")
-    # Windows of three words with their place, sorted: equal ones are neighbours.
-    windows = F.transform(
-        F.slice(f"{name}_words", 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get(f"{name}_words", i + 1), F.get(f"{name}_words", i + 2)).alias("w"), i.alias("at")
-        ),
-    )
-    sorted_windows = split.withColumns(
+    # Windows of three words as sorted longs: a hash, and in the low bits their place.
+    hashed = split.withColumns(
         {
-            f"{name}_windows": F.sort_array(windows),
+            f"{name}_hashes": F.transform(f"{name}_words", lambda w: F.xxhash64(w)),
+            f"{name}_bits": F.length(F.bin(n)),
             f"{name}_full": F.filter(f"{name}_lines", lambda line: line.rlike(WORD)),
             f"{name}_good": F.filter(f"{name}_lines", lambda line: ~_fails(line)),
         }
     )
 
+    def packed(h: Column, i: Column) -> Column:
+        window = F.xxhash64(h, F.get(f"{name}_hashes", i + 1), F.get(f"{name}_hashes", i + 2))
+        placed = F.call_function("shiftleft", window, F.col(f"{name}_bits")).bitwiseOR(i.cast("long"))
+        return F.coalesce(placed, F.lit(0).cast("long"))  # never null, and so sorted as plain longs
+
+    windows = F.transform(F.slice(f"{name}_hashes", 1, F.greatest(n - 2, F.lit(0))), packed)
+    sorted_hashes = hashed.withColumn(f"{name}_sorted", F.sort_array(windows))
+
+    def hash_of(x: Column) -> Column:
+        return F.call_function("shiftright", x, F.col(f"{name}_bits"))
+
+    def met(x: Column, i: Column) -> Column:
+        before = (i > 0) & (hash_of(F.get(f"{name}_sorted", i - 1)) == hash_of(x))
+        return F.coalesce(before, F.lit(False)) | F.coalesce(hash_of(F.get(f"{name}_sorted", i + 1)) == hash_of(x), F.lit(False))
+
+    # Only where hashes agree are the words compared: with their place, sorted, equal ones are neighbours.
+    def spelled(x: Column) -> Column:
+        at = (x - F.call_function("shiftleft", hash_of(x), F.col(f"{name}_bits"))).cast("int")
+        words = (F.get(f"{name}_words", at + k) for k in range(3))
+        return F.struct(F.concat_ws(" ", *words).alias("w"), at.alias("at"))
+
+    sorted_windows = sorted_hashes.withColumn(f"{name}_met", F.filter(f"{name}_sorted", met)).withColumn(
+        f"{name}_windows", F.sort_array(F.transform(f"{name}_met", spelled))
+    )
+
     def repeated(x: Column, i: Column) -> Column:
         before = (i > 0) & (F.get(f"{name}_windows", i - 1)["w"] == x["w"])
         return F.coalesce(before, F.lit(False)) | F.coalesce(F.get(f"{name}_windows", i + 1)["w"] == x["w"], F.lit(False))
@@ -80,15 +100,18 @@ def judge(documents: DataFrame, text: str = "text", name: str = "_quality") -> D
     )
     # Behind a generator: else a filter on the outcome would be moved below, and with it
     # all of the above, to be computed for each window anew.
+    chars = F.length(F.array_join(f"{name}_words", "")).cast("long")
     counted = places.select(
         *every_column(documents),
         _once(
             n.cast("long").alias("n_words"),
-            F.length(F.array_join(f"{name}_words", "")).cast("long").alias("word_chars"),
+            chars.alias("word_chars"),
             F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             (F.size(f"{name}_full") - F.size(F.array_distinct(f"{name}_full"))).cast("long").alias("n_dup_lines"),
             F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
-            F.aggregate(f"{name}_good", F.lit(0), lambda a, line: a + _word_chars(line)).cast("long").alias("kept_chars"),
+            F.when(F.size(f"{name}_good") == F.size(f"{name}_lines"), chars)
+            .otherwise(F.aggregate(f"{name}_good", F.lit(0), lambda a, line: a + _word_chars(line)).cast("long"))
+            .alias("kept_chars"),
             F.when(F.col(text).isNotNull(), F.array_join(f"{name}_good", "\n")).alias("clean"),
         ).alias(name),
     )
@@ -106,16 +129,20 @@ def _word_chars(line: Column) -> Column:
     return F.length(F.regexp_replace(line, SPACE, ""))
 
 
+def _has_words(line: Column, n: int) -> Column:
+    return line.rlike(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}" % n)
+
+
 def _fails(line: Column) -> Column:
     """Whether a line is to be removed; a line without words is not."""
-    words = F.regexp_count(line, F.lit(WORD))
+    # Counts only where a cheaper look leaves them open.
     signs = F.regexp_count(line, F.lit(SIGNS))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
-    punctuation = ((words < SHORT_LINE_WORDS) & ~line.rlike(SENTENCE_END)) | (
-        100 * signs > MAX_SIGNS_PERCENT * _word_chars(line)
+    punctuation = (~_has_words(line, SHORT_LINE_WORDS) & ~line.rlike(SENTENCE_END)) | (
+        line.rlike(SIGNS) & (100 * signs > MAX_SIGNS_PERCENT * _word_chars(line))
     )
-    navigation = 100 * separators > MAX_SEPARATORS_PERCENT * words
-    boilerplate = (words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+    navigation = line.rlike(SEPARATOR) & (100 * separators > MAX_SEPARATORS_PERCENT * F.regexp_count(line, F.lit(WORD)))
+    boilerplate = ~_has_words(line, BOILERPLATE_WORDS + 1) & line.rlike(BOILERPLATE)
     return line.rlike(WORD) & (punctuation | navigation | boilerplate)
 
 
