@@ -31,6 +31,15 @@ MARKUP_STEPS = (
     ("[[", r"(?d)\[\[(.*?)\]\]", "$1"),
 )
 
+# What a match of a step ends with, but for a backslash and a line end, where openers may lack it.
+_CLOSERS = {
+    pattern: closer
+    for (_, pattern, _), closer in zip(
+        MARKUP_STEPS, ("/gallery>", "]]", None, "-->", ">", ">", None, None, "]]"), strict=True
+    )
+    if closer
+}
+_MAX_LENGTH = (1 << 31) - 1
 _WHITESPACE_RUN = r"(?U)\s+"
 
 
@@ -63,19 +72,29 @@ def strip_markup(text: Column) -> Column:
     """Newlines to spaces, then every markup pattern in turn."""
     text = F.replace(text, F.lit("\n"), F.lit(" "))
     for sign, pattern, replacement in MARKUP_STEPS:
-        text = _replace_where(text, sign, pattern, replacement)
+        text = _replace_where(text, sign, pattern, replacement, _CLOSERS.get(pattern))
     return text
 
 
-def _replace_where(text: Column, sign: str, pattern: str, replacement: str) -> Column:
+def _replace_where(text: Column, sign: str, pattern: str, replacement: str, closer: str | None) -> Column:
     """``regexp_replace`` for the texts that contain ``sign``: most hold little markup.
 
-    The lambda names the text, so that the steps before it are evaluated once.
+    Nothing behind the last ``closer`` can match, so the pattern is not tried there: an
+    opener that is never closed would walk to the end of the text, and many of them take
+    quadratic time. The lambda names the text, so that the steps before it are evaluated once.
     """
 
     def replaced(t: Column) -> Column:
-        changed = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
-        return F.when(F.contains(t, F.lit(sign)), changed).otherwise(t)
+        if closer is None:
+            changed = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
+            return F.when(F.contains(t, F.lit(sign)), changed).otherwise(t)
+        rest = F.substring_index(t, closer, -1)
+        # Two characters more: a backslash and a line end may belong to the match.
+        closed = F.substring(t, F.lit(1), F.length(t) - F.length(rest) + 2)
+        changed = F.concat(
+            F.regexp_replace(closed, F.lit(pattern), F.lit(replacement)), F.substring(rest, 3, _MAX_LENGTH)
+        )
+        return F.when(F.contains(t, F.lit(sign)) & F.contains(t, F.lit(closer)), changed).otherwise(t)
 
     return F.get(F.transform(F.array(text), replaced), F.lit(0))
 

@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagelore.functions.text import clean_content, clean_title, is_blank, trim
+from pagelore.functions.text import MARKUP_STEPS, clean_content, clean_title, is_blank, strip_markup, trim
 from pagelore.operators.clean import clean_pages, drop_empty
 
 CASES = [
@@ -57,3 +60,30 @@ def test_each_text_is_cleaned_once(spark):
     pages = spark.createDataFrame([(1, "A", "text")], "page_id int, title string, content string")
     plan = clean_pages(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("</gallery>") == 1, plan
+
+
+PIECES = ["<gallery", "<gallery>", "</gallery>", "|image = ", "[[File:", "[[", "]]", "]", "|", "__", "<!--", "-->", "<span", "</span>",
+          "<br", "<div", "</div>", ">", "'''", "''''", "\\", "\n", "a", "é", "\U0001f600", " "]
+
+
+def test_steps_equal_the_patterns_alone(spark):
+    """Not to look behind the last closer changes no text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(1, 40))) for _ in range(4000)]
+    plain = F.replace(F.col("t"), F.lit("\n"), F.lit(" "))
+    for _, pattern, replacement in MARKUP_STEPS:
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(replacement))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select("t", strip_markup(F.col("t")).alias("got"), plain.alias("want"))
+    assert both.where("got <> want").collect() == []
+    assert both.where("got <> replace(t, '\n', ' ')").count() > 1000
+
+
+@pytest.mark.parametrize("opener", ["<gallery ", "[[File:", "<!-- ", "<span ", "<br ", "<div ", "[[", "__ ", "'''' "])
+def test_openers_without_closer_take_linear_time(spark, opener):
+    n = 10_000_000 // len(opener)
+    frame = spark.range(1).select(F.repeat(F.lit(opener), F.lit(n) + F.col("id").cast("int")).alias("t"))
+    start = time.monotonic()
+    length = frame.select(F.length(strip_markup(F.col("t")))).first()[0]
+    assert time.monotonic() - start < 30
+    assert length == n * len(opener) if opener not in ("__ ", "'''' ") else length < n * len(opener)
