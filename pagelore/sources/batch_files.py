@@ -61,11 +61,14 @@ def attach_embeddings(
 ) -> DataFrame:
     """Chunks with the embedding of the result that carries their key; one row for each chunk.
 
-    Strict: a chunk without a result, and one with two, fails the job. Lenient: the
-    former keeps a null embedding (:func:`missing_results` lists them), the latter any
-    one of its results.
+    Strict: a chunk without a result, one with two, and a result without a key fail the
+    job. Lenient: the first keeps a null embedding (:func:`missing_results` lists them),
+    the second any one of its results, and the third is left out.
     """
-    found = results.groupBy(F.col("custom_id").alias("_key")).agg(
+    given_key = F.col("custom_id")
+    if strict:
+        given_key = F.coalesce(given_key, F.raise_error(F.lit("a batch result without custom_id")).cast("string"))
+    found = results.groupBy(given_key.alias("_key")).agg(
         F.any_value("embedding", F.lit(True)).alias("embedding"), F.count("*").alias("_n")
     )
     joined = chunks.join(found, F.col(key).cast("string") == F.col("_key"), "left")

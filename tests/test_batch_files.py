@@ -100,3 +100,13 @@ def test_strict_attach_takes_no_result_twice(spark):
     with pytest.raises(Exception, match="more than one"):
         attach_embeddings(chunks, results).collect()
     assert attach_embeddings(chunks, results, strict=False).count() == 2
+
+
+def test_result_without_key(spark):
+    """Fails a strict import; a lenient one leaves it out."""
+    chunks = spark.createDataFrame([("A",)], "title string")
+    results = spark.createDataFrame([("A", [1.0]), (None, [2.0])], "custom_id string, embedding array<float>")
+    with pytest.raises(Exception, match="without custom_id"):
+        attach_embeddings(chunks, results).collect()
+    lenient = attach_embeddings(chunks, results, strict=False).collect()
+    assert [tuple(r) for r in lenient] == [("A", [1.0])]
