@@ -13,20 +13,23 @@ point vector is ever shuffled.
 
 The survivors are ranked in two steps, first per question and salt: a task of the second
 step sorts at most salts times ``k`` rows for one question. The first step gets up to
-``k`` rows per question from each scan task, so the scan is cut into few tasks.
+``k`` rows per question from each scan task, so the scan is cut into few tasks. Where some
+question asks for very many, no task holds all rows of one: see :mod:`pagelore.operators.ranking`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelore.functions.text import trim
 from pagelore.operators.lookup import MAX_BROADCAST_ROWS, lookup
+from pagelore.operators.ranking import rank_hits
 from pagelore.operators.topk_kernel import score_partition
 from pagelore.session import use_checkpoints
 from pagelore.sources.points import bucket_of, buckets_of
@@ -39,7 +42,6 @@ PASS_BYTES = 64 << 20
 PASS_HITS = 2_000_000
 # A scan has no more tasks than this or four times the cores, whichever is more.
 _SCAN_TASKS = 1000
-_MERGE_SALTS = 16
 
 
 def top_k(points: DataFrame, vector: Sequence[float], k: int = DEFAULT_K) -> DataFrame:
@@ -96,27 +98,44 @@ def build_context(hits: DataFrame, questions: DataFrame | None = None) -> DataFr
 def _top_k_batch(points: DataFrame, questions: DataFrame, pass_bytes: int) -> tuple[DataFrame, int]:
     """The ranked hits, and a bound on their number."""
     spark = points.sparkSession
-    schema = _hit_schema(points, questions.schema["question_id"].dataType)
-    asked = questions.select(
-        "question_id", "embedding", F.coalesce("k", F.lit(DEFAULT_K)).cast("bigint").alias("k")
-    ).where("embedding is not null and k > 0")
-    # Written once: it is measured and then read by every pass, and no model is asked twice.
-    use_checkpoints(spark)
-    asked = asked.checkpoint()
-    wanted = F.least("k", F.lit(1 << 40))
-    measured = asked.agg(
-        F.sum(4 * F.size("embedding")).alias("bytes"), F.sum(wanted.cast("decimal(38,0)")).alias("hits")
-    ).first()
+    schema = hit_schema(points, questions)
+    asked = asked_once(questions)
+    measured = measure(asked)
     if measured["bytes"] is None:
-        return _rank(spark.createDataFrame([], schema)), 0
+        return rank_hits(spark.createDataFrame([], schema), 0).drop("k"), 0
     hits = int(measured["hits"])
-    passes = _passes(measured["bytes"], hits, asked.count(), pass_bytes)
+    parts = in_passes(asked, measured, pass_bytes)
+    found = reduce(DataFrame.union, [_score_scan(points, part.toArrow(), schema) for part in parts])
+    return rank_hits(found, measured["most"]).drop("k"), hits
+
+
+def asked_once(questions: DataFrame) -> DataFrame:
+    """``question_id, embedding, k`` of the questions that want something, written out.
+
+    They are measured and then read by every pass, and no model is to be asked twice.
+    """
+    use_checkpoints(questions.sparkSession)
+    k = F.coalesce("k", F.lit(DEFAULT_K)).cast("bigint").alias("k")
+    return questions.select("question_id", "embedding", k).where("embedding is not null and k > 0").checkpoint()
+
+
+def measure(asked: DataFrame, *lists: str) -> Row:
+    """``bytes`` (with those of lists of numbers), ``hits`` wanted, ``questions`` and the ``most`` wanted by one."""
+    wanted = F.least("k", F.lit(1 << 40))
+    values = sum((F.size(name) for name in lists), F.size("embedding"))
+    return asked.agg(
+        F.sum(4 * values).alias("bytes"),
+        F.sum(wanted.cast("decimal(38,0)")).alias("hits"),
+        F.count("*").alias("questions"),
+        F.max("k").alias("most"),
+    ).first()
+
+
+def in_passes(asked: DataFrame, measured: Row, pass_bytes: int) -> list[DataFrame]:
+    """The questions cut into passes."""
+    passes = _passes(measured["bytes"], int(measured["hits"]), measured["questions"], pass_bytes)
     share = F.pmod(F.xxhash64("question_id"), F.lit(passes))
-    best = [_score_scan(points, asked.where(share == n).toArrow(), schema) for n in range(passes)]
-    found = best[0]
-    for more in best[1:]:
-        found = found.union(more)
-    return _rank(found), hits
+    return [asked.where(share == n) for n in range(passes)]
 
 
 def _passes(vector_bytes: int, hits: int, n_questions: int, pass_bytes: int = PASS_BYTES) -> int:
@@ -128,10 +147,10 @@ def _passes(vector_bytes: int, hits: int, n_questions: int, pass_bytes: int = PA
     return max(1, -(-vector_bytes // pass_bytes), min(n_questions, -(-hits // PASS_HITS)))
 
 
-def _hit_schema(points: DataFrame, question_id: T.DataType) -> T.StructType:
+def hit_schema(points: DataFrame, questions: DataFrame) -> T.StructType:
     return T.StructType(
         [
-            T.StructField("question_id", question_id),
+            T.StructField("question_id", questions.schema["question_id"].dataType),
             T.StructField("id", points.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
             T.StructField("k", T.LongType()),
@@ -155,20 +174,11 @@ def _score_scan(points: DataFrame, questions, schema: T.StructType) -> DataFrame
     def score(batches):
         return score_partition(batches, shared.value, arrow_schema)
 
-    tasks = max(_SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism)
-    return _vectors(points).coalesce(tasks).mapInArrow(score, schema)
-
-
-def _order(window):
-    return window.orderBy(F.desc("score"), F.col("id"))
+    return _vectors(points).coalesce(scan_tasks(spark)).mapInArrow(score, schema)
 
 
-def _rank(best: DataFrame) -> DataFrame:
-    salt = F.pmod(F.hash("id"), F.lit(_MERGE_SALTS))
-    place = F.row_number().over(_order(Window.partitionBy("question_id", "salt")))
-    some = best.withColumn("salt", salt).withColumn("place", place).where("place <= k")
-    rank = F.row_number().over(_order(Window.partitionBy("question_id")))
-    return some.withColumn("rank", rank).where("rank <= k").select("question_id", "rank", "score", "id")
+def scan_tasks(spark: SparkSession) -> int:
+    return max(_SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism)
 
 
 def _with_payload(

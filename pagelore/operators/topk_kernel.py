@@ -50,27 +50,36 @@ class BestPoints:
     # Rounding moves a score by less than this.
     _SLACK = 10.0**-SCORE_DIGITS
 
-    def __init__(self, vectors: np.ndarray, k: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, k: np.ndarray, floor: np.ndarray | None = None) -> None:
         self._vectors, usable = unit_rows(vectors)
         self._k = np.where(usable, k, 0)
         # A score below its question's floor cannot be among the best any more.
-        self._floor = np.full(len(k), -np.inf)
+        self._floor = np.full(len(k), -np.inf) if floor is None else floor.copy()
         self._kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._n_kept = 0
         self._room = min(_ROOM, 2 * int(np.minimum(self._k, 1 << 40).sum()) + 100_000)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray | None = None) -> None:
-        """Consider points given as plain vectors, with their norms where those are known."""
+    def add(
+        self,
+        ids: np.ndarray,
+        vectors: np.ndarray,
+        norms: np.ndarray | None = None,
+        asking: np.ndarray | None = None,
+    ) -> None:
+        """Consider points given as plain vectors, with their norms where those are known.
+
+        With ``asking`` only those question rows see them.
+        """
         units, usable = unit_rows(vectors, norms)
         if not usable.all():
             ids, units = ids[usable], units[usable]
-        self.add_units(ids, units)
+        self.add_units(ids, units, asking)
 
-    def add_units(self, ids: np.ndarray, units: np.ndarray) -> None:
+    def add_units(self, ids: np.ndarray, units: np.ndarray, asking: np.ndarray | None = None) -> None:
         """Consider points already scaled to length one."""
         if not len(ids):
             return
-        asking = np.flatnonzero(self._k)
+        asking = np.flatnonzero(self._k) if asking is None else asking[self._k[asking] > 0]
         for first in range(0, len(ids), _POINTS):
             tile = slice(first, first + _POINTS)
             for start in range(0, len(asking), _QUESTIONS):
@@ -152,6 +161,37 @@ def score_partition(
     yield from _hits(best, questions["question_id"].combine_chunks(), schema)
 
 
+def score_clusters(
+    batches: Iterable[pa.RecordBatch], questions: pa.Table, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """Like :func:`score_partition`, but a question sees the points of the ``clusters`` it names only.
+
+    Points have a ``cluster`` too, and questions a ``floor`` below which nothing is wanted.
+    """
+    vectors = questions["embedding"].combine_chunks()
+    best = BestPoints(
+        matrix(vectors, len(vectors[0])), questions["k"].to_numpy(), questions["floor"].to_numpy()
+    )
+    named = questions["clusters"].combine_chunks()
+    rows = np.repeat(np.arange(len(named)), np.diff(np.asarray(named.offsets)))
+    clusters = named.flatten().to_numpy()
+    order = np.argsort(clusters, kind="stable")
+    rows, clusters = rows[order], clusters[order]
+    ids = questions["question_id"].combine_chunks()
+    for batch in batches:
+        found = batch["cluster"].to_numpy()
+        point_ids, units = batch["id"].to_numpy(zero_copy_only=False), matrix(batch["embedding"], len(vectors[0]))
+        for cluster in np.unique(found):
+            first, last = np.searchsorted(clusters, [cluster, cluster + 1])
+            if first < last:
+                here = found == cluster
+                best.add(point_ids[here], units[here], asking=rows[first:last])
+        if best.is_full():
+            yield from _hits(best, ids, schema)
+            best.forget()
+    yield from _hits(best, ids, schema)
+
+
 def _hits(best: BestPoints, question_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows, scores, ids = best.result()
     for start in range(0, len(rows), _OUTPUT_ROWS):

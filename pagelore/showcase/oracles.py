@@ -119,6 +119,11 @@ _STORED_QUESTIONS = """
     SELECT item_id AS question_id, embedding::DOUBLE[] AS v,
            coalesce(CASE WHEN item_id % 4 <> 1 THEN item_id % 9 END, 5) AS k
     FROM benchmark JOIN embeddings ON item_id = vec_id"""
+# The mean of all stored vectors as a question.
+_MEAN = """
+    SELECT 0 AS question_id, 10 AS k, list(m ORDER BY i) AS v FROM
+      (SELECT i, avg(embedding[i]::DOUBLE)::FLOAT::DOUBLE AS m
+       FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)"""
 _STORED_HITS = f"""
     SELECT h.question_id, h.rank, h.score, h.id, p.title, p.content
     FROM ({_ranked(_STORED_POINTS, _STORED_QUESTIONS)}) h JOIN ({_STORED_POINTS}) p USING (id)"""
@@ -380,11 +385,11 @@ ORACLES: dict[str, str] = {
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "topk_one": f"""
         SELECT rank, score, id, title, content FROM
-          ({_ranked(_STORED_POINTS, '''SELECT 0 AS question_id, 10 AS k, list(m ORDER BY i) AS v FROM
-              (SELECT i, avg(embedding[i]::DOUBLE)::FLOAT::DOUBLE AS m
-               FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)''')})
+          ({_ranked(_STORED_POINTS, _MEAN)})
         JOIN ({_STORED_POINTS}) USING (id)""",
     "topk_batch": _ranked(_STORED_POINTS, _STORED_QUESTIONS),
+    "topk_clustered": _ranked(_STORED_POINTS, _STORED_QUESTIONS),
+    "topk_whole": _ranked(_STORED_POINTS, _MEAN.replace("10 AS k", "1099511627776 AS k")),
     "topk_batch_blocked": _STORED_HITS,
     "context_text": f"""
         SELECT question_id, coalesce(context, '') AS context

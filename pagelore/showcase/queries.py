@@ -14,6 +14,7 @@ from pagelore.operators.answers import attach_completions, count_response_tokens
 from pagelore.operators.checks import split_outcome, validate
 from pagelore.operators.chunk import chunk_pages, duplicate_keys
 from pagelore.operators.clean import clean_pages, drop_empty
+from pagelore.operators.clustered import top_k_clustered
 from pagelore.operators.conversation import (
     append_reply,
     explode_turns,
@@ -41,6 +42,7 @@ from pagelore.sources.batch_files import (
     read_results,
     write_requests,
 )
+from pagelore.sources.clusters import write_clusters
 from pagelore.sources.dump import read_dump, write_dump
 from pagelore.sources.points import read_points, rebuild
 from pagelore.sources.requests import (
@@ -249,16 +251,34 @@ def cosine_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def topk_one(spark: SparkSession, sf: str) -> DataFrame:
     """The ten points nearest to the mean of all stored vectors."""
-    vectors = table(spark, sf, "embeddings")
-    cells = vectors.select(F.posexplode("embedding").alias("place", "value"))
+    return top_k(given.stored_points(spark, sf), _mean(spark, sf), 10)
+
+
+def _mean(spark: SparkSession, sf: str) -> list[float]:
+    cells = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("place", "value"))
     means = cells.groupBy("place").agg(F.avg("value").alias("mean")).orderBy("place").collect()
-    return top_k(given.stored_points(spark, sf), [row["mean"] for row in means], 10)
+    return [row["mean"] for row in means]
 
 
 def topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return top_k_batch(given.stored_points(spark, sf), given.stored_questions(spark, sf))
 
 
+def topk_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from vectors laid out by direction, of which each question reads a part."""
+    path = scratch_path(spark, "clusters")
+    write_clusters(given.stored_points(spark, sf), path, clusters=64)
+    return top_k_clustered(spark, path, given.stored_questions(spark, sf))
+
+
+def topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point ranked by its nearness to the mean, in ranges: no task gets them all."""
+    question = spark.createDataFrame(
+        [(0, _mean(spark, sf), 1 << 40)], "question_id int, embedding array<float>, k bigint"
+    )
+    return top_k_batch(given.stored_points(spark, sf), question)
+
+
 def topk_batch_blocked(spark: SparkSession, sf: str) -> DataFrame:
     """The same in several passes of questions, with payload."""
     points, questions = given.stored_points(spark, sf), given.stored_questions(spark, sf)
@@ -619,6 +639,8 @@ QUERIES: dict[str, Query] = {
     "cosine_score": cosine_score,
     "topk_one": topk_one,
     "topk_batch": topk_batch,
+    "topk_clustered": topk_clustered,
+    "topk_whole": topk_whole,
     "topk_batch_blocked": topk_batch_blocked,
     "topk_repeated": topk_repeated,
     "context_text": context_text,
