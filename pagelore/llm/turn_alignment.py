@@ -52,8 +52,9 @@ def repairs(turns: str, state: int = START, final: bool = True) -> dict[int, tup
     n = len(turns) // 2
     best: dict[int, tuple[int, str]] = {}
     for system in (False, True) if state == START else (False,):
-        # No string that is longer than this is cheaper than one that is two shorter.
-        for length in sorted(range(system, n + 8), key=lambda length: (_apart(n, length), length)):
+        # To delete all and insert the shortest string (two at most) costs no less than the best: no longer one can cost that little.
+        longest = n + (DELETE * n + INSERT * 2) // INSERT
+        for length in sorted(range(system, longest + 1), key=lambda length: (_apart(n, length), length)):
             wanted, reached = target(state, system, length)
             incumbent = best.get(reached, (DELETE * n + INSERT * length, ""))[0]
             if _apart(n, length) <= incumbent:

@@ -107,6 +107,14 @@ def conversations():
     return rows
 
 
+def test_any_number_of_insertions():
+    """Two insertions cost what two new roles do and come first: the audit is as much longer as there are pairs."""
+    for pairs in (3, 4, 6, 8):
+        turns = "u-u-a-a-" * pairs
+        assert repairs(turns)[USER] == every_way(turns)[USER] == (6 * pairs, "KIKKIK" * pairs)
+    assert best_repair("u-u-a-a-" * 40) == (240, "KIKKIK" * 40)
+
+
 def test_conversations_of_any_size(spark):
     rows = conversations()
     want = {c: {"conv_id": c, **plain([r for r in rows if r[0] == c])} for c in {r[0] for r in rows}}
