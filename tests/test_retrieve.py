@@ -208,3 +208,40 @@ def test_a_model_is_asked_once_per_question(spark, tmp_path, plan):
     points = make_points(spark, [[1, 0], [0, 1], [1, 1]])
     assert retrieve(points, questions, **PLANS[plan]).count() == 80
     assert sorted(map(int, open(log).read().split())) == list(range(40))
+
+
+class Unordered(str):
+    """An id that must not be compared."""
+
+    __hash__ = str.__hash__
+
+    def __lt__(self, other):
+        raise AssertionError("ids without a tie are compared")
+
+
+def test_ids_are_compared_only_for_ties():
+    rng = np.random.default_rng(3)
+    vectors, questions = rng.normal(size=(3000, 8)), rng.normal(size=(4, 8))
+    best = topk_kernel.BestPoints(questions, np.full(4, 5))
+    best.add(np.array([Unordered(i) for i in range(3000)], dtype=object), vectors)
+    rows_, scores, ids = best.result()
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = questions / np.linalg.norm(questions, axis=1, keepdims=True) @ units.T
+    for q in range(4):
+        assert {int(i) for i in ids[rows_ == q]} == set(np.argsort(-want[q])[:5].tolist())
+
+
+def test_scores_that_single_precision_cannot_tell_apart():
+    """Best and next best differ by two millionths, ties at the k-th place go to smaller ids."""
+    base = np.zeros(64)
+    base[0] = 1.0
+    steps = np.repeat(np.arange(1500), 3)
+    scores = 0.5 + 2e-6 * steps
+    vectors = np.zeros((len(steps), 64))
+    vectors[:, 0], vectors[:, 1] = scores, np.sqrt(1 - scores**2)
+    order = np.random.default_rng(0).permutation(len(steps))
+    best = topk_kernel.BestPoints(base[None, :], np.array([7]))
+    best.add(order.astype(object), vectors[order])
+    _, found, ids = best.result()
+    assert sorted(ids.tolist()) == [4491, *range(4494, 4500)]
+    assert sorted(found.tolist())[-1] == round(float(scores[-1]), 6)
