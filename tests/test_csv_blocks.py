@@ -109,3 +109,20 @@ def test_state_of_each_line(parts, inside):
         state = ends_inside(line, state)
         found.append(state)
     assert found == plain(text, inside)
+
+
+def test_large_dump_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The query's dump is as many files as its input allows, not one that a single task writes."""
+    from pagelore.showcase import queries
+
+    rows = [(i, f"text {i}\nmore", "en", "s") for i in range(36)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    documents.repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda _, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        found = queries.dump_in_blocks(spark, str(tmp_path))
+        assert found.count() == found.distinct().count() == 36
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "dump" / "date=2024-01-01").glob("*.csv"))) == 3
