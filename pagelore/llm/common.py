@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute known)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelore.session import scratch_path
+from pagelore.session import bound_batches, scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,27 +40,19 @@ def every_column(rows: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
 
 
-# Bytes of rows that a Python worker is given at once.
-BATCH_BYTES = 4 << 20
-
-
 def map_arrow(rows: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """``rows.mapInArrow`` with batches bounded in bytes: by number alone, long texts make huge ones."""
-    _bound_batches(rows.sparkSession)
+    """``rows.mapInArrow`` with batches bounded in bytes."""
+    bound_batches(rows.sparkSession)
     return rows.mapInArrow(kernel, schema)
 
 
 def arrow_column(kernel: Callable, kind: str, *columns: Column) -> Column:
     """A column made by ``kernel`` from an iterator of Arrow arrays; batches as in ``map_arrow``."""
-    _bound_batches(SparkSession.active())
+    bound_batches(SparkSession.active())
     kernel.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(kernel, kind)(*columns)
 
 
-def _bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``max_bytes`` of text each, at least one row.
 

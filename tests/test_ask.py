@@ -193,3 +193,13 @@ def test_responses(spark, points, tmp_path):
     write_answer_lines(responses, str(tmp_path / "lines"))
     line = json.loads(spark.read.text(str(tmp_path / "lines")).where("value like '%goofy%'").first()[0])
     assert line["question_tokens"] == "1" and line["status"] == "ok"
+
+
+def test_batches_for_a_moderator_are_bounded_in_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("request_id"), F.repeat(F.lit("ab "), 7000).alias("prompt"), F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error"),
+    )
+    sizes = gate(rows, lambda texts: [texts.str.len().sum() > 6 << 20] * len(texts), "request_id", "prompt")
+    assert sizes.where("status = 'ok'").count() == 1000

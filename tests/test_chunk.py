@@ -74,3 +74,18 @@ def test_duplicate_titles(spark):
     with pytest.raises(ValueError, match="'A' occurs 2 times"):
         require_unique_keys(rows)
     require_unique_keys(rows.distinct())
+
+
+def test_batches_for_a_tokenizer_are_bounded_in_bytes(spark):
+    """A batch of 10,000 long texts would be 200 MB."""
+
+    def ends(texts):
+        assert sum(map(len, texts)) < 6 << 20
+        return [[len(t) // 2] for t in texts]
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    pages = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("page_id"), F.lit("T").alias("title"), F.repeat(F.lit("ab "), 7000).alias("content")
+    )
+    assert chunk_pages(pages, 1, CallableTokenizer(ends)).count() == 2000
