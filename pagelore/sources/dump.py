@@ -32,17 +32,21 @@ _READING = {
 LARGE_FILE = 256 << 20
 
 
-def write_dump(pages: DataFrame, path: str, date: str, max_rows_per_file: int = 100_000) -> None:
+def write_dump(
+    pages: DataFrame, path: str, date: str, max_rows_per_file: int = 100_000, compression: str = "none"
+) -> None:
     """Write ``page_title, content`` below ``path/date=...`` as many files.
 
     A CSV file with line breaks inside its fields is read by one task, so the
-    rows per file are bounded. A second run for a date replaces that date only.
+    rows per file are bounded. Such files lose nothing by ``compression`` (``gzip``, say), but
+    large ones are only read in blocks without. A second run for a date replaces that date only.
     """
     (
         pages.select("page_title", "content")
         .write.mode("overwrite")
         .options(**_DIALECT)
         .option("quoteAll", True)
+        .option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", max_rows_per_file)

@@ -47,3 +47,27 @@ def test_entry(spark):
     frame = driver.entry(spark)
     assert frame.columns == ["question_id", "context"]
     assert frame.count() == 40
+
+
+def test_contents_of_two_dates_move_once(spark):
+    """Of the points only digests and ids are dealt out whole, and the dumps are compressed."""
+    import re
+
+    from pagelore.showcase import queries
+
+    frame = queries.build_dataset_dates(spark, str(SF))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not any("content#" in k for k in keys)
+
+
+def test_compressed_dump(spark, tmp_path):
+    from pagelore.sources.dump import read_dump, write_dump
+
+    rows = [("A", 'one\n"two", three\\'), ("B", None), ("C", "x" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_title string, content string")
+    write_dump(pages, str(tmp_path), "2024-01-01", compression="gzip")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.csv.gz")) < 10_000
+    for in_blocks in (False, True):
+        got = read_dump(spark, str(tmp_path), in_blocks=in_blocks)
+        assert {(r.title, r.content) for r in got.collect()} == set(rows)
