@@ -91,6 +91,24 @@ def test_numbers_are_taken_by_one_of_many(spark, tmp_path):
     assert sum(got) == 4
 
 
+def test_a_number_is_taken_once_however_close_the_callers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from pagelore.session import create_exclusively
+
+    (tmp_path / "v").mkdir()
+    together = Barrier(8)
+
+    def take(n):
+        together.wait()
+        return create_exclusively(spark, str(tmp_path / f"v/{n}"))
+
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(60):
+            assert sum(pool.map(take, [n] * 8)) == 1
+
+
 def test_repeated_pages_are_points_of_their_own(spark, tmp_path):
     path = str(tmp_path / "points")
     rows = [(1, 0, "A", "text", 1, [1.0, 0.0])] * 3 + [(1, 0, "B", "other", 1, [0.0, 1.0]), (2, 0, "C", "c", 1, [1.0, 1.0])]
