@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import map_arrow, stored, text_slices
+from pagelore.llm.pretokens import RankedPieces
 
 # Most pairs that every task gets a table of: 16 bytes each.
 MAX_FREQUENT = 500_000
@@ -28,6 +29,8 @@ def align_tokenizers(
     doc_id: str = "doc_id",
     text: str = "text",
     max_frequent: int = MAX_FREQUENT,
+    ranks_path: str | None = None,
+    ranks_pattern: str = "",
 ) -> DataFrame:
     """Rows ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``, one per document.
 
@@ -41,7 +44,8 @@ def align_tokenizers(
     Documents are shuffled by their full text; each distinct text is encoded and aligned
     once, and its links weigh as much as it has documents. The most frequent pairs are a
     table in every task, the others are joined. Measures go back to documents by the text's
-    SHA-256.
+    SHA-256. ``ranks_path`` and ``ranks_pattern`` may give the vocabulary of A as ranks, which is
+    faster where the ids are surely the same (see ``RankedPieces``).
 
     Zeros and an empty hash: texts null or empty, and texts that the tokens of either do not
     spell. Null ids stay null, repeated rows are documents of their own. Other columns are
@@ -49,7 +53,7 @@ def align_tokenizers(
     """
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     some = F.coalesce(F.col("text") != "", F.lit(False))
-    aligned = stored(aligned_texts(given.where(some), byte_path, piece_path), "aligned")
+    aligned = stored(aligned_texts(given.where(some), byte_path, piece_path, ranks_path, ranks_pattern), "aligned")
     measured = _measured(aligned, pair_counts(aligned), max_frequent)
     zero = F.lit(0).cast("long")
     names = (*_MEASURES, "n_best", "count_sum")
@@ -58,7 +62,9 @@ def align_tokenizers(
     return with_text.join(measured, "digest").select("doc_id", *names, "groups_sha256").union(without)
 
 
-def aligned_texts(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+def aligned_texts(
+    documents: DataFrame, byte_path: str, piece_path: str, ranks_path: str | None = None, ranks_pattern: str = ""
+) -> DataFrame:
     """Each distinct ``text`` once: its ``digest``, ``times`` it occurs, measures, and linked pairs.
 
     ``a``, ``b`` and ``links`` are its distinct pairs of linked ids and how often each is linked.
@@ -66,7 +72,7 @@ def aligned_texts(documents: DataFrame, byte_path: str, piece_path: str) -> Data
     distinct = documents.groupBy("text").agg(F.count("*").alias("times"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = TwoTokenizers(byte_path, piece_path)
+        both = TwoTokenizers(byte_path, piece_path, ranks_path, ranks_pattern)
         for batch in batches:
             texts = batch.column("text")
             for low, high in text_slices(texts):
@@ -180,13 +186,14 @@ def _measured(aligned: DataFrame, counts: DataFrame, max_frequent: int) -> DataF
 class TwoTokenizers:
     """Both tokenizers, loaded where they encode, and the bytes of their tokens."""
 
-    def __init__(self, byte_path: str, piece_path: str):
+    def __init__(self, byte_path: str, piece_path: str, ranks_path: str | None = None, ranks_pattern: str = ""):
         # A task has one core: threads of the library would only hold memory of their own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path)
+        self.ranked = RankedPieces(byte_path, ranks_path, ranks_pattern) if ranks_path else None
+        self.a = self.ranked.tokenizer if self.ranked else Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.a_bytes = _byte_level(byte_path, self.a.get_vocab_size())
@@ -199,7 +206,10 @@ class TwoTokenizers:
 
     def align(self, texts: list[str]) -> pa.RecordBatch:
         spelled = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spelled, add_special_tokens=False)]
+        if self.ranked:
+            a = [np.frombuffer(ids, "<u4").tolist() for ids in self.ranked.ids(spelled)]
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(spelled, add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         for i, whole in enumerate(spelled):
             whole = whole.encode()

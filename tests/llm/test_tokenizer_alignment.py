@@ -102,3 +102,13 @@ def test_nothing(spark):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         found = align_tokenizers(frame, *PATHS).collect()
         assert sorted(map(tuple, found)) == [(i, 0, 0, 0, 0, 0, 0, "") for i, _ in rows]
+
+
+def test_ranks_make_the_same_tokens():
+    import public_tokenizers
+
+    from pagelore.llm.tokenizer_alignment import TwoTokenizers
+
+    texts = ["plain words, here.", "<|endoftext|> a <|endoftext|>", "a\u0085b  c　d", "é" * 20, "日本語", "  two ", "\t\n x" * 9, "", "x" * 3000]
+    ranked = TwoTokenizers(*PATHS, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert ranked.align(texts).equals(TwoTokenizers(*PATHS).align(texts))
