@@ -155,3 +155,14 @@ def test_only_buckets_of_hits_are_read(spark, tmp_path):
             file.write_bytes(b"") if file.suffix == ".parquet" else None
     assert {(r.title, r.content) for r in hits.collect()} == {(r.title, f"text {r.title[1:]}") for r in hits.collect()}
     assert len(hits.collect()) == 2
+
+
+def test_every_task_writes_as_many_buckets(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(i, 0, f"A{i}", "text", 1, [float(i), 1.0]) for i in range(400)]
+    rebuild(spark.createDataFrame(rows, POINT), path, 2, buckets=8)
+    # The number of the task is in the name of a file.
+    files = [(f.parent.name, f.name.split("-")[1]) for f in Path(path).glob("data/*/bucket=*/*.parquet")]
+    buckets = {task: [b for b, t in files if t == task] for _, task in files}
+    assert sorted(map(len, buckets.values())) == [2, 2, 2, 2]
+    assert read_points(spark, path).where(bucket_of(F.col("id"), 8) != F.col("bucket")).count() == 0

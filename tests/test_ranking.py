@@ -44,5 +44,12 @@ def test_a_question_is_ranked_by_several_tasks(spark, hits):
     assert sum(r.n for r in parts) < 3200
 
 
+def test_few_hits_are_shuffled_once(hits):
+    few = hits.where("question_id in ('b', 'd')")
+    assert result(rank_hits(few, 1000, scans=40)) == result(rank_hits(few, 1000))
+    plans = [rank_hits(hits, 1000, scans=n)._jdf.queryExecution().executedPlan().toString() for n in (40, 200)]
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [1, 2]
+
+
 def test_nothing(spark):
     assert rank_hits(spark.createDataFrame([], HIT), 10**6, window_k=10).collect() == []

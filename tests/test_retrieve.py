@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import cosine
+from pagelore.operators import retrieve as operator
 from pagelore.operators import topk_kernel
 from pagelore.operators.retrieve import _passes, build_context, retrieve, top_k, top_k_batch
+from pagelore.sources.points import read_points, rebuild
 
 POINT = "id string, title string, content string, embedding array<float>"
 QUESTION = "question_id int, embedding array<float>, k bigint"
@@ -245,3 +247,82 @@ def test_scores_that_single_precision_cannot_tell_apart():
     _, found, ids = best.result()
     assert sorted(ids.tolist()) == [4491, *range(4494, 4500)]
     assert sorted(found.tolist())[-1] == round(float(scores[-1]), 6)
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """2,000 points of small integers, very many of equal score, as they lie in a points table."""
+    vectors = np.random.default_rng(9).integers(-2, 3, (2000, 6))
+    rows_ = [(i, 0, f"t{i}", f"c{i}", 1, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    schema = "page_id int, chunk_no int, title string, content string, tokens int, embedding array<float>"
+    rebuild(spark.createDataFrame(rows_, schema).repartition(3), str(tmp_path), 6)
+    return read_points(spark, str(tmp_path))
+
+
+def scan_twice(monkeypatch):
+    """Small tables count as large ones; returns the hits that left each scan."""
+    monkeypatch.setattr(operator, "_FLOOR_PAIRS", 0)
+    monkeypatch.setattr(operator, "_FLOOR_QUESTIONS", 1)
+    scans, scan = [], operator._score_scan
+    monkeypatch.setattr(operator, "_score_scan", lambda *args: scans.append(scan(*args)) or scans[-1])
+    return scans
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_a_first_scan_tells_the_second_what_matters(monkeypatch, spark, stored, plan):
+    rng = np.random.default_rng(10)
+    questions = [*rng.integers(-2, 3, (30, 6)).tolist(), [0] * 6, None, *rng.integers(-2, 3, (3, 6)).tolist()]
+    # The first scan does not find 150 points, and 5,000 are not there.
+    asked = make_questions(spark, questions, [int(k) for k in rng.integers(0, 9, 30)] + [3, 3, 150, 900, 5000])
+    monkeypatch.setattr(operator, "_FLOOR_K", 10_000)
+    want = rows(top_k_batch(stored, asked, **PLANS[plan]))
+    scans = scan_twice(monkeypatch)
+    assert rows(top_k_batch(stored, asked, **PLANS[plan])) == want
+    assert len(scans) > 1 and len(want) > 2000
+
+
+def test_a_second_scan_passes_fewer_hits_on(monkeypatch, spark, stored):
+    rng = np.random.default_rng(11)
+    asked = make_questions(spark, rng.normal(size=(200, 6)).tolist(), [1] * 200)
+    points = stored.repartition(20)
+    # Dealt out anew, but still the stored points.
+    points = points.withMetadata("bucket", stored.schema["bucket"].metadata)
+    alone = rows(top_k_batch(points, asked))
+    scans = scan_twice(monkeypatch)
+    assert rows(top_k_batch(points, asked)) == alone
+    first, second = (scan.count() for scan in scans)
+    # A hit for each question and task, but for those that are no better than the first scan's best.
+    assert first == 200 * spark.sparkContext.defaultParallelism
+    assert second < 200 * 20 * 0.8
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2], [1, None, 2]])
+def test_questions_without_an_id_of_their_own_are_scored_in_one_scan(monkeypatch, spark, stored, ids):
+    rows_ = [(i, [1.0, float(n), 0.0, 1.0, 0.0, 0.0], 4) for n, i in enumerate(ids)]
+    asked = spark.createDataFrame(rows_, QUESTION)
+    want = rows(top_k_batch(stored, asked))
+    scans = scan_twice(monkeypatch)
+    assert rows(top_k_batch(stored, asked)) == want
+    assert len(scans) == 1
+
+
+def test_floors_keep_ties_and_drop_what_is_below():
+    pa = topk_kernel.pa
+    vectors = [[1.0, 0.0], [3.0, 4.0], [4.0, 3.0], [6.0, 8.0], [0.0, 1.0]]
+    batch = pa.record_batch({"id": pa.array(range(5)), "embedding": pa.array(vectors)})
+    asked = pa.table(
+        {
+            "question_id": pa.array([7, 8], "int32"),
+            "embedding": pa.array([[1.0, 0.0], [1.0, 0.0]]),
+            "k": [3, 3],
+            "floor": [0.6, float("-inf")],
+        }
+    )
+    schema = pa.schema([("question_id", "int32"), ("id", "int64"), ("score", "float64"), ("k", "int64")])
+    found = pa.Table.from_batches(topk_kernel.score_partition([batch], asked, schema)).to_pylist()
+    assert sorted((r["question_id"], r["id"], r["score"]) for r in found) == [
+        (q, i, s) for q in (7, 8) for i, s in ((0, 1.0), (1, 0.6), (2, 0.8))
+    ]
+    asked = asked.set_column(3, "floor", pa.array([0.7, 0.7]))
+    found = pa.Table.from_batches(topk_kernel.score_partition([batch], asked, schema)).to_pylist()
+    assert sorted((r["question_id"], r["id"]) for r in found) == [(7, 0), (7, 2), (8, 0), (8, 2)]
